@@ -1,9 +1,12 @@
 """The corpus queries and their SQL, by name."""
 
-from . import fingerprints, quality_rules, simhash
+from . import bpe, fingerprints, packing, quality_rules, simhash, suffix_dedup
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_packing": packing.op4_packing,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_bpe": bpe.op10_bpe,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op7_fingerprints": fingerprints.op7_fingerprints,
 }

@@ -215,6 +215,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS)
     return prints.join(of, prints["fp"] == of["_fp"], "left").select(key, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the first of least doc_id. Texts are joined with the numbers of the kept
+    rows; they are not compared themselves, and do not meet by component."""
+    rows = publish(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    prints = publish(with_fingerprint(rows.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), "_row").alias("_at"), "text").select("_at", "text")), "fingerprints")
+    distinct = publish(prints.groupBy("fp").agg(F.min(F.struct(F.col("_at.doc_id").isNull().alias("none"), F.col("_at.doc_id").alias("doc_id"), F.col("_at._row").alias("row"))).alias("least")), "distinct-fingerprints")
+    comps = publish(components(links(distinct.select("fp"), radius)), "components")
+    named = distinct.join(comps, distinct["fp"] == comps["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_kept"))
+    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").select(docs.columns)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

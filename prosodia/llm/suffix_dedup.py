@@ -280,12 +280,12 @@ def _resolve_large(pieces: DataFrame, min_len: int) -> DataFrame:
     return hits.groupBy("h", "g").agg(F.collect_list("r").alias("other"), F.collect_list(F.when(F.col("late"), F.col("r"))).alias("earlier"))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", mode: str = "every", min_len: int = MIN_LEN, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", mode: str = "every", min_len: int = MIN_LEN, gram: int | None = None, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(staged, spans): staged has row, key, z (the text, compressed), n_bytes and sha; spans has row and
     spans, an array of (lo, hi) byte ranges to remove, disjoint and ascending, for rows that have any."""
     if mode not in ("every", "later"):
         raise ValueError(f"mode is every or later, not {mode}")
-    staged = publish(_stage(docs, key, min_len, gram), "staged")
+    staged = publish(_stage(docs, key, min_len, gram or min_len * 5 // 8), "staged")
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
     shared = staged.select(F.explode("occs.h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     occs = staged.select("row", order.alias("ord"), F.explode("occs").alias("x")).select("row", "ord", "x.*")

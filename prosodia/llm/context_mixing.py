@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from operator import add, itemgetter
@@ -46,7 +47,7 @@ BATCH_WORDS = 2_000_000
 #: Items in a step of the weights, and what holds weights to where they start.
 SLICE, RIDGE = 5_000, 200.0
 #: Words that have a code, at most, their greatest length in bytes and least count.
-COMMON, COMMON_BYTES, COMMON_TIMES = 262_144, 64, 4
+COMMON, COMMON_BYTES, COMMON_TIMES = 131_072, 64, 4
 REMEMBERED = 500_000
 CHUNK = 1 << 14
 #: Bytes by falling frequency in European prose; the rest are rarer still.
@@ -85,22 +86,22 @@ def prefix_code(weights: list[float], node: int) -> tuple[np.ndarray, np.ndarray
     heap = [(w, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
     n = len(weights)
-    above: list[tuple[int, int]] = [(-1, 0)] * max(2 * n - 1, 0)
+    above, side = array("q", [-1]) * max(2 * n - 1, 0), array("B", [0]) * max(2 * n - 1, 0)
     for k in range(n, 2 * n - 1):
         (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
-        above[a], above[b] = (k, 0), (k, 1)
+        above[a] = above[b] = k
+        side[b] = 1
         heapq.heappush(heap, (wa + wb, k))
-    first, length, nodes, bits = [], [], [], []
+    first, length, nodes, bits = array("q"), array("q"), array("I"), array("B")
     for i in range(n):
-        path = []
-        at = i
-        while above[at][0] >= 0:
-            path.append(above[at])
-            at = above[at][0]
+        path, at = [], i
+        while above[at] >= 0:
+            path.append(at)
+            at = above[at]
         first.append(len(nodes))
         length.append(len(path))
-        nodes += [node + k - n for k, _ in reversed(path)]
-        bits += [b for _, b in reversed(path)]
+        nodes.extend(node + above[at] - n for at in reversed(path))
+        bits.extend(side[at] for at in reversed(path))
     return np.array(first, np.int64), np.array(length, np.int64), np.array(nodes, np.uint32), np.array(bits, np.uint8)
 
 
@@ -334,8 +335,9 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def learn(docs: DataFrame, counts: DataFrame, text: str = "text") -> Mixer:
     """The model from all of docs; counts as of count_words."""
-    often = counts.where((F.octet_length("word") <= COMMON_BYTES) & (F.col("n") >= COMMON_TIMES)).orderBy(F.col("n").desc(), "word").limit(COMMON).collect()
-    book = Book([(bytes(r["word"]), r["n"]) for r in often])
+    often = counts.where((F.octet_length("word") <= COMMON_BYTES) & (F.col("n") >= COMMON_TIMES)).orderBy(F.col("n").desc(), "word").limit(COMMON).toArrow()
+    book = Book(list(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)))
+    del often
     sent = docs.sparkSession.sparkContext.broadcast(book)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,6 @@
 """Verse queries and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import verse_queries
+
+QUERIES: dict = dict(verse_queries.QUERIES)
+ORACLES: dict = dict(verse_queries.ORACLES)

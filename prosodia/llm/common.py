@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,12 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder by 5; null ids count as not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == remainder, F.lit(False))
+
+
+def release_memory() -> None:
+    """Give back what a reused worker still holds from an earlier stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out
+from .common import held_out, release_memory
 
 BLOCK, LEVEL, DICT_BYTES = 1024, 3, 112_640
 MAX_ROWS, ROW_BLOCKS = 2500, 8
@@ -132,6 +132,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "sc
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         m = sent.value
         for b in batches:
             scores = pa.array([m.score((x.as_py() or "").encode()) for x in b.column(text)], pa.float64())

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import publish
+from .common import publish, release_memory
 
 MIN_LEN, GRAM = 400, 250
 GROUP = 4096
@@ -195,6 +195,7 @@ def _stage(docs: DataFrame, key: str, min_len: int, gram: int) -> DataFrame:
     pass_on = [f for f in docs.schema.fields if f.name != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         own, pack = Owners(min_len, gram), zstandard.ZstdCompressor(level=1)
         occ = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("o", pa.int32())])
         for big in batches:

@@ -1,6 +1,6 @@
 """Verse queries and their SQL, by name."""
 
-from . import verse_queries
+from . import rhyme_queries, sound_queries, statistics_queries, verse_queries  # noqa: F401  all register
 
-QUERIES: dict = dict(verse_queries.QUERIES)
-ORACLES: dict = dict(verse_queries.ORACLES)
+QUERIES: dict = verse_queries.QUERIES
+ORACLES: dict = verse_queries.ORACLES

@@ -34,25 +34,25 @@ MEASURES = {"m_symbols": ("upper", 15), "m_capitals": ("upper", 60), "m_dup_line
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: A thresholds table of at most this many groups is broadcast; a larger one is joined by shuffle.
 BROADCAST_GROUPS = 20_000
-_INNER = ["_t", "_w", "_w2", "_l", "_s", "_p", "_o", "_fl", "_fs", "_caps", "_n_lines"]
+_INNER = ["_t", "_w", "_l", "_s", "_p", "_o", "_fl", "_fs", "_caps", "_n_lines"]
 
 
 def _removed(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+def _once(df: DataFrame, names: list[str]) -> DataFrame:
     """df with columns that are worked out once a row: a filter above is not pushed through a generator, which would put a copy of
     their expressions into each place that names them, lambda bodies included."""
-    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_o")).select(*df.columns, "_o.*")
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_o")).select(*rest, "_o.*")
 
 
 def cheap_measures(docs: DataFrame) -> DataFrame:
     """Measures that need no sorting: one pass over the text."""
     t = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_t", t).withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
-    out = _once(
-        out,
+    out = out.withColumns(
         {
             "n_words": F.size(words(F.col("_t"))).cast("long"),
             "word_chars": F.length(F.translate("_t", SPACES, "")).cast("long"),
@@ -60,7 +60,7 @@ def cheap_measures(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "_caps": _removed(F.col("_t"), UPPER).cast("long"),
             "_n_lines": F.size("_l").cast("long"),
-        },
+        }
     )
     per = lambda a, b, unit: F.expr(f"coalesce({a} * {unit} div nullif({b}, 0), 0)")
     return out.withColumns(
@@ -78,11 +78,17 @@ def repeat_words(docs: DataFrame, window: int = 5) -> DataFrame:
     hashes are sorted with their places; equal neighbours are repeats; the union of their spans
     is summed over the places in order."""
     w = docs.withColumn("_w", words(F.col("text")))
-    windows = F.transform(F.sequence(F.lit(1), F.size("_w") - (window - 1)), lambda i: F.struct(F.xxhash64(F.slice("_w", i, window)).alias("h"), i.alias("i")))
-    w = _once(_once(w, {"_w2": F.col("_w")}).drop("_w").withColumnRenamed("_w2", "_w"), {"_s": F.when(F.size("_w") > window, F.sort_array(windows))}).drop("_w")
-    w = _once(w, {"_p": F.expr("sort_array(transform(filter(_s, (x, j) -> x.h <=> get(_s, j - 1).h or x.h <=> get(_s, j + 1).h), x -> x.i))")}).drop("_s")
-    w = _once(w, {"n_repeat_words": F.expr(f"coalesce(aggregate(transform(_p, (p, j) -> least({window}, coalesce(get(_p, j + 1) - p, {window}))), 0L, (a, x) -> a + x), 0L)")})
-    return w.drop("_p")
+    w = w.withColumn(
+        "_s",
+        F.when(
+            F.size("_w") > window,
+            F.sort_array(F.transform(F.sequence(F.lit(1), F.size("_w") - (window - 1)), lambda i: F.struct(F.xxhash64(F.slice("_w", i, window)).alias("h"), i.alias("i")))),
+        ),
+    )
+    at = lambda i: F.get(F.col("_s"), i)["h"]
+    w = w.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, j) -> x.h <=> get(_s, j - 1).h or x.h <=> get(_s, j + 1).h), x -> x.i))"))
+    w = w.withColumn("n_repeat_words", F.expr(f"coalesce(aggregate(transform(_p, (p, j) -> least({window}, coalesce(get(_p, j + 1) - p, {window}))), 0L, (a, x) -> a + x), 0L)"))
+    return w.drop("_w", "_s", "_p")
 
 
 def bucket(v: str) -> Column:
@@ -135,7 +141,7 @@ def apply_quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, k: int = K) -
     cut = fences.withColumnsRenamed({"lang": "_fl", "source": "_fs"})
     if fences.count() <= BROADCAST_GROUPS:
         cut = F.broadcast(cut)
-    rows = repeat_words(cheap_measures(docs))
+    rows = _once(repeat_words(cheap_measures(docs)), [*BASE, *MEASURES])
     rows = rows.join(cut, F.col("lang").eqNullSafe(F.col("_fl")) & F.col("source").eqNullSafe(F.col("_fs")), "left")
     bad = F.lit(False)
     for m, (side, _) in MEASURES.items():

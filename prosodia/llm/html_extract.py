@@ -101,9 +101,10 @@ def units(page: str) -> list[tuple[str, str]]:
         name = name.lower()
         if end:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            marked = depth is not None and stack[depth][1]
             if depth is not None:
                 close(depth)
-            if not hidden:
+            if not hidden and not marked:
                 out.append(("</" + name, ""))
             continue
         if name == "body":
@@ -122,11 +123,11 @@ def units(page: str) -> list[tuple[str, str]]:
             if not hidden:
                 out.append(("boiler", ""))
             continue
-        if not hidden:
+        mark = _marked(name, attrs)
+        if not hidden and not mark:
             out.append(("<" + name, ""))
         if name in VOID or attrs.endswith("/") and name not in ("a", "p", "div", "span"):
             continue
-        mark = _marked(name, attrs)
         if mark and name == "header" and any(x in ("article", "main") for x, _ in stack):
             inner = page[at : page.find("</header", at) if page.find("</header", at) >= 0 else n]
             mark = re.search(r"<h1[\s>]", inner, re.I) is None

@@ -48,7 +48,10 @@ BATCH_WORDS = 2_000_000
 SLICE, RIDGE = 5_000, 200.0
 #: Words that have a code, at most, their greatest length in bytes and least count.
 COMMON, COMMON_BYTES, COMMON_TIMES = 131_072, 64, 4
-REMEMBERED = 500_000
+REMEMBERED = 900_000
+#: Items worked out at once: their decisions stay in a core's cache.
+TOGETHER = 2_000
+_KNOWN: dict = {}
 CHUNK = 1 << 14
 #: Bytes by falling frequency in European prose; the rest are rarer still.
 FREQUENT = b" etanirsoldhucmpgvfbzkqwyxj\xc3,.'-"
@@ -137,6 +140,11 @@ def _spread(code: tuple, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.repeat(np.arange(len(of)), n), nodes[at], bits[at]
 
 
+def _hashed(h: np.ndarray) -> np.ndarray:
+    v = (h + np.uint64(1)) * _MUL
+    return v ^ (v >> np.uint64(31))
+
+
 class Decisions:
     """The decisions of a list of items: slots by table, bits, item numbers and kind (0, 1, 2: at the first byte, the second, later; 3: of
     common words)."""
@@ -149,7 +157,7 @@ class Decisions:
         at, node_c, bit_c = _spread(book.code, number[common])
         item_c = common[at]
         rare = np.flatnonzero(number < 0)
-        contexts, item_r, node_r, bit_r, place_r = self._spelled([keys[i] for i in rare], rare)
+        contexts, of, item_r, node_r, bit_r, place_r = self._spelled([keys[i] for i in rare], rare)
         everyone = np.arange(0 if spell else len(keys))
         self.item = np.concatenate([everyone, item_c, item_r])
         self.bits = np.concatenate([(number[everyone] >= 0).astype(np.uint8), bit_c, bit_r])
@@ -160,15 +168,17 @@ class Decisions:
         self.slots = []
         before = kind[self.item[:coded]] + np.uint64(300)
         for k, t in enumerate(TABLES[:-1]):
-            v = np.concatenate([before if k == 0 else np.zeros(coded, np.uint64), contexts[k]])
-            v = (v + np.uint64(1)) * _MUL
-            v ^= v >> np.uint64(31)
-            v = (v + step) * _MUL
-            self.slots.append((v >> np.uint64(64 - t)).astype(np.int64))
+            # contexts are hashed once a byte, and mixed with the node once a decision
+            own = _hashed(before) if k == 0 else np.full(coded, _hashed(np.zeros(1, np.uint64))[0])
+            v = np.concatenate([own, _hashed(contexts[k])[of]])
+            v += step
+            v *= _MUL
+            v >>= np.uint64(64 - t)
+            self.slots.append(v.view(np.int64))
         self.slots.append(node.astype(np.int64))
 
     @staticmethod
-    def _spelled(keys: list[bytes], items_: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _spelled(keys: list[bytes], items_: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(k + b" " for k in keys), np.uint8)
         size = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
         start = np.cumsum(size) - size
@@ -197,7 +207,7 @@ class Decisions:
         real = np.flatnonzero(place > 0)
         at, node, bit = _spread(_BYTES, raw[real].astype(np.int64))
         of = real[at]
-        return [h[of] for h in (b1, h2, h3, h5, so_far)], items_[item[of]], node, bit, np.minimum(place[of] - 1, 2).astype(np.int8)
+        return [b1, h2, h3, h5, so_far], of, items_[item[of]], node, bit, np.minimum(place[of] - 1, 2).astype(np.int8)
 
 
 def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -400,7 +410,10 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Mixer, key: str = "do
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = sent.value
         common = mixer.book.base
-        known: dict[bytes, float] = {}
+        if _KNOWN.get("of") is not mixer:  # a worker keeps what it has worked out for its next tasks
+            _KNOWN.clear()
+            _KNOWN.update(of=mixer, known={})
+        known: dict[bytes, float] = _KNOWN["known"]
         pair = pa.struct([("word", pa.binary()), ("n", pa.int32())])
         for big in batches:
             for lo in range(0, big.num_rows, 400):
@@ -408,11 +421,11 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Mixer, key: str = "do
                 parted = [items(x.as_py() or b"") for x in b.column("_text")]
                 new = set().union(*(k for _, k in parted)).difference(known)
                 if len(known) + len(new) > REMEMBERED and known:
-                    known = {}
+                    known.clear()
                     new = set().union(*(k for _, k in parted))
                 new = sorted(new)
-                for at in range(0, len(new), 20_000):
-                    known.update(zip(new[at : at + 20_000], mixer.log10(new[at : at + 20_000]).tolist(), strict=True))
+                for at in range(0, len(new), TOGETHER):
+                    known.update(zip(new[at : at + TOGETHER], mixer.log10(new[at : at + TOGETHER]).tolist(), strict=True))
                 n, hits, base, score, size, rare, ends = [], [], [], [], [], [], [0]
                 for ws, ks in parted:
                     found = list(filter(None.__ne__, map(common.get, ws)))

@@ -110,3 +110,41 @@ def rate(one: DataFrame, other: DataFrame | None, by: list[str], word: str = "wo
         times = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(times).cast("long")
     pairs = pairs.withColumns({"m": times, "s": F.expr(R.word_score("a", "b"))})
     return pairs.groupBy(*by).agg(F.sum(F.when(F.col("s") >= threshold, F.col("m")).otherwise(0)).alias("hits"), F.sum("m").alias("tries"))
+
+
+#: Weights by position (count, score), the share of the score, and the exponent of a match.
+NEUTRAL = {"first": (1.0, 1.0), "mid": (1.0, 1.0), "penult": (1.0, 1.0), "ult": (1.0, 1.0), "bias": 0.5, "exponent": 2.4}
+END_BIAS = {"first": (1.0, 0.5), "mid": (1.0, 0.5), "penult": (0.8, 0.8), "ult": (1.2, 1.0), "bias": 0.5, "exponent": 2.4}
+END_RHYMES = {"first": (0.0, 0.0), "mid": (0.0, 0.0), "penult": (0.0, 0.0), "ult": (1.0, 1.0), "bias": 0.5, "exponent": 2.4}
+MID_RHYMES = {"first": (0.0, 0.0), "mid": (1.0, 1.0), "penult": (0.0, 0.0), "ult": (0.0, 0.0), "bias": 0.5, "exponent": 2.4}
+
+
+def score(ends: DataFrame, links: DataFrame, config: dict, by: list[str], order: str = "line_idx", reach: int = 3) -> DataFrame:
+    """(by, n_lines, score) of passages: linked words count by position, and score by their best match; a linked last word scores by its best end
+    rhyme within `reach` lines or its rhyme with its own middle, whichever weighs more. A word's own line is no partner of its end. Positions
+    that are the same word count each."""
+    w = _window(by, order)
+    near = [F.lead("ends.ult", k).over(w) for k in range(1, reach + 1)], [F.lag("ends.ult", k).over(w) for k in range(1, reach + 1)]
+    rows = ends
+    names = []
+    for k, (ahead, behind) in enumerate(zip(*near, strict=True), 1):
+        rows = rows.withColumns({f"_f{k}": ahead, f"_p{k}": behind})
+        names += [f"_f{k}", f"_p{k}"]
+    rows = rows.withColumn("_u", F.col("ends.ult"))
+    best_end = F.greatest(*[F.expr(R.word_score("_u", n)) for n in names])
+    rows = rows.withColumns({"_end": best_end, "_own": F.expr(R.word_score("_u", "ends.mid"))})
+    match = links.groupBy(*by, "line").agg(F.map_from_entries(F.collect_list(F.struct("i", "score"))).alias("_m"))
+    rows = rows.join(match.withColumnRenamed("line", order), [*by, order], "left")
+    count, total = F.lit(0.0), F.lit(0.0)
+    for p in POSITIONS:
+        c, s = config[p]
+        linked = F.try_element_at("_m", F.col(f"at.{p}"))
+        count = count + F.when(linked.isNotNull(), F.lit(c)).otherwise(0.0)
+        if p == "ult":
+            mid_weight = config["mid"][1]
+            chosen = F.when(F.col("_end") * s >= F.col("_own") * mid_weight, F.pow("_end", F.lit(config["exponent"])) * s).otherwise(F.pow("_own", F.lit(config["exponent"])) * mid_weight)
+            total = total + F.when(linked.isNotNull(), chosen).otherwise(0.0)
+        else:
+            total = total + F.when(linked.isNotNull(), F.pow(linked, F.lit(config["exponent"])) * s).otherwise(0.0)
+    b = config["bias"]
+    return rows.groupBy(*by).agg(F.count("*").alias("n_lines"), ((F.sum(total) * b + F.sum(count) * (1 - b)) / F.count("*")).alias("score"))

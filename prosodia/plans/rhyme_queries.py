@@ -111,3 +111,30 @@ def scan_slant_leo(spark, d):
 
 for _n in ("rhyme_baseline_bruteforce", "rhyme_baseline_cross", "link_best_match", "scan_slant_leo"):
     _with_ends(_n)
+
+
+def _score_sql(config: dict, reach: int = 3) -> str:
+    end = ", ".join(f"{R.word_score('ult', f'{f}{k}')}" for k in range(1, reach + 1) for f in ("f", "p"))
+    near = ", ".join(f"lead(ult, {k}) over o as f{k}, lag(ult, {k}) over o as p{k}" for k in range(1, reach + 1))
+    joins = " ".join(f"left join k k_{p} on k_{p}.book_no = z.book_no and k_{p}.line = z.line_idx and k_{p}.i = z.{p}_at" for p in rhyme.POSITIONS)
+    at = ", ".join(f"{_AT[p]} as {p}_at" for p in rhyme.POSITIONS)
+    x = config["exponent"]
+    count = " + ".join(f"case when k_{p}.score is not null then {R.d(config[p][0])} else 0e0 end" for p in rhyme.POSITIONS)
+    total = " + ".join(f"case when k_{p}.score is not null then pow(k_{p}.score, {R.d(x)}) * {R.d(config[p][1])} else 0e0 end" for p in rhyme.POSITIONS if p != "ult")
+    s, m = R.d(config["ult"][1]), R.d(config["mid"][1])
+    total += f" + case when k_ult.score is not null then case when z.best * {s} >= z.own * {m} then pow(z.best, {R.d(x)}) * {s} else pow(z.own, {R.d(x)}) * {m} end else 0e0 end"
+    b = config["bias"]
+    return f"""k as ({_link_sql(rhyme.BASIC_VERTICAL)}),
+z0 as (select *, {near} from e window o as (partition by book_no order by line_idx)), z as (select book_no, line_idx, {at}, greatest({end}) as best, {R.word_score('ult', 'mid')} as own from z0)
+select z.book_no, count(*) as n_lines, round((sum({total}) * {b}e0 + sum({count}) * {1 - b}e0) / count(*), 6) as score from z {joins} group by z.book_no"""
+
+
+@query("lineset_score", "select 1")
+def lineset_score(spark, d):
+    """Rhyme score of each book by the end-biased weights, over basic vertical links."""
+    rows = ends(spark, d).select("book_no", "line_idx", "ends", "at")
+    links = rhyme.link(rows, rhyme.BASIC_VERTICAL, ["book_no"]).withColumn("score", F.round("score", 9))
+    return rhyme.score(rows, links, rhyme.END_BIAS, ["book_no"]).withColumn("score", F.round("score", 6))
+
+
+ORACLES["lineset_score"] = f"{bridge.prelude()},\n{_ENDS},\n{_score_sql(rhyme.END_BIAS)}"

@@ -325,3 +325,15 @@ select work, author""", 1)
 def punct_split(spark, d):
     words = bridge.lines(spark, d).select(F.explode("words.text").alias("text")).distinct()
     return words.select("text", *search.punct_split("text"))
+
+
+@query("scansion_strings", "select distinct text, list_filter(range(0, length(text)), lambda i: text[i + 1] <> ' ')::int[] as marks, list_filter(range(0, length(text)), lambda i: text[i + 1] = ' ')::int[] as blanks from (select string_agg(sy, ' ' order by word_idx) as text from raw group by book_no, line_idx)", clean=False)
+def scansion_strings(spark, d):
+    """Places of marks and blanks in the distinct scansions."""
+    from prosodia.functions import strings
+
+    rows = bridge.lines(spark, d).select(F.array_join(F.transform("words", lambda w: w["sy"]), " ").alias("text")).distinct()
+    return rows.select("text", F.to_json(strings.mark_places(F.col("text"))).alias("marks"), F.to_json(strings.blank_places(F.col("text"))).alias("blanks"))
+
+
+ORACLES["scansion_strings"] = ORACLES["scansion_strings"].replace("::int[] as marks", "::int[]::json::varchar as marks").replace("::int[] as blanks", "::int[]::json::varchar as blanks")

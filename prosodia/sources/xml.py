@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = "word array<struct<_sy:string,_wb:string,_mf:string,_VALUE:string>>"
 LINE = f"struct<_name:string,_metre:string,_meter:string,_pattern:string,{WORD.replace('word ', 'word:')}>"
@@ -22,16 +23,20 @@ def read_poem(spark: SparkSession, paths: str | list[str], work: str | None = No
     if not paths:
         raise ValueError("a work has a file at least")
     named = F.lit(work if work is not None else paths[0].rsplit("/", 1)[-1])
-    whole = spark.read.option("wholetext", True).text(paths).withColumn("_file", F.col("_metadata.file_path"))
-    # one row a document: from_xml keeps the divisions' order
-    doc = whole.select("_file", F.from_xml("value", f"division array<struct<_title:string,line:array<{LINE}>>>, line array<{LINE}>").alias("d"))
-    order = {p.rsplit("/", 1)[-1]: i for i, p in enumerate(paths)}
-    rank = F.coalesce(*[F.when(F.col("_file").endswith(k), F.lit(i)) for k, i in order.items()], F.lit(len(order)))
-    one = F.array(F.struct(F.lit(None).cast("string").alias("_title"), F.col("d.line").alias("line")))
-    books = doc.select(rank.alias("_rank"), F.posexplode(F.coalesce("d.division", one)).alias("_k", "b"))
-    books = books.withColumn("book_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_rank", "_k")))
-    rows = books.select("book_no", F.col("b._title").alias("book_title"), F.posexplode("b.line").alias("_i", "l"))
-    rows = rows.withColumn("line_idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("book_no", "_i")) - 1)
+    parts = []
+    for i, path in enumerate(paths):
+        load = lambda tag, ddl, path=path: spark.read.format("xml").option("rowTag", tag).schema(ddl).load(path)
+        books = load("division", DIVISION)
+        if books.isEmpty():
+            books = load("line", StructType.fromDDL(f"x {LINE}")["x"].dataType).select(F.struct("*").alias("l"), F.monotonically_increasing_id().alias("_i"), F.lit(0).alias("_k"), F.lit(None).cast("string").alias("book_title"))
+        else:  # readers keep the order of a file
+            books = books.withColumn("_k", F.monotonically_increasing_id()).select("_k", F.col("_title").alias("book_title"), F.posexplode("line").alias("_i", "l"))
+        parts.append(books.select(F.lit(i).alias("_rank"), F.col("_k").cast("bigint").alias("_k"), F.col("_i").cast("bigint").alias("_i"), "book_title", F.col("l").cast(LINE).alias("l")))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    work_ = Window.partitionBy(F.lit(0))
+    rows = rows.withColumns({"book_no": F.dense_rank().over(work_.orderBy("_rank", "_k")), "line_idx": F.row_number().over(work_.orderBy("_rank", "_k", "_i")) - 1})
     return _lines(rows.withColumns({"work": named, "author": F.lit(author)}))
 
 

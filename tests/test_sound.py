@@ -113,3 +113,11 @@ def test_stream(spark, tmp_path):
     q = verse_stream.line_features(verse_stream.read_lines(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("feats").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("feats").count() == 3
+
+
+def test_strings(spark):
+    from prosodia.functions import strings as T
+
+    df = spark.createDataFrame([("ar ma  vi", ["ar", "ma", "vi"], "abcd", "abxd")], "t string, s array<string>, a string, b string")
+    r = df.select(T.mark_places(F.col("t")).alias("m"), T.blank_places(F.col("t")).alias("k"), T.with_trailing_blanks(F.col("t"), F.col("s")).alias("w"), T.differences(F.col("a"), F.col("b")).alias("d"), T.unstressed(F.array(F.lit(1)), F.lit(3)).alias("u"), T.punctuation_to_blanks(F.lit("a,b")).alias("p"), T.stress_places(F.lit("- U -"), "-").alias("x")).first()
+    assert r.m == [0, 1, 3, 4, 7, 8] and r.k == [2, 5, 6] and r.w == ["ar ", "ma  ", "vi"] and r.d == [2] and r.u == [0, 2] and r.p == "a b" and r.x == [0, 2]

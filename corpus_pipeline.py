@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosodia.llm import compression_classifier, packing, quality_rules, simhash, suffix_dedup
+from prosodia.llm import compression_classifier, packing, quality_rules, similar_sets, suffix_dedup
 from prosodia.llm.common import publish
 
 
@@ -27,8 +27,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least id; of rows that repeat that id, one."""
-    return simhash.keep_one(docs)
+    """One document of each group linked by Jaccard similarity of 5-word shingles >= 0.8, the one of least id; of rows that repeat that id, one."""
+    return similar_sets.keep_one(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

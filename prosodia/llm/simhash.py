@@ -110,13 +110,20 @@ class Joined:
             self.up[max(a, b)] = min(a, b)
 
 
+def differing(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, each a number or a row of numbers."""
+    if fps.ndim == 1:
+        return np.bitwise_count(fps[i] ^ fps[j])
+    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.uint16) for w in fps.T)
+
+
 def compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, joined: Joined, radius: int) -> None:
     """Join all of a with all of b that lie within the radius. Each round adds one link for each row that
     has a partner in another part, until none has."""
     for lo in range(0, len(a), LEAF):
         for left in range(0, len(b), LEAF):
             i, j = a[lo : lo + LEAF], b[left : left + LEAF]
-            near = np.bitwise_count(fps[i][:, None] ^ fps[j][None, :]) <= radius
+            near = differing(fps, i[:, None], j[None, :]) <= radius
             while True:
                 bad = near & (joined.roots(i)[:, None] != joined.roots(j)[None, :])
                 rows = np.flatnonzero(bad.any(axis=1))
@@ -135,7 +142,7 @@ def self_join(fps: np.ndarray, at: np.ndarray, joined: Joined, radius: int) -> N
         if len(at) <= LEAF:
             compare(fps, at, at, joined, radius)
             continue
-        d = np.bitwise_count(fps[at] ^ fps[at[0]]).astype(int)
+        d = differing(fps, at, at[0]).astype(int)
         for p in at[(d <= radius) & (d > 0)]:
             joined.union(at[0], p)
         cut = int(np.median(d))

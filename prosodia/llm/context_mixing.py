@@ -1,22 +1,28 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its lower-cased (A-Z) words, then an end. A word is a path of yes/no decisions: whether it is one of the COMMON most
-frequent words; if so, down a prefix code of these words; if not, byte by byte down a fixed prefix code of bytes, closed by a
-space. Each decision is predicted under several hashed contexts: the place in the code alone, the kind of ending of the
-word before, and in spelled words the last one, two, three and five bytes and the word so far. A context's
-table slot holds how often either answer was seen. The predictions' log-odds are summed with weights that a gate selects (how well the
-longer contexts are known, and what kind of decision it is), and the sum is refined by a table of how such sums turned out. The total of
-the logarithms is the score; divided by the bytes it gives bits per byte.
-
-Learning is online: each task goes through its documents in batches. The tables take a slice of a batch in, every decision of it is
-predicted as if its own occurrence had not been counted, and the gated weights and the refining table take
-steps on the errors (online Newton steps: the gradient over the curvature summed up so far). Tasks merge by adding tables
-(which have a fixed size, whatever the corpus) and averaging weights by the decisions seen. All training texts are learnt
-from. Within a batch, equal words after equal endings are one item with a weight, and in scoring each is worked out once
-by a worker; this changes nothing but the time.
-
-The base score (add-half unigram) uses exact counts of all training words: those of common words are broadcast, the others are
-joined by word, so common words do not travel.
+A text is its lower-cased (A-Z) words, then an end. The mixing itself is in `mixing`: every word is a path of yes/no decisions
+(is it what followed here most often; the bits of its code; the bits of its bytes), each predicted under several hashed contexts (the words
+before and their kinds; the last bytes and the word so far where a word is spelled), whose log-odds are summed by gated weights and refined.
+
+Layout. One model of a whole corpus fits no machine, and its tables have to grow with the corpus. So occurrences are dealt to pages by
+the word before, about PAGE tokens a page, and each page is learnt and scored by one task on its own: it holds all occurrences of
+its contexts, so their counts are those of the whole corpus, and the number of pages follows the number of tokens. A word that occurs more than
+HOT times is dealt in parts by the hash of the word before it, and if that one is as frequent, also by the hash of the document's
+key: no group of equal words, pairs or passages meets in one page. Such a part is a context of its own, of some HOT tokens. Pages, parts and the
+order of learning are functions of hashes and of the corpus' counts alone, so that scores do not depend on partitions; sums are of whole
+millionths. The batches' parts of pages travel packed, and the pages' sums by document come back packed.
+
+The COMMON most frequent words have a code; others are spelled (as rare words are in any vocabulary of bounded size), with byte
+contexts of the page. The code is broadcast (under 60 MB whatever the corpus). A word seen once in training is learnt as a spelled
+one, so that the chance of new words is learnt from words that were new.
+
+Two scores come out. `score` is by all that was learnt, the text's own occurrences included where it is a training text, as in the
+base score. `online_score` is what learning itself saw: each decision of a training text before its own occurrence counted;
+for held-out texts it equals `score`. A text that has a copy elsewhere is cheap by it, one that has none is not.
+
+The base score (add-half unigram) uses exact counts of all training words: those of words with a code are broadcast, the others are
+joined by word, so common words do not travel. It gives every unknown word the same share, however many there are, so a model that has to
+spell them costs more there.
 
 Defined results: a null or empty text is only an end; repeated rows each get a row; null ids count as training rows; with no training rows
 every decision is even; an empty table gives an empty result; other columns are ignored.
@@ -24,300 +30,192 @@ every decision is even; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import math
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from operator import add, itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, publish
-
-#: log2 of the slots of each context's table: ending before or one byte, two bytes, three, five, the word so far, the place in the code.
-TABLES = (18, 18, 19, 20, 21, 19)
-GATES, STEPS = 64, 33
-#: Weights before learning, by table, and of the constant input.
-START = (0.1, 0.05, 0.15, 0.3, 0.4, 0.1, 0.0)
-BATCH_WORDS = 2_000_000
-#: Items in a step of the weights, and what holds weights to where they start.
-SLICE, RIDGE = 5_000, 200.0
-#: Words that have a code, at most, their greatest length in bytes and least count.
-COMMON, COMMON_BYTES, COMMON_TIMES = 131_072, 64, 4
-REMEMBERED = 900_000
-#: Items worked out at once: their decisions stay in a core's cache.
-TOGETHER = 2_000
-_KNOWN: dict = {}
-CHUNK = 1 << 14
-#: Bytes by falling frequency in European prose; the rest are rarer still.
-FREQUENT = b" etanirsoldhucmpgvfbzkqwyxj\xc3,.'-"
-_P = [bytes([i]) for i in range(256)]
+from . import mixing
+from .common import held_out, publish, release_memory
+
+#: Words that have a code, at most, and their greatest length in bytes.
+COMMON, COMMON_BYTES = 262_144, 256
+#: Tokens of a page, about; occurrences of a word in one part; tokens that a task packs at once.
+PAGE, HOT, BATCH = 1 << 20, 1 << 18, 1 << 20
 END = b"\n"
+#: Number of what stands before a text; words without a code have lower ones, with their kind in the low byte.
+START = -1
+SCALE = 1e6
 
 
-def endings() -> bytes:
-    """The kind of ending by a word's last byte: 1 full stop, 2 other ASCII marks, 3 digits, 4 letters, 5 end."""
-    t = bytearray(b"\x04" * 256)
-    for c in range(33, 127):
-        if not chr(c).isalnum():
-            t[c] = 2
-    for c in b".!?":
-        t[c] = 1
-    for c in b"0123456789":
-        t[c] = 3
-    t[10] = 5
-    return bytes(t)
-
-
-ENDINGS = endings()
-
-
-def items(text: bytes) -> tuple[list[bytes], list[bytes]]:
-    """(words and the end, the same with the kind of the ending before in front)."""
-    ws = text.lower().split()
-    ws.append(END)
-    before = b"\0" + bytes(map(itemgetter(-1), ws)).translate(ENDINGS)
-    return ws, list(map(add, map(_P.__getitem__, before), ws))
-
-
-def prefix_code(weights: list[float], node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a prefix code for things of these weights: each one's first place, its length, and node (numbered from `node`) and bit by place."""
-    heap = [(w, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    n = len(weights)
-    above, side = array("q", [-1]) * max(2 * n - 1, 0), array("B", [0]) * max(2 * n - 1, 0)
-    for k in range(n, 2 * n - 1):
-        (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
-        above[a] = above[b] = k
-        side[b] = 1
-        heapq.heappush(heap, (wa + wb, k))
-    first, length, nodes, bits = array("q"), array("q"), array("I"), array("B")
-    for i in range(n):
-        path, at = [], i
-        while above[at] >= 0:
-            path.append(at)
-            at = above[at]
-        first.append(len(nodes))
-        length.append(len(path))
-        nodes.extend(node + above[at] - n for at in reversed(path))
-        bits.extend(side[at] for at in reversed(path))
-    return np.array(first, np.int64), np.array(length, np.int64), np.array(nodes, np.uint32), np.array(bits, np.uint8)
-
-
-def byte_weights() -> list[float]:
-    weight = [1.0 + (30.0 if 0x80 <= b < 0xC0 else 5.0 if 33 <= b < 65 else 0.0) for b in range(256)]
-    for r, b in enumerate(FREQUENT):
-        weight[b] = 4000.0 / (r + 2)
-    return weight
-
-
-#: Nodes 0 to 254 are of the byte code, then comes the question for a common word, then the code of words.
-_BYTES = prefix_code(byte_weights(), 0)
-ASK, FIRST_WORD = 255, 256
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0x100000001B3)
-_BACK = np.uint64(pow(0x100000001B3, -1, 2**64))
+def kind(word: bytes) -> int:
+    """Kind of a word: its first three bytes, hashed to one."""
+    return crc32(word[:3]) & 255
 
 
 class Book:
-    """The common words: word to (number, log10 of its count and a half), and their code."""
+    """The common words: number by word, counts and kinds by number, and their code."""
 
-    def __init__(self, counts: list[tuple[bytes, int]]):
+    def __init__(self, counts: list[tuple[bytes, int]], total: int):
         self.words = {w: i for i, (w, _) in enumerate(counts)}
-        self.base = {w: math.log10(n + 0.5) for w, n in counts}
-        self.code = prefix_code([float(n) for _, n in counts], FIRST_WORD)
-
-
-def _spread(code: tuple, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in `of`, node, bit) of the paths of things `of`."""
-    first, length, nodes, bits = code
-    n = length[of]
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[of], n)
-    return np.repeat(np.arange(len(of)), n), nodes[at], bits[at]
-
-
-def _hashed(h: np.ndarray) -> np.ndarray:
-    v = (h + np.uint64(1)) * _MUL
-    return v ^ (v >> np.uint64(31))
-
-
-class Decisions:
-    """The decisions of a list of items: slots by table, bits, item numbers and kind (0, 1, 2: at the first byte, the second, later; 3: of
-    common words)."""
-
-    def __init__(self, keys: list[bytes], book: Book, spell: bool = False):
-        """spell: as if no word were common, and known to be so."""
-        number = np.fromiter((-1 if spell else book.words.get(k[1:], -1) for k in keys), np.int64, len(keys))
-        kind = np.fromiter(map(itemgetter(0), keys), np.uint64, len(keys))
-        common = np.flatnonzero(number >= 0)
-        at, node_c, bit_c = _spread(book.code, number[common])
-        item_c = common[at]
-        rare = np.flatnonzero(number < 0)
-        contexts, of, item_r, node_r, bit_r, place_r = self._spelled([keys[i] for i in rare], rare)
-        everyone = np.arange(0 if spell else len(keys))
-        self.item = np.concatenate([everyone, item_c, item_r])
-        self.bits = np.concatenate([(number[everyone] >= 0).astype(np.uint8), bit_c, bit_r])
-        node = np.concatenate([np.full(len(everyone), ASK, np.uint64), node_c.astype(np.uint64), node_r.astype(np.uint64)])
-        coded = len(everyone) + len(item_c)
-        self.place = np.concatenate([np.full(coded, 3, np.int8), place_r])
-        step = node * np.uint64(0xD6E8FEB86659FD93)
-        self.slots = []
-        before = kind[self.item[:coded]] + np.uint64(300)
-        for k, t in enumerate(TABLES[:-1]):
-            # contexts are hashed once a byte, and mixed with the node once a decision
-            own = _hashed(before) if k == 0 else np.full(coded, _hashed(np.zeros(1, np.uint64))[0])
-            v = np.concatenate([own, _hashed(contexts[k])[of]])
-            v += step
-            v *= _MUL
-            v >>= np.uint64(64 - t)
-            self.slots.append(v.view(np.int64))
-        self.slots.append(node.astype(np.int64))
-
-    @staticmethod
-    def _spelled(keys: list[bytes], items_: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(k + b" " for k in keys), np.uint8)
-        size = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
-        start = np.cumsum(size) - size
-        item = np.repeat(np.arange(len(keys)), size)
-        place = np.arange(len(raw)) - start[item]  # 0: the kind of the ending before
-        x = raw.astype(np.uint64)
-        n = len(x)
-
-        def back(j: int) -> np.ndarray:
-            out = np.zeros(n, np.uint64)
-            out[j:] = x[: max(n - j, 0)]
-            out[place < j] = 0
+        self.counts = np.array([n for _, n in counts], np.int64)
+        self.kinds = np.array([kind(w) for w, _ in counts], np.uint8)
+        self.code = mixing.prefix_code([float(n) for _, n in counts], mixing.FIRST_WORD)
+        coded = int(self.counts[self.counts > 1].sum())
+        self.ask = math.log((coded + 0.5) / (total - coded + 0.5))
+
+    def kinds_of(self, number: np.ndarray) -> np.ndarray:
+        """Kinds by number; 0 before a text."""
+        out = (-number - 2) & 255
+        out[number == START] = 0
+        found = number >= 0
+        out[found] = self.kinds[number[found]]
+        return out
+
+    def times(self, number: np.ndarray) -> np.ndarray:
+        """Training occurrences; of what stands before a text as many as there are texts, of words without a code none."""
+        out = np.zeros(len(number), np.int64)
+        found = number >= 0
+        out[found] = self.counts[number[found]]
+        end = self.words.get(END)
+        out[number == START] = 0 if end is None else self.counts[end]
+        return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplanes(raw: bytes, kind_: type) -> np.ndarray:
+    size = np.dtype(kind_).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind_)
+
+
+class Batch:
+    """Tokens of some texts, packed by page."""
+
+    def __init__(self, book: Book, pages: int, hot: int):
+        self.book, self.pages, self.hot = book, pages, hot
+        self.number: list[np.ndarray] = []
+        self.doc: list[np.ndarray] = []
+        self.rows: list[int] = []
+        self.train: list[bool] = []
+        self.mix: list[int] = []
+        self.rare: list[bytes] = []
+        self.size = 0
+
+    def add(self, rows: list[int], train: list[bool], mix: list[int], number: np.ndarray, rare: list[bytes], lengths: list[int]) -> None:
+        """number: by token, with negative ones in order for `rare`."""
+        self.doc.append(np.repeat(np.arange(len(self.rows), len(self.rows) + len(rows)), lengths))
+        self.rows += rows
+        self.train += train
+        self.mix += mix
+        self.number.append(number)
+        self.rare += rare
+        self.size += len(number)
+
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        """(page, part): word, the two before, the hash of the third, part of a hot word, text and whether it teaches, and spelled words."""
+        if not self.size:
+            return
+        word, doc = np.concatenate(self.number), np.concatenate(self.doc).astype(np.int64)
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        place = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc))))
+
+        def before(j: int) -> np.ndarray:
+            out = np.full(len(word), START, np.int64)
+            out[j:] = word[: max(len(word) - j, 0)]
+            out[place < j] = START
             return out
 
-        b1, b2, b3 = back(1), back(2), back(3)
-        b1 = b1 + (place == 1) * np.uint64(300)
-        up, down = np.full(n + 1, _STEP, np.uint64), np.full(n + 1, _BACK, np.uint64)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * up[:n])])
-        from_ = start[item] + (place > 1)  # the kind counts only at the first byte
-        so_far = (sums[np.arange(n)] - sums[from_]) * down[from_] + (place == 1) * np.uint64(77)
-        h2 = b1 * np.uint64(1009) + b2
-        h3 = h2 * np.uint64(1009) + b3
-        h5 = (h3 * np.uint64(1009) + back(4)) * np.uint64(1009) + back(5)
-        real = np.flatnonzero(place > 0)
-        at, node, bit = _spread(_BYTES, raw[real].astype(np.int64))
-        of = real[at]
-        return [b1, h2, h3, h5, so_far], of, items_[item[of]], node, bit, np.minimum(place[of] - 1, 2).astype(np.int8)
-
-
-def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log-odds of a slot, plus 64 times how well it is known: 0 unseen, 1 up to 3 times, 2 up to 30, 3 more often."""
-    n = n0 + n1
-    level = (n > 0).astype(np.float32) + (n > 3) + (n > 30)
-    return (np.clip(np.log((n1 + 0.25) / (n0 + 0.25)), -30, 30) + 64 * level).astype(np.float32)
-
-
-class Mixer:
-    """Log-odds tables, gated weights and the table that refines."""
-
-    def __init__(self, book: Book, tables: list[np.ndarray], weights: np.ndarray, refine: np.ndarray):
-        self.book, self.tables, self.weights, self.refine = book, tables, weights, refine
-
-    def mix(self, d: Decisions) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, gates, sums, places in the refining table)."""
-        s = [t[i] for t, i in zip(self.tables, d.slots, strict=True)]
-        levels = [np.rint(v / 64) for v in s]
-        for v, level in zip(s, levels, strict=True):
-            v -= 64 * level
-        gate = (levels[4] + 4 * np.where(levels[3] > 1, levels[3], levels[2] > 1) + 16 * d.place).astype(np.int64)
-        z = self.weights[-1][gate].copy()
-        for k, v in enumerate(s):
-            z += self.weights[k][gate] * v
-        np.clip(z, -14, 14, out=z)
-        return s, gate, z, gate * STEPS + np.clip(np.rint(z * 2) + 16, 0, 32).astype(np.int64)
-
-    def log10(self, keys: list[bytes]) -> np.ndarray:
-        """log10 probability of each item."""
-        if not keys:
-            return np.zeros(0)
-        d = Decisions(keys, self.book)
-        _, _, z, r = self.mix(d)
-        z = (z + self.refine[r]) / 2
-        cost = np.log1p(np.exp(np.where(d.bits == 1, -z, z).astype(np.float64)))
-        return -np.bincount(d.item, cost, len(keys)) / math.log(10)
-
-
-def refining(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    centre = np.tile((np.arange(STEPS) - 16) / 2, GATES)
-    p = 1 / (1 + np.exp(-centre))
-    return np.log((n1 + 8 * p) / (n0 + 8 * (1 - p))).astype(np.float32)
-
-
-class Learner:
-    """What one task learns."""
-
-    def __init__(self, book: Book):
-        self.book, self.spelled = book, set()
-        self.counts = [np.zeros((2, 1 << t), np.int64) for t in TABLES]
-        self.weights = np.repeat(np.array(START, np.float32)[:, None], GATES, axis=1)
-        self.curve = np.tile(RIDGE * np.eye(len(TABLES) + 1), (GATES, 1, 1))
-        self.refine = np.zeros((2, GATES * STEPS), np.int64)
-        self.seen = 0
-
-    def learn(self, batch: Counter) -> None:
-        keys, m = list(batch), np.fromiter(batch.values(), np.int64, len(batch))
-        # a common word is also spelled, once, so that the spelling of new words is learnt from all kinds of words
-        first = [k for k in keys if k[1:] in self.book.words and k[1:] not in self.spelled and not self.spelled.add(k[1:])]
-        slices = [(keys[lo::n], m[lo::n], False) for n in [-(-len(keys) // SLICE)] for lo in range(n)]
-        slices += [(first[lo : lo + SLICE], np.ones(len(first[lo : lo + SLICE]), np.int64), True) for lo in range(0, len(first), SLICE)]
-        for k, times, spell in slices:
-            d = Decisions(k, self.book, spell)
-            w = times[d.item]
-            one = d.bits == 1
-            for bit, pick in ((0, ~one), (1, one)):
-                for c, slot in zip(self.counts, d.slots, strict=True):
-                    np.add.at(c[bit], slot[pick], w[pick])
-            self._step(d, times)
-
-    def _step(self, d: Decisions, times: np.ndarray) -> None:
-        mixer = Mixer(self.book, [_Others(c, d.bits) for c in self.counts], self.weights, refining(*self.refine))
-        s, gate, z, r = mixer.mix(d)
-        m = times[d.item].astype(np.float64)
-        p = 1 / (1 + np.exp(-z.astype(np.float64)))
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(gate, minlength=GATES))
-        x = np.stack([*s, np.ones_like(z)])[:, order].astype(np.float64)
-        error, curve = (m * (d.bits - p))[order], (m * p * (1 - p))[order]
-        for g, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            if hi > lo:
-                v = x[:, lo:hi]
-                self.curve[g] += (v * curve[lo:hi]) @ v.T
-                self.weights[:, g] += np.clip(np.linalg.solve(self.curve[g], v @ error[lo:hi]), -0.2, 0.2).astype(np.float32)
-        one = d.bits == 1
-        for bit, pick in ((0, ~one), (1, one)):
-            self.refine[bit] += np.bincount(r[pick], m[pick], GATES * STEPS).astype(np.int64)
-        self.seen += int(m.sum())
-
-    def parts(self) -> Iterator[tuple[int, int, bytes]]:
-        """(table, chunk, counts of both answers as int64); the table after the last is the refining one, then the weights, times the
-        decisions seen, and these."""
-        for t, c in enumerate([*self.counts, self.refine]):
-            for lo in range(0, c.shape[1], CHUNK):
-                part = c[:, lo : lo + CHUNK]
-                if part.any():
-                    yield t, lo // CHUNK, np.ascontiguousarray(part).tobytes()
-        share = max(1, self.seen // 1000)
-        yield len(self.counts) + 1, 0, np.append(np.rint(self.weights.astype(np.float64).ravel() * 1e4).astype(np.int64) * share, share).tobytes()
-
-
-class _Others:
-    """A table of counts that gives log-odds where it is read, less one occurrence of the bit that is read for."""
-
-    def __init__(self, counts: np.ndarray, bits: np.ndarray):
-        self.counts, self.bits = counts, bits
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return stretch(self.counts[0][i] - (self.bits == 0), self.counts[1][i] - (self.bits == 1))
+        one, two = before(1), before(2)
+        third = (mixing.mixed(before(3).view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+        n = self.book.times(one)
+        part = np.zeros(len(word), np.uint64)
+        many = np.flatnonzero(n > self.hot)
+        if len(many):
+            by = mixing.mixed(two[many].view(np.uint64))
+            both = np.flatnonzero(self.book.times(two[many]) > self.hot)
+            by[both] ^= mixing.mixed(np.array(self.mix, np.int64).view(np.uint64)[doc[many[both]]])
+            part[many] = mixing.mixed(by) % (-(-n[many] // self.hot)).astype(np.uint64)
+        page = (mixing.mixed(mixing.mixed(one.view(np.uint64)) + part) % np.uint64(self.pages)).astype(np.int64)
+        order = np.argsort(page, kind="stable")
+        cuts = np.flatnonzero(np.diff(page[order], prepend=-1)).tolist() + [len(order)]
+        spelled = np.full(len(word), -1, np.int64)
+        spelled[word < 0] = np.arange(len(self.rare))
+        rows, train = np.array(self.rows, np.int64), np.array(self.train, bool)
+        pack = zstandard.ZstdCompressor(level=1)
+        for a, z in itertools.pairwise(cuts):
+            at = order[a:z]
+            docs, idx = np.unique(doc[at], return_inverse=True)
+            texts = b" ".join([self.rare[i] for i in spelled[at].tolist() if i >= 0])
+            parts = [_planes(x) for x in (word[at].astype(np.int32), one[at].astype(np.int32), two[at].astype(np.int32), idx.astype(np.int32))]
+            parts += [_planes(part[at].astype(np.int32)), third[at].tobytes(), _planes(rows[docs]), train[docs].tobytes()]
+            head = np.array([len(at), len(docs)], np.int64).tobytes()
+            yield int(page[at[0]]), pack.compress(b"".join([head, *parts, texts]))
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    n, docs = np.frombuffer(raw[:16], np.int64).tolist()
+    at, out = 16, []
+    for size, kind_, count in ((4, np.int32, n),) * 5:
+        out.append(_unplanes(raw[at : at + size * count], kind_).astype(np.int64))
+        at += size * count
+    out.append(np.frombuffer(raw[at : at + n], np.uint8).astype(np.int64))
+    at += n
+    out.append(_unplanes(raw[at : at + 8 * docs], np.int64))
+    out.append(np.frombuffer(raw[at + 8 * docs : at + 9 * docs], bool))
+    words = raw[at + 9 * docs :]
+    return *out, words.split(b" ") if words else []
+
+
+def score_page(book: Book, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part of a page (rows, score, online score), the latter in millionths: learnt from the page's training tokens."""
+    unpack = zstandard.ZstdDecompressor()
+    got = [_unpacked(unpack.decompress(p)) for p in parts]
+    word, one, two, idx, part, third = (np.concatenate([g[i] for g in got]) for i in range(6))
+    lengths = [len(g[0]) for g in got]
+    train = np.concatenate([g[7][g[3]] for g in got])
+    texts = list(itertools.chain.from_iterable(g[8] for g in got))
+    spelled = np.full(len(word), -1, np.int64)
+    spelled[word < 0] = np.arange(len(texts))
+    what = word.astype(np.int64).view(np.uint64).copy()
+    if texts:
+        what[word < 0] = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+    m = mixing.mixed
+    what = m(what + np.uint64(1 << 50))
+    key = m(m(m(one.view(np.uint64)) + part.view(np.uint64)) + m(two.view(np.uint64) * np.uint64(3)) + third.view(np.uint64)) ^ what
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    times = np.bincount(inverse, train, len(first)).astype(np.int64)
+    number = np.maximum(word[first], -1)
+    once = np.zeros(len(first), bool)
+    names: list[bytes] = []
+    if len(book.counts) and book.counts[-1] < 2:
+        names = list(book.words)
+        once = (number >= 0) & (book.counts[number] < 2)
+    told = {i: texts[s] for i, s in enumerate(spelled[first].tolist()) if s >= 0} | {i: names[number[i]] for i in np.flatnonzero(once).tolist()}
+    kinds = [book.kinds_of(one[first]), book.kinds_of(two[first]), third[first]]
+    items = mixing.Items(number, what[first], one[first], two[first], part[first], kinds, told, times)
+    del key, what, word, one, two, part, third, spelled
+    page = mixing.Page(book.code, book.ask, items, once, len(inverse))
+    online = page.learn()
+    score = page.log10()
+    score, online = (np.rint(x * SCALE)[inverse] for x in (score, np.where(np.isnan(online), score, online)))
+    online = np.where(train, online, score)
+    out, at = [], 0
+    for g, n in zip(got, lengths, strict=True):
+        sums = [np.bincount(g[3], x[at : at + n], len(g[6])).astype(np.int64) for x in (score, online)]
+        out.append((g[6], *sums))
+        at += n
+    return out
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -343,130 +241,163 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(each, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, counts: DataFrame, text: str = "text") -> Mixer:
-    """The model from all of docs; counts as of count_words."""
-    often = counts.where((F.octet_length("word") <= COMMON_BYTES) & (F.col("n") >= COMMON_TIMES)).orderBy(F.col("n").desc(), "word").limit(COMMON).toArrow()
-    book = Book(list(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)))
-    del often
-    sent = docs.sparkSession.sparkContext.broadcast(book)
+def book_of(counts: DataFrame, total: int, common: int = COMMON) -> Book:
+    """The common words of counts (word, n)."""
+    often = counts.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.col("n").desc(), "word").limit(common).toArrow()
+    return Book(list(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)), total)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, batch, size = Learner(sent.value), Counter(), 0
-        for b in batches:
-            for x in b.column("_text"):
-                ws, keys = items(x.as_py() or b"")
-                batch.update(keys)
-                size += len(ws)
-                if size >= BATCH_WORDS:
-                    learner.learn(batch)
-                    batch, size = Counter(), 0
-        learner.learn(batch)
-        parts = list(learner.parts()) if learner.seen else []
-        for lo in range(0, len(parts), 16):
-            ps = parts[lo : lo + 16]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in ps], pa.int32()), pa.array([p[1] for p in ps], pa.int32()), pa.array([p[2] for p in ps], pa.binary())], names=["tab", "chunk", "counts"])
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
-        out = lambda k, v: pa.RecordBatch.from_arrays([pa.array([k[0]], pa.int32()), pa.array([k[1]], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["tab", "chunk", "counts"])
-        for b in batches:
-            for t, c, raw in zip(b.column("tab").to_pylist(), b.column("chunk").to_pylist(), b.column("counts"), strict=True):
-                v = np.frombuffer(raw.as_py(), np.int64)
-                if (t, c) == now:
-                    total += v
-                else:
-                    if now is not None:
-                        yield out(now, total)
-                    now, total = (t, c), v.copy()
-        if now is not None:
-            yield out(now, total)
-
-    rows = docs.select(F.col(text).cast("binary").alias("_text"))
-    n = rows.rdd.getNumPartitions()
-    shape = "tab int, chunk int, counts binary"
-    told = rows.coalesce(max(1, min(n, max(docs.sparkSession.sparkContext.defaultParallelism, n // 4)))).mapInArrow(each, shape)
-    merged = publish(told.repartition("tab", "chunk").sortWithinPartitions("tab", "chunk").mapInArrow(added, shape), "learnt")
-    tables = [np.zeros(1 << t, np.float32) for t in TABLES]
-    refine, weights = np.zeros((2, GATES * STEPS), np.int64), np.repeat(np.array(START, np.float32)[:, None], GATES, axis=1)
-    for r in merged.toLocalIterator():
-        v = np.frombuffer(bytes(r["counts"]), np.int64)
-        if r["tab"] < len(TABLES):
-            two = v.reshape(2, -1)
-            tables[r["tab"]][r["chunk"] * CHUNK : r["chunk"] * CHUNK + two.shape[1]] = stretch(*two)
-        elif r["tab"] == len(TABLES):
-            refine = v.reshape(2, -1)
-        elif v[-1]:
-            weights = (v[:-1] / v[-1] / 1e4).reshape(weights.shape).astype(np.float32)
-    return Mixer(book, tables, weights, refining(*refine))
-
-
-def score_texts(docs: DataFrame, counts: DataFrame, model: Mixer, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row of docs(key, text)."""
+def score_texts(docs: DataFrame, counts: DataFrame, teaches: Column, key: str = "doc_id", page: int = PAGE, hot: int = HOT, common: int = COMMON) -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score, online_score, n_bytes, bits_per_byte, online_bits_per_byte) of every row of
+    docs(key, text), learnt from those that `teaches` holds for; counts as of count_words over these."""
+    spark = docs.sparkSession
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, kinds = sums["n"] or 0, sums["v"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+    total, vocabulary = sums["n"] or 0, sums["v"]
+    book = book_of(counts, total, common)
+    sent = spark.sparkContext.broadcast(book)
+    share_taught = docs.select(F.count("*").alias("all"), F.count(F.when(teaches, 1)).alias("taught")).first()
+    # tokens of all rows, by those of the training rows
+    tokens = total * share_taught["all"] / share_taught["taught"] if share_taught["taught"] else share_taught["all"]
+    pages = max(1, math.ceil(tokens / page))
+    kind_ = docs.schema[key].dataType.simpleString()
+    names = ["_row", "_key", "n_tokens", "hits", "base", "n_bytes", "rare", "batch", "page", "part"]
+    pair = pa.struct([("word", pa.binary()), ("n", pa.int32())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, batch = sent.value, None
+        logs = np.log10(book.counts + 0.5)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            parts = list(batch.packed())
+            for lo in range(0, len(parts), 64):
+                ps = parts[lo : lo + 64]
+                k = len(ps)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(k, pa.int64()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pair)), pa.array([batch.rows[0]] * k, pa.int64()), pa.array([p for p, _ in ps], pa.int32()), pa.array([x for _, x in ps], pa.binary())],
+                    names=names,
+                )
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = sent.value
-        common = mixer.book.base
-        if _KNOWN.get("of") is not mixer:  # a worker keeps what it has worked out for its next tasks
-            _KNOWN.clear()
-            _KNOWN.update(of=mixer, known={})
-        known: dict[bytes, float] = _KNOWN["known"]
-        pair = pa.struct([("word", pa.binary()), ("n", pa.int32())])
+        key_type = None
         for big in batches:
-            for lo in range(0, big.num_rows, 400):
-                b = big.slice(lo, 400)
-                parted = [items(x.as_py() or b"") for x in b.column("_text")]
-                new = set().union(*(k for _, k in parted)).difference(known)
-                if len(known) + len(new) > REMEMBERED and known:
-                    known.clear()
-                    new = set().union(*(k for _, k in parted))
-                new = sorted(new)
-                for at in range(0, len(new), TOGETHER):
-                    known.update(zip(new[at : at + TOGETHER], mixer.log10(new[at : at + TOGETHER]).tolist(), strict=True))
-                n, hits, base, score, size, rare, ends = [], [], [], [], [], [], [0]
-                for ws, ks in parted:
-                    found = list(filter(None.__ne__, map(common.get, ws)))
-                    others = Counter(w for w in ws if w not in common) if len(found) < len(ws) else {}
-                    n.append(len(ws))
-                    hits.append(len(found))
-                    base.append(math.fsum(found))
-                    score.append(math.fsum(map(known.__getitem__, ks)))
-                    size.append(sum(map(len, ws)) + len(ws) - 1)
-                    rare += others.items()
-                    ends.append(len(rare))
-                flat = pa.StructArray.from_arrays([pa.array([w for w, _ in rare], pa.binary()), pa.array([c for _, c in rare], pa.int32())], fields=list(pair))
+            key_type = big.schema.field("_key").type
+            for lo in range(0, big.num_rows, 200):
+                b = big.slice(lo, 200)
+                batch = batch or Batch(book, pages, hot)
+                flat: list[bytes] = []
+                lengths, size = [], []
+                for x in b.column("_text"):
+                    ws = (x.as_py() or b"").lower().split()
+                    flat += ws
+                    flat.append(END)
+                    lengths.append(len(ws) + 1)
+                    size.append(sum(map(len, ws)) + len(ws))
+                number = np.fromiter(map(book.words.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+                unknown = np.flatnonzero(number < 0)
+                rare = [flat[i] for i in unknown.tolist()]
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                met = np.flatnonzero(number >= 0)
+                base = np.bincount(doc[met], logs[number[met]], len(lengths))
+                hits = np.bincount(doc[met], minlength=len(lengths))
+                counted, ends = [], [0]
+                by_doc: dict[int, Counter] = {}
+                for d, w in zip(doc[unknown].tolist(), rare, strict=True):
+                    by_doc.setdefault(d, Counter())[w] += 1
+                for d in range(len(lengths)):
+                    counted += by_doc.get(d, {}).items()
+                    ends.append(len(counted))
+                number[unknown] = [-2 - ((crc32(w) & 0x3FFFFF) << 8 | kind(w)) for w in rare]
+                batch.add(b.column("_row").to_pylist(), b.column("_train").to_pylist(), b.column("_mix").to_pylist(), number, rare, lengths)
+                flat_rare = pa.StructArray.from_arrays([pa.array([w for w, _ in counted], pa.binary()), pa.array([c for _, c in counted], pa.int32())], fields=list(pair))
+                k = b.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_row"), b.column(key), *(pa.array(v, t) for v, t in ((n, pa.int64()), (hits, pa.int64()), (base, pa.float64()), (score, pa.float64()), (size, pa.int64()))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                    names=["_row", key, "n_tokens", "hits", "base", "score", "n_bytes", "rare"],
+                    [b.column("_row"), b.column("_key"), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_rare), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                    names=names,
                 )
+                if batch.size >= BATCH:
+                    yield from flushed()
+                    batch = None
+        if batch is not None:
+            yield from flushed()
+        release_memory()
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(teaches, F.lit(True)).alias("_train"), F.xxhash64(F.col(key).cast("string")).alias("_mix"), F.col("text").cast("binary").alias("_text"))
+    coded = publish(rows.mapInArrow(code, f"_row bigint, _key {kind_}, n_tokens bigint, hits bigint, base double, n_bytes bigint, rare array<struct<word:binary,n:int>>, batch bigint, page int, part binary"), "coded")
+
+    def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, whose = None, [], []
+        pack = zstandard.ZstdCompressor(level=1)
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            found = score_page(sent.value, held)
+            raw = [pack.compress(b"".join(_planes(x) for x in f)) for f in found]
+            for lo in range(0, len(raw), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(whose[lo : lo + 256], pa.int64()), pa.array(raw[lo : lo + 256], pa.binary())], names=["batch", "sums"])
+
+        for b in batches:
+            for p, w, x in zip(b.column("page").to_pylist(), b.column("batch").to_pylist(), b.column("part"), strict=True):
+                if p != now and held:
+                    yield from solved()
+                    held, whose = [], []
+                now = p
+                held.append(x.as_py())
+                whose.append(w)
+        if held:
+            yield from solved()
+        release_memory()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), key, F.col("text").cast("binary").alias("_text"))
-    part = publish(rows.mapInArrow(each, f"_row bigint, `{key}` {kind}, n_tokens bigint, hits bigint, base double, score double, n_bytes bigint, rare array<struct<word:binary,n:int>>"), "scored")
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        unpack = zstandard.ZstdDecompressor()
+
+        def total_of() -> pa.RecordBatch:
+            three = [np.concatenate(x) for x in zip(*held, strict=True)]
+            row, inverse = np.unique(three[0], return_inverse=True)
+            sums = []
+            for x in three[1:]:
+                s = np.zeros(len(row), np.int64)
+                np.add.at(s, inverse, x)
+                sums.append(pa.array(s))
+            return pa.RecordBatch.from_arrays([pa.array(row), *sums], names=["_row", "score", "online"])
+
+        for b in batches:
+            for w, raw in zip(b.column("batch").to_pylist(), b.column("sums"), strict=True):
+                if w != now and held:
+                    yield total_of()
+                    held = []
+                now = w
+                x = unpack.decompress(raw.as_py())
+                third = len(x) // 3
+                held.append([_unplanes(x[i * third : (i + 1) * third], np.int64) for i in range(3)])
+        if held:
+            yield total_of()
+
+    parts = coded.where("page is not null").select("page", "batch", "part").repartitionByRange(pages, "page").sortWithinPartitions("page")
+    sums_ = parts.mapInArrow(pages_of, "batch bigint, sums binary").repartition("batch").sortWithinPartitions("batch").mapInArrow(added, "_row bigint, score bigint, online bigint")
+    part = coded.where("page is null").select("_row", "_key", "n_tokens", "hits", "base", "n_bytes", "rare")
     rare = part.select("_row", F.explode("rare").alias("x")).select("_row", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
     met = rare.join(counts, "word")
     # counts of rare words as whole numbers by count, so that the sum does not depend on the order of rows
     by = met.groupBy("_row").agg(F.sum("times").alias("more"), F.sum((F.round(F.log10(F.col("n") + 0.5) * 1e12).cast("decimal(20,0)") * F.col("times")).cast("decimal(38,0)")).alias("plus"))
-    floor, share = math.log10(0.5), math.log10(total + 0.5 * (kinds + 1))
-    out = part.drop("rare").join(by, "_row", "left").withColumn("n_known", F.col("hits") + F.coalesce("more", F.lit(0)))
+    floor, share = math.log10(0.5), math.log10(total + 0.5 * (vocabulary + 1))
+    out = part.drop("rare").join(by, "_row", "left").join(sums_, "_row").withColumn("n_known", F.col("hits") + F.coalesce("more", F.lit(0)))
+    bits = lambda s: -s / (SCALE * math.log10(2)) / F.greatest(F.col("n_bytes"), F.lit(1))
     return out.select(
-        key,
+        F.col("_key").alias(key),
         "n_tokens",
         "n_known",
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce(F.col("plus").cast("double") / 1e12, F.lit(0.0)) + (F.col("n_tokens") - F.col("n_known")) * floor - F.col("n_tokens") * share).alias("base_score"),
-        "score",
+        (F.col("score") / SCALE).alias("score"),
+        (F.col("online") / SCALE).alias("online_score"),
         "n_bytes",
-        (-F.col("score") / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        bits(F.col("score")).alias("bits_per_byte"),
+        bits(F.col("online")).alias("online_bits_per_byte"),
     )
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    training = docs.where(~held_out(F.col("doc_id"), 1))
-    counts = publish(count_words(training), "word-counts")
-    model = learn(training, counts)
-    scored = score_texts(docs, counts, model)
-    return scored.select("doc_id", held_out(F.col("doc_id"), 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    teaches = ~held_out(F.col("doc_id"), 1)
+    counts = publish(count_words(docs.where(teaches)), "word-counts")
+    scored = score_texts(docs, counts, teaches)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "online_score", "bits_per_byte", "online_bits_per_byte")

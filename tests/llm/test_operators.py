@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from prosodia.llm import bpe, common, compression_classifier, context_mixing, fingerprints, html_extract, packing, quality_rules, simhash, suffix_dedup, warc
+from prosodia.llm import bpe, common, compression_classifier, fingerprints, html_extract, packing, quality_rules, simhash, suffix_dedup, warc
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdeéßñ") for _ in range(R.randint(2, 8))) for _ in range(400)]
@@ -190,30 +190,6 @@ def test_fingerprints(spark, docs, none, tmp_path):
     assert fingerprints.op7_fingerprints(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_language_model(spark, docs, none):
-    counts = common.publish(context_mixing.count_words(docs), "counts")
-    model = context_mixing.learn(docs, counts)
-    got = {(r.doc_id, r.n_tokens): r for r in context_mixing.score_texts(docs, counts, model).collect()}
-    c = Counter(w for r in docs.collect() for w in [*(r.text or "").encode().lower().split(), b"\n"])
-    total = sum(c.values())
-    for r in docs.collect():
-        ws = [*(r.text or "").encode().lower().split(), b"\n"]
-        g = got[r.doc_id, len(ws)]
-        want = sum(np.log10(c[w] + 0.5) - np.log10(total + 0.5 * (len(c) + 1)) for w in ws)
-        assert g.base_score == pytest.approx(want) and g.n_known == len(ws) and g.train_tokens == total and g.score < 0
-    empty = context_mixing.count_words(none)
-    m = context_mixing.learn(none, empty)
-    assert context_mixing.score_texts(none, empty, m).count() == 0 and len(context_mixing.score_texts(docs.limit(3), empty, m).collect()) == 3
-
-
-def test_language_model_sums_to_one():
-    book = context_mixing.Book([(b"the", 9), (b"\n", 5), (b"of", 4)])
-    tables = [np.zeros(1 << t, np.float32) for t in context_mixing.TABLES]
-    m = context_mixing.Mixer(book, tables, np.zeros((len(tables) + 1, context_mixing.GATES), np.float32), context_mixing.refining(*np.zeros((2, context_mixing.GATES * context_mixing.STEPS))))
-    p = 10 ** m.log10([b"\0the", b"\0of", b"\0\n"])
-    assert p.sum() == pytest.approx(0.5)  # the other half is for spelled words
-
-
 def brute_repeats(ts, min_len, later):
     seen = Counter(t[i : i + min_len] for t in ts for i in range(len(t) - min_len + 1))
     first, out = set(), []

@@ -10,15 +10,15 @@ its contexts, so their counts are those of the whole corpus, and the number of p
 HOT times is dealt in parts by the hash of the word before it, and if that one is as frequent, also by the hash of the document's
 key: no group of equal words, pairs or passages meets in one page. Such a part is a context of its own, of some HOT tokens. Pages, parts and the
 order of learning are functions of hashes and of the corpus' counts alone, so that scores do not depend on partitions; sums are of whole
-millionths. The batches' parts of pages travel packed, and the pages' sums by document come back packed.
+ten-thousandths. The batches' parts of pages travel packed, and the pages' sums by document come back packed.
 
 The COMMON most frequent words have a code; others are spelled (as rare words are in any vocabulary of bounded size), with byte
 contexts of the page. The code is broadcast (under 60 MB whatever the corpus). A word seen once in training is learnt as a spelled
 one, so that the chance of new words is learnt from words that were new.
 
-Two scores come out. `score` is by all that was learnt, the text's own occurrences included where it is a training text, as in the
-base score. `online_score` is what learning itself saw: each decision of a training text before its own occurrence counted;
-for held-out texts it equals `score`. A text that has a copy elsewhere is cheap by it, one that has none is not.
+The score is what the online model gives: a held-out text's by all that was learnt, a training text's as learning met it, each
+decision before its own occurrence was counted (and by what other texts, or other places, had taught by then). A text that has a copy elsewhere
+is cheap by it, one that has none is not, whether or not it teaches.
 
 The base score (add-half unigram) uses exact counts of all training words: those of words with a code are broadcast, the others are
 joined by word, so common words do not travel. It gives every unknown word the same share, however many there are, so a model that has to
@@ -38,6 +38,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,11 +50,11 @@ from .common import held_out, publish, release_memory
 #: Words that have a code, at most, and their greatest length in bytes.
 COMMON, COMMON_BYTES = 262_144, 256
 #: Tokens of a page, about; occurrences of a word in one part; tokens that a task packs at once.
-PAGE, HOT, BATCH = 1 << 20, 1 << 18, 1 << 20
+PAGE, HOT, BATCH = 1 << 19, 1 << 17, 1 << 19
 END = b"\n"
 #: Number of what stands before a text; words without a code have lower ones, with their kind in the low byte.
 START = -1
-SCALE = 1e6
+SCALE = 1e4
 
 
 def kind(word: bytes) -> int:
@@ -123,7 +124,7 @@ class Batch:
         self.size += len(number)
 
     def packed(self) -> Iterator[tuple[int, bytes]]:
-        """(page, part): word, the two before, the hash of the third, part of a hot word, text and whether it teaches, and spelled words."""
+        """(page, part): word, the one before and its part, the past of that one, text and whether it teaches, and spelled words."""
         if not self.size:
             return
         word, doc = np.concatenate(self.number), np.concatenate(self.doc).astype(np.int64)
@@ -137,7 +138,7 @@ class Batch:
             return out
 
         one, two = before(1), before(2)
-        third = (mixing.mixed(before(3).view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+        past = mixing.past(two, self.book.kinds_of(two), before(3))
         n = self.book.times(one)
         part = np.zeros(len(word), np.uint64)
         many = np.flatnonzero(n > self.hot)
@@ -155,45 +156,48 @@ class Batch:
         pack = zstandard.ZstdCompressor(level=1)
         for a, z in itertools.pairwise(cuts):
             at = order[a:z]
-            docs, idx = np.unique(doc[at], return_inverse=True)
+            whose = doc[at]
+            new = np.diff(whose, prepend=-1) > 0
+            docs = whose[new]
             texts = b" ".join([self.rare[i] for i in spelled[at].tolist() if i >= 0])
-            parts = [_planes(x) for x in (word[at].astype(np.int32), one[at].astype(np.int32), two[at].astype(np.int32), idx.astype(np.int32))]
-            parts += [_planes(part[at].astype(np.int32)), third[at].tobytes(), _planes(rows[docs]), train[docs].tobytes()]
+            parts = [_planes(x) for x in (word[at].astype(np.int32), one[at].astype(np.int32), part[at].astype(np.int32), past[at])]
             head = np.array([len(at), len(docs)], np.int64).tobytes()
-            yield int(page[at[0]]), pack.compress(b"".join([head, *parts, texts]))
+            yield int(page[at[0]]), pack.compress(b"".join([head, *parts, new.tobytes(), _planes(np.diff(rows[docs], prepend=0)), train[docs].tobytes(), texts]))
 
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+def _unpacked(raw: bytes) -> tuple:
+    """Word, the one before, its part, the past, place in `rows`, rows, whether they teach, spelled words."""
     n, docs = np.frombuffer(raw[:16], np.int64).tolist()
     at, out = 16, []
-    for size, kind_, count in ((4, np.int32, n),) * 5:
-        out.append(_unplanes(raw[at : at + size * count], kind_).astype(np.int64))
-        at += size * count
-    out.append(np.frombuffer(raw[at : at + n], np.uint8).astype(np.int64))
+    for size, kind_ in ((4, np.int32), (4, np.int32), (4, np.int32), (2, np.uint16)):
+        out.append(_unplanes(raw[at : at + size * n], kind_))
+        at += size * n
+    out.append(np.cumsum(np.frombuffer(raw[at : at + n], np.uint8), dtype=np.int32) - 1)
     at += n
-    out.append(_unplanes(raw[at : at + 8 * docs], np.int64))
+    out.append(np.cumsum(_unplanes(raw[at : at + 8 * docs], np.int64)))
     out.append(np.frombuffer(raw[at + 8 * docs : at + 9 * docs], bool))
     words = raw[at + 9 * docs :]
     return *out, words.split(b" ") if words else []
 
 
-def score_page(book: Book, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each part of a page (rows, score, online score), the latter in millionths: learnt from the page's training tokens."""
+def score_page(book: Book, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part of a page (rows, score), the latter in parts of SCALE: learnt from the page's training tokens."""
     unpack = zstandard.ZstdDecompressor()
     got = [_unpacked(unpack.decompress(p)) for p in parts]
-    word, one, two, idx, part, third = (np.concatenate([g[i] for g in got]) for i in range(6))
-    lengths = [len(g[0]) for g in got]
-    train = np.concatenate([g[7][g[3]] for g in got])
-    texts = list(itertools.chain.from_iterable(g[8] for g in got))
+    word, one, part, past = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(4))
+    train = np.concatenate([g[6][g[4]] for g in got])
+    texts = list(itertools.chain.from_iterable(g[7] for g in got))
+    got = [(g[4], g[5]) for g in got]
     spelled = np.full(len(word), -1, np.int64)
     spelled[word < 0] = np.arange(len(texts))
-    what = word.astype(np.int64).view(np.uint64).copy()
+    u, m = (lambda x: x.view(np.uint64)), mixing.mixed
+    what = u(word).copy()
     if texts:
         what[word < 0] = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
-    m = mixing.mixed
     what = m(what + np.uint64(1 << 50))
-    key = m(m(m(one.view(np.uint64)) + part.view(np.uint64)) + m(two.view(np.uint64) * np.uint64(3)) + third.view(np.uint64)) ^ what
+    key = m(m(m(u(one)) + u(part)) + u(past)) ^ what
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    del key
     times = np.bincount(inverse, train, len(first)).astype(np.int64)
     number = np.maximum(word[first], -1)
     once = np.zeros(len(first), bool)
@@ -202,19 +206,19 @@ def score_page(book: Book, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndar
         names = list(book.words)
         once = (number >= 0) & (book.counts[number] < 2)
     told = {i: texts[s] for i, s in enumerate(spelled[first].tolist()) if s >= 0} | {i: names[number[i]] for i in np.flatnonzero(once).tolist()}
-    kinds = [book.kinds_of(one[first]), book.kinds_of(two[first]), third[first]]
-    items = mixing.Items(number, what[first], one[first], two[first], part[first], kinds, told, times)
-    del key, what, word, one, two, part, third, spelled
+    items = mixing.Items(number, what[first], one[first], part[first], past[first], book.kinds_of(one[first]), told, times)
+    del what, word, one, part, past, spelled, texts
     page = mixing.Page(book.code, book.ask, items, once, len(inverse))
-    online = page.learn()
-    score = page.log10()
-    score, online = (np.rint(x * SCALE)[inverse] for x in (score, np.where(np.isnan(online), score, online)))
-    online = np.where(train, online, score)
+    learnt = page.learn()
+    # held-out tokens, and those alone, by all that was learnt
+    asked = np.zeros(len(first), bool)
+    asked[inverse[~train]] = True
+    last = page.log10(np.flatnonzero(asked))
+    score = np.rint(np.where(train, learnt[inverse], last[inverse]) * SCALE)
     out, at = [], 0
-    for g, n in zip(got, lengths, strict=True):
-        sums = [np.bincount(g[3], x[at : at + n], len(g[6])).astype(np.int64) for x in (score, online)]
-        out.append((g[6], *sums))
-        at += n
+    for idx, rows in got:
+        out.append((rows, np.bincount(idx, score[at : at + len(idx)], len(rows)).astype(np.int64)))
+        at += len(idx)
     return out
 
 
@@ -248,7 +252,7 @@ def book_of(counts: DataFrame, total: int, common: int = COMMON) -> Book:
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, teaches: Column, key: str = "doc_id", page: int = PAGE, hot: int = HOT, common: int = COMMON) -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score, online_score, n_bytes, bits_per_byte, online_bits_per_byte) of every row of
+    """(key, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row of
     docs(key, text), learnt from those that `teaches` holds for; counts as of count_words over these."""
     spark = docs.sparkSession
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -260,37 +264,37 @@ def score_texts(docs: DataFrame, counts: DataFrame, teaches: Column, key: str =
     tokens = total * share_taught["all"] / share_taught["taught"] if share_taught["taught"] else share_taught["all"]
     pages = max(1, math.ceil(tokens / page))
     kind_ = docs.schema[key].dataType.simpleString()
-    names = ["_row", "_key", "n_tokens", "hits", "base", "n_bytes", "rare", "batch", "page", "part"]
+    names = ["page", "batch", "part", "_row", "_key", "n_tokens", "hits", "base", "n_bytes", "rare"]
+    shape = f"_row bigint, _key {kind_}, n_tokens bigint, hits bigint, base double, n_bytes bigint, rare array<struct<word:binary,n:int>>"
     pair = pa.struct([("word", pa.binary()), ("n", pa.int32())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts, on pages by turns, and parts of pages."""
         book, batch = sent.value, None
         logs = np.log10(book.counts + 0.5)
+        none = lambda k, kinds: [pa.nulls(k, x) for x in kinds]
+        about = [pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pair)]
 
         def flushed() -> Iterator[pa.RecordBatch]:
             parts = list(batch.packed())
             for lo in range(0, len(parts), 64):
                 ps = parts[lo : lo + 64]
-                k = len(ps)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64()), pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pair)), pa.array([batch.rows[0]] * k, pa.int64()), pa.array([p for p, _ in ps], pa.int32()), pa.array([x for _, x in ps], pa.binary())],
-                    names=names,
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in ps], pa.int32()), pa.array([batch.rows[0]] * len(ps), pa.int64()), pa.array([x for _, x in ps], pa.binary()), *none(len(ps), about)], names=names)
 
-        key_type = None
         for big in batches:
-            key_type = big.schema.field("_key").type
+            about[1] = big.schema.field("_key").type
             for lo in range(0, big.num_rows, 200):
                 b = big.slice(lo, 200)
                 batch = batch or Batch(book, pages, hot)
                 flat: list[bytes] = []
                 lengths, size = [], []
                 for x in b.column("_text"):
-                    ws = (x.as_py() or b"").lower().split()
+                    text = x.as_py() or b""
+                    ws = text.lower().split()
                     flat += ws
                     flat.append(END)
                     lengths.append(len(ws) + 1)
-                    size.append(sum(map(len, ws)) + len(ws))
+                    size.append(len(text))
                 number = np.fromiter(map(book.words.get, flat, itertools.repeat(-1)), np.int64, len(flat))
                 unknown = np.flatnonzero(number < 0)
                 rare = [flat[i] for i in unknown.tolist()]
@@ -298,19 +302,17 @@ def score_texts(docs: DataFrame, counts: DataFrame, teaches: Column, key: str =
                 met = np.flatnonzero(number >= 0)
                 base = np.bincount(doc[met], logs[number[met]], len(lengths))
                 hits = np.bincount(doc[met], minlength=len(lengths))
-                counted, ends = [], [0]
-                by_doc: dict[int, Counter] = {}
-                for d, w in zip(doc[unknown].tolist(), rare, strict=True):
-                    by_doc.setdefault(d, Counter())[w] += 1
-                for d in range(len(lengths)):
-                    counted += by_doc.get(d, {}).items()
+                counted, ends, at = [], [0], 0
+                for k in np.bincount(doc[unknown], minlength=len(lengths)).tolist():
+                    counted += Counter(rare[at : at + k]).items()
                     ends.append(len(counted))
+                    at += k
                 number[unknown] = [-2 - ((crc32(w) & 0x3FFFFF) << 8 | kind(w)) for w in rare]
-                batch.add(b.column("_row").to_pylist(), b.column("_train").to_pylist(), b.column("_mix").to_pylist(), number, rare, lengths)
+                rows = b.column("_row").to_pylist()
+                batch.add(rows, b.column("_train").to_pylist(), b.column("_mix").to_pylist(), number, rare, lengths)
                 flat_rare = pa.StructArray.from_arrays([pa.array([w for w, _ in counted], pa.binary()), pa.array([c for _, c in counted], pa.int32())], fields=list(pair))
-                k = b.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_row"), b.column("_key"), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_rare), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                    [pa.array([r % pages for r in rows], pa.int32()), *none(len(rows), [pa.int64(), pa.binary()]), b.column("_row"), b.column("_key"), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_rare)],
                     names=names,
                 )
                 if batch.size >= BATCH:
@@ -320,20 +322,23 @@ def score_texts(docs: DataFrame, counts: DataFrame, teaches: Column, key: str =
             yield from flushed()
         release_memory()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(teaches, F.lit(True)).alias("_train"), F.xxhash64(F.col(key).cast("string")).alias("_mix"), F.col("text").cast("binary").alias("_text"))
-    coded = publish(rows.mapInArrow(code, f"_row bigint, _key {kind_}, n_tokens bigint, hits bigint, base double, n_bytes bigint, rare array<struct<word:binary,n:int>>, batch bigint, page int, part binary"), "coded")
-
     def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, whose = None, [], []
+        """Rows of texts as they are, and the sums of each part."""
+        now, held, whose, told = None, [], [], []
         pack = zstandard.ZstdCompressor(level=1)
 
         def solved() -> Iterator[pa.RecordBatch]:
-            found = score_page(sent.value, held)
-            raw = [pack.compress(b"".join(_planes(x) for x in f)) for f in found]
+            raw = [pack.compress(_planes(np.diff(rows, prepend=0)) + _planes(score)) for rows, score in score_page(sent.value, held)]
             for lo in range(0, len(raw), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(whose[lo : lo + 256], pa.int64()), pa.array(raw[lo : lo + 256], pa.binary())], names=["batch", "sums"])
+                k = len(raw[lo : lo + 256])
+                yield pa.RecordBatch.from_arrays([pa.array(whose[lo : lo + 256], pa.int64()), pa.array(raw[lo : lo + 256], pa.binary()), *[pa.nulls(k, t) for t in told]], names=names[1:])
 
         for b in batches:
+            told = [b.schema.field(n).type for n in names[3:]]
+            texts = b.filter(pc.is_valid(b.column("_row")))
+            if texts.num_rows:
+                yield pa.RecordBatch.from_arrays([texts.column(n) for n in names[1:]], names=names[1:])
+            b = b.filter(pc.is_valid(b.column("part")))
             for p, w, x in zip(b.column("page").to_pylist(), b.column("batch").to_pylist(), b.column("part"), strict=True):
                 if p != now and held:
                     yield from solved()
@@ -350,48 +355,43 @@ def score_texts(docs: DataFrame, counts: DataFrame, teaches: Column, key: str =
         unpack = zstandard.ZstdDecompressor()
 
         def total_of() -> pa.RecordBatch:
-            three = [np.concatenate(x) for x in zip(*held, strict=True)]
-            row, inverse = np.unique(three[0], return_inverse=True)
-            sums = []
-            for x in three[1:]:
-                s = np.zeros(len(row), np.int64)
-                np.add.at(s, inverse, x)
-                sums.append(pa.array(s))
-            return pa.RecordBatch.from_arrays([pa.array(row), *sums], names=["_row", "score", "online"])
+            rows, scores = (np.concatenate(x) for x in zip(*held, strict=True))
+            row, inverse = np.unique(rows, return_inverse=True)
+            total = np.zeros(len(row), np.int64)
+            np.add.at(total, inverse, scores)
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(total)], names=["_row", "score"])
 
         for b in batches:
-            for w, raw in zip(b.column("batch").to_pylist(), b.column("sums"), strict=True):
+            for w, raw in zip(b.column("batch").to_pylist(), b.column("part"), strict=True):
                 if w != now and held:
                     yield total_of()
                     held = []
                 now = w
                 x = unpack.decompress(raw.as_py())
-                third = len(x) // 3
-                held.append([_unplanes(x[i * third : (i + 1) * third], np.int64) for i in range(3)])
+                held.append((np.cumsum(_unplanes(x[: len(x) // 2], np.int64)), _unplanes(x[len(x) // 2 :], np.int64)))
         if held:
             yield total_of()
 
-    parts = coded.where("page is not null").select("page", "batch", "part").repartitionByRange(pages, "page").sortWithinPartitions("page")
-    sums_ = parts.mapInArrow(pages_of, "batch bigint, sums binary").repartition("batch").sortWithinPartitions("batch").mapInArrow(added, "_row bigint, score bigint, online bigint")
-    part = coded.where("page is null").select("_row", "_key", "n_tokens", "hits", "base", "n_bytes", "rare")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(teaches, F.lit(True)).alias("_train"), F.xxhash64(F.col(key).cast("string")).alias("_mix"), F.col("text").cast("binary").alias("_text"))
+    coded = rows.mapInArrow(code, f"page int, batch bigint, part binary, {shape}").repartitionByRange(pages, "page").sortWithinPartitions("page")
+    paged = publish(coded.mapInArrow(pages_of, f"batch bigint, part binary, {shape}"), "pages")
+    sums_ = paged.where("batch is not null").select("batch", "part").repartition("batch").sortWithinPartitions("batch").mapInArrow(added, "_row bigint, score bigint")
+    part = paged.where("batch is null").select("_row", "_key", "n_tokens", "hits", "base", "n_bytes", "rare")
     rare = part.select("_row", F.explode("rare").alias("x")).select("_row", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
     met = rare.join(counts, "word")
     # counts of rare words as whole numbers by count, so that the sum does not depend on the order of rows
-    by = met.groupBy("_row").agg(F.sum("times").alias("more"), F.sum((F.round(F.log10(F.col("n") + 0.5) * 1e12).cast("decimal(20,0)") * F.col("times")).cast("decimal(38,0)")).alias("plus"))
+    by = met.groupBy("_row").agg(F.sum("times").alias("more"), F.sum(F.round(F.log10(F.col("n") + 0.5) * 1e10).cast("bigint") * F.col("times")).alias("plus"))
     floor, share = math.log10(0.5), math.log10(total + 0.5 * (vocabulary + 1))
     out = part.drop("rare").join(by, "_row", "left").join(sums_, "_row").withColumn("n_known", F.col("hits") + F.coalesce("more", F.lit(0)))
-    bits = lambda s: -s / (SCALE * math.log10(2)) / F.greatest(F.col("n_bytes"), F.lit(1))
     return out.select(
         F.col("_key").alias(key),
         "n_tokens",
         "n_known",
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("plus").cast("double") / 1e12, F.lit(0.0)) + (F.col("n_tokens") - F.col("n_known")) * floor - F.col("n_tokens") * share).alias("base_score"),
+        (F.col("base") + F.coalesce(F.col("plus") / 1e10, F.lit(0.0)) + (F.col("n_tokens") - F.col("n_known")) * floor - F.col("n_tokens") * share).alias("base_score"),
         (F.col("score") / SCALE).alias("score"),
-        (F.col("online") / SCALE).alias("online_score"),
         "n_bytes",
-        bits(F.col("score")).alias("bits_per_byte"),
-        bits(F.col("online")).alias("online_bits_per_byte"),
+        (-F.col("score") / (SCALE * math.log10(2)) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
 
 
@@ -400,4 +400,4 @@ def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     teaches = ~held_out(F.col("doc_id"), 1)
     counts = publish(count_words(docs.where(teaches)), "word-counts")
     scored = score_texts(docs, counts, teaches)
-    return scored.select("doc_id", held_out(F.col("doc_id"), 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "online_score", "bits_per_byte", "online_bits_per_byte")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

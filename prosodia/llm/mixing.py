@@ -23,13 +23,12 @@ import numpy as np
 
 STEPS, GATES = 33, 32
 #: Items in a step, and what holds weights to where they start.
-SLICE, RIDGE = 4_000, 200.0
+SLICE, RIDGE = 8_000, 200.0
 #: Bytes by falling frequency in European prose; the rest are rarer still.
 FREQUENT = b" etanirsoldhucmpgvfbzkqwyxj\xc3,.'-"
 ASK, FIRST_WORD = 255, 256
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _STEP, _BACK = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 2**64))
-_LOW = (1 << 32) - 1
 _LEVELS = np.array([0, 1, 1, *[2] * 28, 3], np.int64)
 
 
@@ -99,11 +98,11 @@ class Mixer:
 
     def __init__(self, sizes: list[int], start: list[float]):
         """sizes: log2 of the slots of each table; start: weights before learning of the tables, then of given inputs."""
-        self.counts = [np.zeros(1 << s, np.int64) for s in sizes]  # either answer's count in 32 bits
+        self.counts = [np.zeros((1 << s, 2), np.float32) for s in sizes]  # of either answer; whole numbers
         self.sizes, n = sizes, len(start) + 1
         self.weights = np.repeat(np.array([*start, 0.0])[:, None], GATES, axis=1)
         self.curve = np.tile(RIDGE * np.eye(n), (GATES, 1, 1))
-        self.seen = np.zeros((2, GATES * STEPS))
+        self.seen = np.zeros((GATES * STEPS, 2))
         self.told = self.refining()
 
     def slots(self, hashes: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
@@ -120,35 +119,38 @@ class Mixer:
         it left out. The first and last table's levels are added to the gate."""
         sign = np.where(one, np.float32(1), np.float32(-1))
         x = np.empty((len(self.weights), len(sign)), np.float32)
-        side = np.where(one, 32, 0)
         k = len(slots)
+        mine = np.where(one, np.float32(0.25 - own), np.float32(0.25))
+        other = np.float32(0.5 - own) - mine
         for c, (table, slot) in enumerate(zip(self.counts, slots, strict=True)):
-            pair = table[slot]
-            same = (pair >> side) & _LOW
-            total = (pair + (pair >> 32)) & _LOW
-            x[c] = stretch(total - same, same - own)
+            pair = table.view(np.complex64)[slot, 0]
+            n0, n1 = pair.real + other, pair.imag + mine
+            np.log(n1 / n0, out=x[c])
+            x[c] *= sign
             if c in (0, k - 1):
-                gate = gate + level(total - own) * (1 if c == 0 else 4)
+                known = n0 + n1 - np.float32(0.5)
+                known = (known > 0.5).view(np.uint8) + (known > 2.5).view(np.uint8) + (known > 30.5).view(np.uint8)
+                gate = gate + known * np.uint8(1 if c == 0 else 4)
         for c, v in enumerate(given):
             x[k + c] = v * sign
         x[-1] = sign
         z = np.einsum("ij,ij->j", x, self.weights.astype(np.float32)[:, gate])
         np.clip(z, -14, 14, out=z)
-        return x, gate, z, sign, gate * STEPS + (np.rint(z * sign * 2) + 16).clip(0, 32).astype(np.int64)
+        return x, gate, z, sign, gate * np.int64(STEPS) + (np.rint(z * sign * 2) + 16).clip(0, 32).astype(np.int64)
 
     def _cost(self, z: np.ndarray, sign: np.ndarray, place: np.ndarray) -> np.ndarray:
         return np.log1p(np.exp((z + sign * self.told[place]) * np.float32(-0.5)))
 
     def learn(self, slots: list[np.ndarray], given: list[np.ndarray], one: np.ndarray, gate: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Learn from decisions seen w times; the cost of each (in nats) before its own occurrence. `given` leave theirs out already."""
-        add = np.where(one, w << 32, w)
+        add, bit = w.astype(np.float32), one.astype(np.int64)
         for table, slot in zip(self.counts, slots, strict=True):
-            np.add.at(table, slot, add)
+            np.add.at(table.ravel(), 2 * slot + bit, add)
         x, gate, z, sign, place = self._sum(slots, given, one, gate, 1)
         cost = self._cost(z, sign, place)
         miss = 1 / (1 + np.exp(z))
         error = w.astype(np.float32) * miss
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        order = np.argsort(gate, kind="stable")
         ends = np.cumsum(np.bincount(gate, minlength=GATES))
         x, error, curve = x[:, order], error[order], (error * (1 - miss))[order]
         for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
@@ -156,8 +158,7 @@ class Mixer:
                 v = x[:, a:b]
                 self.curve[g] += (v * curve[a:b]) @ v.T
                 self.weights[:, g] += np.clip(np.linalg.solve(self.curve[g], (v @ error[a:b]).astype(np.float64)), -0.2, 0.2)
-        for bit, pick in ((0, ~one), (1, one)):
-            self.seen[bit] += np.bincount(place[pick], w[pick], GATES * STEPS)
+        self.seen += np.bincount(2 * place + one, w, 2 * GATES * STEPS).reshape(-1, 2)
         self.told = self.refining()
         return cost
 
@@ -168,7 +169,7 @@ class Mixer:
 
     def refining(self) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.tile((np.arange(STEPS) - 16) / 2, GATES)))
-        return np.log((self.seen[1] + 8 * p) / (self.seen[0] + 8 * (1 - p))).astype(np.float32)
+        return np.log((self.seen[:, 1] + 8 * p) / (self.seen[:, 0] + 8 * (1 - p))).astype(np.float32)
 
 
 def followers(context: np.ndarray, word: np.ndarray, times: np.ndarray, distinct: bool) -> tuple[np.ndarray, ...]:
@@ -197,21 +198,27 @@ def followers(context: np.ndarray, word: np.ndarray, times: np.ndarray, distinct
     return top[at], n_top[at], second[at], n_second[at], total[at], n
 
 
+def past(two: np.ndarray, kind_two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """16 bits of the words two and three before: six of the kind of the first, six of its hash, four of the other's hash."""
+    h = lambda x: mixed(x.astype(np.int64).view(np.uint64))
+    return ((mixed(kind_two.astype(np.uint64)) >> np.uint64(58) << np.uint64(10)) | (h(two) >> np.uint64(58) << np.uint64(4)) | h(three) >> np.uint64(60)).astype(np.uint16)
+
+
 class Items:
     """Distinct items of a page in the order of their hashes.
 
-    word: number of the word's code, or -1; key: hash of the word; one, two: what stands before (numbers, negative for words without
-    a code); part: which part of a frequent word before; kinds: of the word before, of the one before it, and a hash of the third; spelled: by
-    item, where the word has no code or was seen once; times: in training."""
+    word: number of the word's code, or -1; key: hash of the word; one: the word before (its number, negative for words without
+    a code); part: which part of a frequent word before; past: of the two words before that one, by `past`; kind: of the word
+    before; spelled: by item, where the word has no code or was seen once; times: in training."""
 
-    def __init__(self, word: np.ndarray, key: np.ndarray, one: np.ndarray, two: np.ndarray, part: np.ndarray, kinds: list[np.ndarray], spelled: dict[int, bytes], times: np.ndarray):
+    def __init__(self, word: np.ndarray, key: np.ndarray, one: np.ndarray, part: np.ndarray, past: np.ndarray, kind: np.ndarray, spelled: dict[int, bytes], times: np.ndarray):
         self.word, self.key, self.times, self.spelled = word, key, times, spelled
         u = lambda x: x.astype(np.int64).view(np.uint64)
         self.one = mixed(u(one) * np.uint64(0x10001) + u(part))
-        self.two = mixed(self.one + u(two) * _M2)
-        self.three = mixed(self.two + u(kinds[2]) + np.uint64(1 << 41))
-        self.kind = u(kinds[0])
-        self.kinds = mixed(self.kind * np.uint64(512) + u(kinds[1]) + np.uint64(1 << 40))
+        self.two = mixed(self.one + (u(past) >> np.uint64(4)) * _M2)
+        self.three = mixed(self.one + u(past) * _M2 + np.uint64(1 << 41))
+        self.kind = u(kind)
+        self.kinds = mixed(self.kind * np.uint64(64) + (u(past) >> np.uint64(10)) + np.uint64(1 << 40))
 
 
 class Page:
@@ -242,7 +249,7 @@ class Page:
         word = np.where(use3, w3, w2)
         x2 = np.where(word == w2, stretch(t2 - n2, n2), stretch(t2, np.zeros_like(t2)))
         x3 = np.where(use3, stretch(t3 - n3, n3), np.float32(0))
-        gate = level(t2) + 4 * level(t3) + 16 * self.often[at]
+        gate = (level(t2) + 4 * level(t3) + 16 * self.often[at]).astype(np.uint8)
         return n2 > 0, word == key, [x2, x3], gate
 
     def _path(self, at: np.ndarray, word: np.ndarray) -> tuple[tuple, tuple]:
@@ -253,7 +260,7 @@ class Page:
         item = np.concatenate([np.arange(n), has[of]])
         one = np.concatenate([word >= 0, bit.astype(bool)])
         prior = np.concatenate([np.full(n, self.ask, np.float32), self.code[4][node - FIRST_WORD]])
-        gate = np.where(np.arange(len(item)) < n, 0, 16)
+        gate = np.where(np.arange(len(item)) < n, np.uint8(0), np.uint8(16))
         node = np.concatenate([np.full(n, ASK, np.uint32), node])
         slots = self.coded.slots([items.one[at][item], items.kinds[at][item]], node)
         return (item, slots, [prior], one, gate), self._spelled(at, np.flatnonzero(word < 0))
@@ -262,7 +269,7 @@ class Page:
         items = self.items
         if not len(rare):
             none = np.empty(0, np.int64)
-            return none, [none] * 5, [], none.astype(bool), none
+            return none, [none] * 5, [], none.astype(bool), none.astype(np.uint8)
         keys = [items.spelled[i] for i in at[rare].tolist()]
         raw = np.frombuffer(b"".join(w + b" " for w in keys), np.uint8)
         size = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
@@ -289,7 +296,7 @@ class Page:
         h4 = h3 * np.uint64(1009) + back(4)
         of, node, bit = spread(_BYTES, raw.astype(np.int64))
         slots = self.bytes.slots([after[of], mixed(h2)[of], mixed(h3)[of], mixed(h4)[of], so_far[of]], node)
-        return rare[item[of]], slots, [], bit.astype(bool), np.where(place[of] > 0, 16, 0)
+        return rare[item[of]], slots, [], bit.astype(bool), np.where(place[of] > 0, np.uint8(16), np.uint8(0))
 
     def learn(self) -> np.ndarray:
         """Learn from the items with times > 0; log10 probability of each (nan of others) when it was learnt, its own occurrence left out."""
@@ -311,12 +318,12 @@ class Page:
             out[at] = -cost / math.log(10)
         return out
 
-    def log10(self) -> np.ndarray:
-        """log10 probability of each item by all that was learnt."""
+    def log10(self, which: np.ndarray) -> np.ndarray:
+        """log10 probability of items `which` by all that was learnt (0 of others)."""
         items = self.items
         out = np.zeros(len(items.word))
-        for lo in range(0, len(out), SLICE):
-            at = np.arange(lo, min(lo + SLICE, len(out)))
+        for lo in range(0, len(which), SLICE):
+            at = which[lo : lo + SLICE]
             cost = np.zeros(len(at))
             there, holds, given, gate = self._guesses(at, 0)
             k = np.flatnonzero(there)

@@ -241,6 +241,8 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield from told()
                     seen.clear()
         yield from told()
+        seen.clear()
+        release_memory()
 
     return docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(each, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -373,7 +375,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, teaches: Column, key: str =
             yield total_of()
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(teaches, F.lit(True)).alias("_train"), F.xxhash64(F.col(key).cast("string")).alias("_mix"), F.col("text").cast("binary").alias("_text"))
-    coded = rows.mapInArrow(code, f"page int, batch bigint, part binary, {shape}").repartitionByRange(pages, "page").sortWithinPartitions("page")
+    coded = rows.mapInArrow(code, f"page int, batch bigint, part binary, {shape}").repartition(pages, "page").sortWithinPartitions("page")
     paged = publish(coded.mapInArrow(pages_of, f"batch bigint, part binary, {shape}"), "pages")
     sums_ = paged.where("batch is not null").select("batch", "part").repartition("batch").sortWithinPartitions("batch").mapInArrow(added, "_row bigint, score bigint")
     part = paged.where("batch is null").select("_row", "_key", "n_tokens", "hits", "base", "n_bytes", "rare")

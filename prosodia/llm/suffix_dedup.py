@@ -1,22 +1,26 @@
 """Repeated passages over a whole corpus, by longest-previous-factor arrays of suffix arrays.
 
-A byte is repeated if a MIN_LEN-byte string that covers it also starts elsewhere, in the same text
-or another. One suffix array of a corpus fits no machine, so windows are first brought together:
-
-1. Every window of MIN_LEN bytes has an owner, its GRAM-byte string of least hash (leftmost among
-   equals). Equal windows have equal owners at equal places, so a run of windows with one owner, its
-   piece (at most 2 * MIN_LEN - GRAM bytes), has to be compared with pieces of the same owner only. Runs are some
-   1.3 % of all places; they are counted by (owner, piece) hashes, with partial sums before each shuffle.
-2. A piece that occurs twice is repeated as a whole. Distinct pieces with one owner, that is the ends of
-   shared passages, are fetched and concatenated in the order of first occurrence; a suffix array by prefix
-   doubling up to MIN_LEN gives the longest previous factor (for a window: the earlier entry of equal rank) and its
-   mirror image, the later one.
-3. An owner with more than GROUP pieces is not gathered: its pieces' windows are counted by 128-bit hash.
-
-Modes: `every` marks all copies; `later` keeps the first by (doc_id, text order in the input), which is what a
-cleaning step wants.
-
-Defined results: a null text has no bytes; texts shorter than MIN_LEN are untouched; rows with equal ids or
+A byte is repeated if a string of `least` bytes that covers it also starts elsewhere, in the same text or another. One suffix array of a
+corpus fits no machine, so places are first brought together:
+
+1. Every window of `least` bytes has an owner, its GRAM-byte string of least hash (leftmost among equals). Equal windows have equal owners at
+   equal places, so a run of windows with one owner, its piece, has to be compared with pieces of the same owner only. A piece reaches `reach` bytes
+   past its last window's start, so that longer repeats can be told from the same piece. Runs are counted by (owner, piece) hashes, with
+   partial sums before each shuffle.
+2. A piece that occurs twice is repeated as a whole. Distinct pieces with one owner, that is the ends of shared passages, are fetched and
+   concatenated in the order of first occurrence. Their suffixes are sorted by prefix doubling; the previous and next smaller
+   positions in that order give each place's longest previous factor, and the mirror image its longest next factor: a window is repeated
+   if either is long enough, and a later copy if the previous one is.
+3. An owner with more than GROUP pieces is not gathered: its pieces' windows are counted by 128-bit hash, which stands for the bytes (two
+   different windows share one with a chance below 1e-18 in 10^10 windows).
+
+Owners and pieces with a large share of all rows are joined by broadcast: there are 100,000 of them at most, as each has at least that part of
+the rows; no task gets all rows of one.
+
+Kinds of spans: EVERY (all copies of strings of `least` bytes), LATER (all but the first, by (doc_id, text order in the input)), LONG (all
+copies of strings of `reach` bytes).
+
+Defined results: a null text has no bytes; texts shorter than `least` are untouched; rows with equal ids or
 texts are different places; null ids sort first; an empty table gives an empty result; other
 columns pass through `deduplicate` untouched. Texts of any length are read whole.
 """
@@ -30,14 +34,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import publish, release_memory
 
-MIN_LEN, GRAM = 400, 250
+#: Bytes of the contract's strings, and of the shortest passage that a cleaning step cuts: fewer than fifty words take.
+MIN_LEN, PASSAGE = 400, 240
 GROUP = 4096
+#: Rows from which on an owner may be joined by broadcast, and how many such there can be.
+SHARE_ROWS, SHARES = 20_000, 100_000
+EVERY, LATER, LONG = 0, 1, 2
 #: Bytes of pieces in one suffix array, about.
 BATCH = 1 << 20
 #: Window starts hashed at once; places must fit the low 20 bits.
@@ -54,8 +62,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Owners:
     """Owner of each window of a text."""
 
-    def __init__(self, min_len: int = MIN_LEN, gram: int = GRAM):
-        self.min_len, self.gram, self.width = min_len, gram, min_len - gram + 1
+    def __init__(self, min_len: int, gram: int, reach: int):
+        self.min_len, self.gram, self.reach, self.width = min_len, gram, reach, min_len - gram + 1
         n = BLOCK + min_len
         self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
 
@@ -77,7 +85,7 @@ class Owners:
         return h, (least & np.uint64(0xFFFFF)).astype(np.int64)
 
     def pieces(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(owner hash, piece hash, first start, last start, owner's place in the piece), in order."""
+        """(owner hash, piece hash, first start, last start, piece's end), in order."""
         n = len(text) - self.min_len + 1
         out: list[tuple[int, int, int, int, int]] = []
         x = np.frombuffer(text, np.uint8)
@@ -93,90 +101,114 @@ class Owners:
                 else:
                     runs.append([v, p + lo, a + lo, z + lo])
         for v, p, a, z in runs:
-            g = xxhash.xxh3_64_intdigest(text[a : z + self.min_len], p - a)
-            out.append((v, g - (1 << 64) if g >> 63 else g, a, z, p - a))
+            end = min(z + self.reach, len(text))
+            g = xxhash.xxh3_64_intdigest(text[a:end], p - a)
+            out.append((v, g - (1 << 64) if g >> 63 else g, a, z, end))
         return out
 
 
-def equal_ranks(x: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the `length` bytes from each place of x (bytes above 0; places past the end count as 0), by prefix doubling."""
-    n = len(x)
+def _dense(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    k = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+    return rank
 
-    def dense(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        return rank
 
-    have = min(4, length)
-    padded = np.concatenate([x.astype(np.int64), np.zeros(have, np.int64)])
-    keys = np.zeros(n, np.int64)
-    for i in range(have):
-        keys = keys * 257 + padded[i : i + n]
-    rank = dense(keys)
+def ranks(x: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(k, rank of the k bytes from each place of x) for k = 1, 2, 4 and on to `length`, by prefix doubling; bytes are above 0, places past the end
+    count as 0."""
+    n, have, rank = len(x), 1, x.astype(np.int64)
+    out = [(1, rank)]
     while have < length:
         step = min(have, length - have)
         after = np.zeros(n, np.int64)
-        after[: max(n - step, 0)] = rank[step:] + 1
-        rank = dense(rank * (n + 1) + after)
+        after[: max(n - step, 0)] = rank[step:] + (have > 2)
+        keys = rank * {1: 1 << 9, 2: 1 << 18}.get(have, n + 1) + after
         have += step
-    return rank
+        rank = keys if have == 2 else _dense(keys)
+        out.append((have, rank))
+    return out
 
 
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Places of x in suffix order."""
-    return np.argsort(equal_ranks(x, max(len(x), 1)), kind="stable")
+def common_prefix(levels: list[tuple[int, np.ndarray]], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at p and q, up to the last level's."""
+    n, (most, last) = len(levels[0][1]), levels[-1]
+    found = np.zeros(len(p), np.int64)
+    for k, rank in reversed(levels[:-1]):
+        at, to = p + found, q + found
+        inside = np.maximum(at, to) < n
+        same = np.zeros(len(p), bool)
+        same[inside] = rank[at[inside]] == rank[to[inside]]
+        found += k * same
+    return np.where(last[p] == last[q], most, np.minimum(found, most))
+
+
+def previous_factors(order: list[int], shared: list[int]) -> list[int]:
+    """For each place in suffix order the longest prefix that it shares with a smaller place: the larger of those with the previous and the next
+    smaller place. shared: common prefix of each place with the one before it."""
+    out, n = [0] * len(order), len(order)
+    stack: list[tuple[int, int]] = []  # entry, common prefix with the entry below it
+    for i in range(n + 1):
+        run = shared[i] if i < n else 0
+        while stack and (i == n or order[stack[-1][0]] > order[i]):
+            j, below = stack.pop()
+            out[j] = max(below, run)
+            run = min(run, below)
+        stack.append((i, run if stack else 0))
+    return out
 
 
 def longest_previous_factors(x: np.ndarray) -> np.ndarray:
-    """For each place the length of the longest string from it that also starts earlier: the larger of the common
-    prefixes with the previous and the next smaller place in suffix order."""
-    n, order = len(x), suffix_array(x).tolist()
-    out = np.zeros(n, np.int64)
-    lcp = [0] * (n + 1)  # of order[i - 1], order[i]
-    rank = [0] * n
-    for i, p in enumerate(order):
-        rank[p] = i
-    k = 0
-    for p in range(n):
-        if rank[p]:
-            q = order[rank[p] - 1]
-            while p + k < n and q + k < n and x[p + k] == x[q + k]:
-                k += 1
-            lcp[rank[p]] = k
-            k = max(0, k - 1)
-        else:
-            k = 0
-    stack: list[tuple[int, int]] = []  # place, common prefix with the entry below it
-    for i in range(n + 1):
-        p, run = (order[i], lcp[i]) if i < n else (-1, 0)
-        while stack and stack[-1][0] > p:
-            q, below = stack.pop()
-            out[q] = max(below, run)
-            run = min(run, below)
-        stack.append((p, run if len(stack) else 0))
+    """For each place of x the length of the longest string from it that also starts earlier."""
+    out = np.zeros(len(x), np.int64)
+    if len(x):
+        levels = ranks(x + 1, len(x))
+        order = np.argsort(levels[-1][1], kind="stable")
+        shared = np.concatenate([[0], common_prefix(levels, order[:-1], order[1:])])
+        left = len(x) - order
+        out[order] = np.minimum(previous_factors(order.tolist(), shared.tolist()), left)
     return out
 
 
-def matched(pieces: list[bytes], owned: list[int], min_len: int) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
-    """For each piece the runs of owned starts whose window another piece holds, and those that an earlier piece holds.
-    The places are sorted by the rank of their windows; among equal ones, places ascend, so that the previous smaller place
-    of an entry is the one before it, and the entry has a previous factor of min_len bytes just if that is of equal rank."""
+def factors(pieces: list[bytes], owned: list[int], least: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each owned start of each piece (its first ones, in order): piece, place in it, and its longest previous and next factor, up to `reach` and
+    within the piece; those shorter than `least` are given as 0."""
     gap = np.zeros(1, np.int16)
     x = np.concatenate([a for p in pieces for a in (np.frombuffer(p, np.uint8).astype(np.int16) + 1, gap)])
     firsts = np.cumsum([0] + [len(p) + 1 for p in pieces[:-1]])
-    rank = equal_ranks(x, min_len)
     piece = np.repeat(np.arange(len(pieces)), owned)
-    begin = np.repeat(np.cumsum([0, *owned[:-1]]), owned)
-    at = firsts[piece] + np.arange(len(piece)) - begin
-    r = rank[at]
-    order = np.argsort(r, kind="stable")
-    same = r[order][1:] == r[order][:-1]
-    earlier = np.zeros(len(at), bool)
-    earlier[order[1:]] = same
-    other = earlier.copy()
-    other[order[:-1]] |= same
+    place = np.arange(len(piece)) - np.repeat(np.cumsum([0, *owned[:-1]]), owned)
+    at = firsts[piece] + place
+    left = np.array([len(p) for p in pieces])[piece] - place
+    levels = ranks(x, reach)
+    order = np.argsort(levels[-1][1][at], kind="stable")
+    pos = at[order]
+    shared = np.zeros(len(order), np.int64)
+    shared[1:] = common_prefix(levels, pos[:-1], pos[1:])
+    before, after = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    # places that share `least` bytes stand together; of two the later has the earlier
+    cuts = np.flatnonzero(shared < least)
+    ends = np.append(cuts[1:], len(order))
+    two = cuts[ends - cuts == 2]
+    low, high = np.where(pos[two] < pos[two + 1], two, two + 1), np.where(pos[two] < pos[two + 1], two + 1, two)
+    before[high], after[low] = shared[two + 1], shared[two + 1]
+    for a, z in zip(cuts[ends - cuts > 2].tolist(), ends[ends - cuts > 2].tolist(), strict=True):
+        places, lcp = pos[a:z].tolist(), [0, *shared[a + 1 : z].tolist()]
+        before[a:z] = previous_factors(places, lcp)
+        after[a:z] = previous_factors([-p for p in places], lcp)
+    out = []
+    for f in (before, after):
+        own = np.zeros(len(order), np.int64)
+        own[order] = f
+        own = np.minimum(own, left)
+        out.append(np.where(own >= least, own, 0))
+    return piece, place, *out
+
+
+def matched(pieces: list[bytes], owned: list[int], least: int, reach: int) -> list[list[list[tuple[int, int]]]]:
+    """For each kind of span and piece the runs of owned starts that are of it."""
+    piece, place, before, after = factors(pieces, owned, least, reach)
 
     def runs(flag: np.ndarray) -> list[list[tuple[int, int]]]:
         out: list[list[tuple[int, int]]] = [[] for _ in pieces]
@@ -184,20 +216,21 @@ def matched(pieces: list[bytes], owned: list[int], min_len: int) -> tuple[list[l
         if len(i):
             cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(piece[i]) != 0)) + 1
             for a, z in zip(i[np.concatenate([[0], cut])], i[np.concatenate([cut - 1, [len(i) - 1]])], strict=True):
-                out[piece[a]].append((int(a - begin[a]), int(z - begin[a])))
+                out[piece[a]].append((int(place[a]), int(place[z])))
         return out
 
-    return runs(other), runs(earlier)
+    either = np.maximum(before, after)
+    return [runs(either > 0), runs(before > 0), runs(either >= reach)]
 
 
-def _stage(docs: DataFrame, key: str, min_len: int, gram: int) -> DataFrame:
+def _stage(docs: DataFrame, min_len: int, gram: int, reach: int) -> DataFrame:
     """docs without text, with row, z, n_bytes, sha and occs: texts compressed, with their pieces."""
     pass_on = [f for f in docs.schema.fields if f.name != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        own, pack = Owners(min_len, gram), zstandard.ZstdCompressor(level=1)
-        occ = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("o", pa.int32())])
+        own, pack = Owners(min_len, gram, reach), zstandard.ZstdCompressor(level=1)
+        occ = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("e", pa.int32())])
         for big in batches:
             for lo in range(0, big.num_rows, 500):
                 b = big.slice(lo, 500)
@@ -212,43 +245,47 @@ def _stage(docs: DataFrame, key: str, min_len: int, gram: int) -> DataFrame:
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[f.name for f in pass_on], F.col("text").cast("binary").alias("_text"))
-    more = StructType.fromDDL("row bigint, z binary, n_bytes bigint, sha string, occs array<struct<h:bigint,g:bigint,lo:int,hi:int,o:int>>")
+    more = StructType.fromDDL("row bigint, z binary, n_bytes bigint, sha string, occs array<struct<h:bigint,g:bigint,lo:int,hi:int,e:int>>")
     return rows.mapInArrow(each, StructType([more["row"], *pass_on, *more.fields[1:]]))
 
 
-def _fetch(staged: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
-    """wanted(row, h, g, c, ord, lo, hi) with the pieces' bytes."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "g", "c", "ord", "lo", "hi")).alias("want"))
+def _fetch(staged: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(row, h, g, ord, lo, hi, e) with the pieces' bytes."""
+    names = ("h", "g", "ord", "lo", "hi", "e")
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("want"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for big in batches:
             for at in range(0, big.num_rows, 200):
-                out: dict[str, list] = {k: [] for k in ("row", "h", "g", "c", "ord", "lo", "hi", "piece")}
+                out: dict[str, list] = {k: [] for k in ("row", *names, "piece")}
                 for r in big.slice(at, 200).to_pylist():
                     text = unpack.decompress(r["z"])
                     for w in r["want"]:
-                        for k in ("h", "g", "c", "ord", "lo", "hi"):
+                        for k in names:
                             out[k].append(w[k])
                         out["row"].append(r["row"])
-                        out["piece"].append(text[w["lo"] : w["hi"] + min_len])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                        out["piece"].append(text[w["lo"] : w["e"]])
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return staged.select("row", "z").join(lists, "row").mapInArrow(each, "row bigint, h bigint, g bigint, c bigint, ord bigint, lo int, hi int, piece binary")
+    return staged.select("row", "z").join(lists, "row").mapInArrow(each, "row bigint, h bigint, g bigint, ord bigint, lo int, hi int, e int, piece binary")
+
+
+_RUNS = ", ".join(f"r{k} array<struct<a:int,z:int>>" for k in (EVERY, LATER, LONG))
 
 
-def _resolve(pieces: DataFrame, min_len: int) -> DataFrame:
-    """(h, g, other, earlier): runs of owned starts, counted from the piece's first."""
+def _resolve(pieces: DataFrame, least: int, reach: int) -> DataFrame:
+    """(h, g, r0, r1, r2): by kind the runs of owned starts, counted from the piece's first."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, int]] = []
         run = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 
         def solve() -> pa.RecordBatch:
-            other, earlier = matched([p for _, _, p, _ in held], [n for *_, n in held], min_len)
+            found = matched([p for _, _, p, _ in held], [n for *_, n in held], least, reach)
             named = lambda x: pa.array([[{"a": a, "z": z} for a, z in r] for r in x], run)
-            return pa.RecordBatch.from_arrays([pa.array([h for h, *_ in held], pa.int64()), pa.array([g for _, g, *_ in held], pa.int64()), named(other), named(earlier)], names=["h", "g", "other", "earlier"])
+            return pa.RecordBatch.from_arrays([pa.array([h for h, *_ in held], pa.int64()), pa.array([g for _, g, *_ in held], pa.int64()), *map(named, found)], names=["h", "g", "r0", "r1", "r2"])
 
         size = 0
         for b in batches:
@@ -262,58 +299,80 @@ def _resolve(pieces: DataFrame, min_len: int) -> DataFrame:
             yield solve()
 
     by_owner = pieces.select("h", "g", "ord", "row", "lo", "hi", "piece").repartition("h").sortWithinPartitions("h", "ord", "row", "lo")
-    return by_owner.mapInArrow(each, "h bigint, g bigint, other array<struct<a:int,z:int>>, earlier array<struct<a:int,z:int>>")
+    return by_owner.mapInArrow(each, f"h bigint, g bigint, {_RUNS}")
 
 
-def _resolve_large(pieces: DataFrame, min_len: int) -> DataFrame:
+def _resolve_large(pieces: DataFrame, least: int, reach: int) -> DataFrame:
     """As _resolve, by counting the windows' hashes: no owner's pieces meet in one task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, g, ord_, row, lo, hi, p in zip(*(b.column(k).to_pylist() for k in ("h", "g", "ord", "row", "lo", "hi", "piece")), strict=True):
-                n = hi - lo + 1
-                yield pa.RecordBatch.from_arrays([pa.array([v] * n, t) for v, t in ((h, pa.int64()), (g, pa.int64()), (ord_, pa.int64()), (row, pa.int64()), (lo, pa.int32()))] + [pa.array(range(n), pa.int32()), pa.array([xxhash.xxh3_128_digest(p[i : i + min_len]) for i in range(n)], pa.binary())], names=["h", "g", "ord", "row", "lo", "i", "w"])
+                for kind, size in ((EVERY, least), (LONG, reach))[: 1 + (reach > least)]:
+                    n = min(hi - lo + 1, len(p) - size + 1)
+                    if n > 0:
+                        same = [pa.array([v] * n, t) for v, t in ((h, pa.int64()), (g, pa.int64()), (ord_, pa.int64()), (row, pa.int64()), (lo, pa.int32()), (kind, pa.int32()))]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(range(n), pa.int32()), pa.array([xxhash.xxh3_128_digest(p[i : i + size]) for i in range(n)], pa.binary())], names=["h", "g", "ord", "row", "lo", "kind", "i", "w"])
 
-    windows = pieces.mapInArrow(each, "h bigint, g bigint, ord bigint, row bigint, lo int, i int, w binary")
+    windows = pieces.mapInArrow(each, "h bigint, g bigint, ord bigint, row bigint, lo int, kind int, i int, w binary")
     mine = F.struct("ord", "row", "lo")
-    counts = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(mine).alias("first")).where("n > 1")
-    hits = windows.join(counts, "w").select("h", "g", F.struct(F.col("i").alias("a"), F.col("i").alias("z")).alias("r"), (mine != F.col("first")).alias("late"))
-    return hits.groupBy("h", "g").agg(F.collect_list("r").alias("other"), F.collect_list(F.when(F.col("late"), F.col("r"))).alias("earlier"))
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", mode: str = "every", min_len: int = MIN_LEN, gram: int | None = None, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(staged, spans): staged has row, key, z (the text, compressed), n_bytes and sha; spans has row and
-    spans, an array of (lo, hi) byte ranges to remove, disjoint and ascending, for rows that have any."""
-    if mode not in ("every", "later"):
-        raise ValueError(f"mode is every or later, not {mode}")
-    staged = publish(_stage(docs, key, min_len, gram or min_len * 5 // 8), "staged")
+    counts = windows.groupBy("kind", "w").agg(F.count("*").alias("n"), F.min(mine).alias("first")).where("n > 1")
+    hits = _shared_join(windows, counts, ["kind", "w"]).select("h", "g", "kind", F.struct(F.col("i").alias("a"), F.col("i").alias("z")).alias("r"), (mine != F.col("first")).alias("late"))
+    runs = [(F.col("kind") == EVERY), (F.col("kind") == EVERY) & F.col("late"), (F.col("kind") == (LONG if reach > least else EVERY))]
+    return hits.groupBy("h", "g").agg(*[F.collect_list(F.when(c, F.col("r"))).alias(f"r{k}") for k, c in enumerate(runs)])
+
+
+def _shared_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left joined with right(on, n, ...), n: rows of left with these keys. Keys with a large share of the rows go by broadcast."""
+    right = publish(right, "shares")
+    rows = right.agg(F.sum("n")).first()[0] or 0
+    hot = right.where(F.col("n") >= max(SHARE_ROWS, rows // SHARES))
+    if not hot.limit(1).count():
+        return left.join(right.drop("n"), on)
+    cold = right.where(F.col("n") < max(SHARE_ROWS, rows // SHARES)).drop("n")
+    near = left.join(F.broadcast(hot.drop("n")), on)
+    return near.unionByName(left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", least: int = PASSAGE, reach: int | None = None, gram: int | None = None, group: int = GROUP, kinds: tuple[int, ...] = (EVERY, LATER, LONG)) -> tuple[DataFrame, DataFrame]:
+    """(staged, spans): staged has row, the columns of docs but text, z (the text, compressed), n_bytes and sha; spans has row and
+    spans, an ascending array of (kind, lo, hi) byte ranges, for rows that have any of `kinds`."""
+    reach = max(reach or least, least)
+    staged = publish(_stage(docs, least, gram or least * 5 // 8, reach), "staged")
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
-    shared = staged.select(F.explode("occs.h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = staged.select(F.explode("occs.h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     occs = staged.select("row", order.alias("ord"), F.explode("occs").alias("x")).select("row", "ord", "x.*")
-    occs = publish(occs.join(shared, "h").select("row", "ord", "h", "g", "lo", "hi"), "shared-owners")
-    distinct = occs.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("ord", "row", "lo", "hi")).alias("first"))
+    occs = publish(_shared_join(occs, shared, ["h"]).select("row", "ord", "h", "g", "lo", "hi", "e"), "shared-owners")
+    distinct = occs.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("ord", "row", "lo", "hi", "e")).alias("first"))
     distinct = publish(distinct, "pieces")
-    groups = distinct.groupBy("h").agg(F.count("*").alias("n_g")).where("n_g > 1")
-    groups = publish(distinct.join(groups, "h").select("h", "g", "c", "first.*", "n_g"), "ends")
-    small, large = groups.where(F.col("n_g") <= group).drop("n_g"), groups.where(F.col("n_g") > group).drop("n_g")
-    found = _resolve(_fetch(staged, small, min_len), min_len)
+    groups = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    ends = publish(_shared_join(distinct, groups.withColumn("n_g", F.col("n")), ["h"]).select("h", "g", "first.*", "n_g"), "ends")
+    small, large = ends.where(F.col("n_g") <= group).drop("n_g"), ends.where(F.col("n_g") > group).drop("n_g")
+    found = _resolve(_fetch(staged, small), least, reach)
     if large.limit(1).count():
-        found = found.unionByName(_resolve_large(_fetch(staged, large, min_len), min_len))
+        found = found.unionByName(_resolve_large(_fetch(staged, large), least, reach))
     found = publish(found, "matched")
-    status = distinct.join(found, ["h", "g"], "left").where("c > 1 or other is not null").select("h", "g", "c", F.col("first.row").alias("f_row"), F.col("first.lo").alias("f_lo"), "other", "earlier")
+    status = distinct.join(found, ["h", "g"], "left").where("c > 1 or r0 is not null").select("h", "g", F.col("c").alias("n"), "c", F.col("first.row").alias("f_row"), F.col("first.lo").alias("f_lo"), "r0", "r1", "r2")
+    hits = _shared_join(occs, status, ["h", "g"])
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("z")))
-    hits = occs.join(status, ["h", "g"])
-    if mode == "every":
-        runs = F.when(F.col("c") > 1, whole).otherwise(F.col("other"))
-    else:
-        runs = F.when((F.col("row") == F.col("f_row")) & (F.col("lo") == F.col("f_lo")), F.col("earlier")).otherwise(whole)
-    ranges = hits.select("row", F.explode(F.transform(runs, lambda r: F.struct((F.col("lo") + r["a"]).alias("lo"), (F.col("lo") + r["z"] + min_len).alias("hi")))).alias("s"))
+    far = F.array(F.struct(F.lit(0).alias("a"), F.least(F.col("hi") - F.col("lo"), F.col("e") - F.col("lo") - reach).alias("z")))
+    first = (F.col("row") == F.col("f_row")) & (F.col("lo") == F.col("f_lo"))
+    runs = {EVERY: F.when(F.col("c") > 1, whole).otherwise(F.col("r0")), LATER: F.when(first, F.col("r1")).otherwise(whole), LONG: F.when(F.col("c") > 1, F.filter(far, lambda r: r["z"] >= 0)).otherwise(F.col("r2"))}
+    size = {EVERY: least, LATER: least, LONG: reach}
+
+    def placed(k: int) -> Column:
+        found = F.coalesce(runs[k], F.array().cast("array<struct<a:int,z:int>>"))
+        return F.transform(found, lambda r: F.struct(F.lit(k).alias("kind"), (F.col("lo") + r["a"]).alias("lo"), (F.col("lo") + r["z"] + size[k]).alias("hi")))
+
+    ranges = hits.select("row", F.explode(F.concat(*map(placed, kinds))).alias("s"))
     return staged, ranges.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
 
-def _united(spans: list[dict]) -> list[list[int]]:
+def _united(spans: list[dict], kind: int) -> list[list[int]]:
     out: list[list[int]] = []
     for s in spans or []:
+        if s["kind"] != kind:
+            continue
         if out and s["lo"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s["hi"])
         else:
@@ -335,30 +394,36 @@ def _without(text: bytes, spans: list[list[int]], whole_chars: bool = False) ->
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, of strings of MIN_LEN bytes; and `text`, what a cleaning step leaves: without passages of PASSAGE bytes that an
+    earlier document (or place) has."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    staged, spans = repeated_spans(docs)
+    staged, spans = repeated_spans(docs, reach=MIN_LEN, kinds=(LATER, LONG))
     both = staged.select("row", "doc_id", "z", "n_bytes", "sha").join(spans, "row", "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            removed, n_spans, shas = [], [], []
-            for z, sha, s in zip(b.column("z"), b.column("sha").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                u = _united(s)
-                removed.append(sum(hi - lo for lo, hi in u))
-                n_spans.append(len(u))
-                shas.append(hashlib.sha256(_without(unpack.decompress(z.as_py()), u)).hexdigest() if u else sha)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return both.drop("row").mapInArrow(each, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-
-
-def deduplicate(docs: DataFrame, mode: str = "later", min_len: int = MIN_LEN, key: str = "doc_id") -> DataFrame:
-    """docs with repeated passages cut out of text (whole characters only); every row stays, and other columns pass through.
-    n_chars, where docs has it, follows the text."""
+        for big in batches:
+            for lo in range(0, big.num_rows, 500):
+                b = big.slice(lo, 500)
+                removed, n_spans, shas, texts = [], [], [], []
+                for z, sha, s in zip(b.column("z"), b.column("sha").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                    text, cut = unpack.decompress(z.as_py()), _united(s, LONG)
+                    removed.append(sum(hi - lo for lo, hi in cut))
+                    n_spans.append(len(cut))
+                    shas.append(hashlib.sha256(_without(text, cut)).hexdigest() if cut else sha)
+                    texts.append(_without(text, _united(s, LATER), whole_chars=True).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas), pa.array(texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+    return both.drop("row").mapInArrow(each, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
+
+
+def deduplicate(docs: DataFrame, mode: str = "later", min_len: int = PASSAGE, key: str = "doc_id") -> DataFrame:
+    """docs with repeated passages (mode every: all copies, later: all but the first) cut out of text (whole characters only); every row stays,
+    and other columns pass through. n_chars, where docs has it, follows the text."""
+    kind = {"every": EVERY, "later": LATER}[mode]
     names = [c for c in docs.columns if c not in (key, "text")]
     rest = F.struct(*names) if names else F.struct(F.lit(0).alias("_"))
-    staged, spans = repeated_spans(docs.select(key, "text", rest.alias("_rest")), key, mode, min_len)
+    staged, spans = repeated_spans(docs.select(key, "text", rest.alias("_rest")), key, min_len, kinds=(kind,))
     both = staged.select("row", key, "z", "_rest").join(spans, "row", "left").drop("row")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +432,7 @@ def deduplicate(docs: DataFrame, mode: str = "later", min_len: int = MIN_LEN, ke
             texts = []
             for z, s in zip(b.column("z"), b.column("spans").to_pylist(), strict=True):
                 text = unpack.decompress(z.as_py())
-                texts.append(_without(text, _united(s), whole_chars=True).decode("utf-8", "replace") if s else text.decode("utf-8", "replace"))
+                texts.append(_without(text, _united(s, kind), whole_chars=True).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("_rest"), pa.array(texts, pa.string())], names=[key, "_rest", "text"])
 
     out = both.mapInArrow(each, StructType([both.schema[key], both.schema["_rest"], docs.schema["text"]]))

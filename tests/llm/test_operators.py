@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from prosodia.llm import bpe, common, compression_classifier, fingerprints, html_extract, packing, quality_rules, simhash, suffix_dedup, warc
 
@@ -204,20 +205,46 @@ def brute_repeats(ts, min_len, later):
     return out
 
 
-@pytest.mark.parametrize("mode", ["every", "later"])
+def cut(r, kind):
+    return suffix_dedup._without(zstandard.ZstdDecompressor().decompress(r.z), suffix_dedup._united(r.spans, kind))
+
+
 @pytest.mark.parametrize("group", [4096, 1])
-def test_repeats(spark, mode, group):
+@pytest.mark.parametrize("share", [20_000, 2])
+def test_repeats(spark, monkeypatch, group, share):
+    monkeypatch.setattr(suffix_dedup, "SHARE_ROWS", share)
     rng = random.Random(8)
     bits = ["".join(rng.choice("ab é") for _ in range(rng.randint(20, 160))) for _ in range(12)]
     ts = ["".join(rng.choice(bits) + rng.choice(["", "x", "yy"]) for _ in range(rng.randint(0, 6))) for _ in range(60)] + ["a" * 300, "ab" * 200, "", "short"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id bigint, text string").coalesce(1)
-    staged, spans = suffix_dedup.repeated_spans(df, mode=mode, min_len=60, gram=38, group=group)
-    rows = staged.join(spans, "row", "left").collect()
-    import zstandard
+    staged, spans = suffix_dedup.repeated_spans(df, least=60, reach=100, gram=38, group=group)
+    rows = {r.doc_id: r for r in staged.join(spans, "row", "left").collect()}
+    for kind, size in ((suffix_dedup.EVERY, 60), (suffix_dedup.LATER, 60), (suffix_dedup.LONG, 100)):
+        assert [cut(rows[i], kind) for i in range(len(ts))] == brute_repeats([t.encode() for t in ts], size, kind == suffix_dedup.LATER)
+
 
-    got = {r.doc_id: suffix_dedup._without(zstandard.ZstdDecompressor().decompress(r.z), suffix_dedup._united(r.spans)) for r in rows}
-    want = brute_repeats([t.encode() for t in ts], 60, mode == "later")
-    assert [got[i] for i in range(len(ts))] == want
+def test_suffix_query(spark, tmp_path):
+    """The registered query at its own 400 bytes, with passages just below and above them, copies, and texts in one another."""
+    from prosodia.llm.registry import QUERIES
+
+    rng = random.Random(9)
+    passages = [prose(n, rng) for n in (50, 60, 70, 75, 80, 90, 150)]
+    ts = [prose(rng.randint(0, 40), rng) + " " + rng.choice(passages)[rng.randint(0, 20) :] + rng.choice(["", "\n"]) + prose(rng.randint(0, 60), rng) for _ in range(50)]
+    ts += [passages[-1], passages[-1], passages[-1][:399], None, "", "é" * 1000, "q" * 400, "q" * 401, prose(4000, rng)]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(ts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op9_suffix_dedup"](spark, str(tmp_path)).collect()}
+    raw = [(t or "").encode() for t in ts]
+    want = brute_repeats(raw, 400, False)
+    assert [got[i].kept_sha256 for i in range(len(ts))] == [hashlib.sha256(w).hexdigest() for w in want]
+    assert [(got[i].n_bytes, got[i].n_removed) for i in range(len(ts))] == [(len(t), len(t) - len(w)) for t, w in zip(raw, want, strict=True)]
+    seen = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    for i, t in enumerate(raw):
+        flags = np.zeros(len(t) + 2, int)
+        for j in range(len(t) - 399):
+            if seen[t[j : j + 400]] > 1:
+                flags[j + 1 : j + 401] = 1
+        assert got[i].n_spans == (np.diff(flags) == 1).sum()
+    assert sum(passages[3] in (got[i].text or "") for i in range(len(ts))) <= 1
 
 
 def test_longest_previous_factors():

@@ -3,15 +3,15 @@
 A fingerprint's bit is set if it is set in over half of the XXH64 hashes of the text's 4-word
 shingles. Distinct fingerprints only are compared; copies share one.
 
-Sharding. One vantage point for all 64 bits prunes nearly nothing: distances of unrelated
-fingerprints crowd about 32. So there are SEGMENTS trees, each partitioning by the distance over its
-own segment of bits, a pseudo-metric below the whole distance. Of two fingerprints with at most
-RADIUS differing bits, at least one of SEGMENTS > RADIUS segments is equal; in that segment's tree
-the search radius is 0, and the triangle bound leaves one branch at every vantage: the shard of
-equal segments. The shards of all trees together thus hold every pair.
+Sharding. One tree over all 64 bits prunes nearly nothing: distances of unrelated fingerprints crowd about 32, so rings of +-4 round a boundary
+hold most of them, on both sides. So there are several trees, each over some of the bits only, whose distance is a pseudo-metric below the whole
+one. The bits are cut into RADIUS + m segments; of two fingerprints with at most RADIUS differing bits, some m segments are equal, and in the tree
+over these the search radius is 0: the triangle bound leaves, at each of LEVELS sampled vantage points, the branch of the same distance and no
+other, and boundaries overlap by nothing. The distances to the vantage points are the path to a shard; the shards of all trees together hold
+every pair. m follows the number of fingerprints, by the cost of copies and of comparisons, so that shards don't grow with it.
 
 Within a shard a vantage-point tree over the whole distance splits by the median distance to a
-vantage; a side is searched only if the triangle bound lets it hold a partner, so rows within RADIUS of
+vantage down to LEAF rows; a side is searched only if the triangle bound lets it hold a partner, so rows within RADIUS of
 the boundary are compared across it, and leaves are compared exactly. Only links that join two parts
 leave a shard (at most one for each fingerprint), never all pairs of a group.
 
@@ -28,20 +28,27 @@ repeated rows each get a row; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import publish
 
 SHINGLE, SEED = 4, 42
-RADIUS, SEGMENTS = 4, 5
-LEAF = 1024
+RADIUS = 4
+#: Vantage points of each tree over some of the bits; rows of a leaf of a tree over all; rows compared at once.
+LEVELS, LEAF, BLOCK = 16, 32, 1024
 SHARD_ROWS = 16_384
+#: Cost of copying a row to one more tree, in comparisons.
+COPY = 200
+#: Hot shards that are named by broadcast; more are joined by shuffle, with the same result.
+NAMED = 10_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -70,8 +77,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """Add the fingerprint as a long with the same bits; the text is dropped from the result."""
     keep = [f for f in docs.schema.fields if f.name not in (text, out)]
-    from pyspark.sql.types import LongType, StructField, StructType
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_py() or b"") for x in b.column("_text")), np.uint64, b.num_rows)
@@ -87,6 +92,7 @@ class Joined:
 
     def __init__(self, n: int):
         self.up = np.arange(n)
+        self.compared = 0
 
     def roots(self, at: np.ndarray) -> np.ndarray:
         r = self.up[at]
@@ -120,10 +126,13 @@ def differing(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, joined: Joined, radius: int) -> None:
     """Join all of a with all of b that lie within the radius. Each round adds one link for each row that
     has a partner in another part, until none has."""
-    for lo in range(0, len(a), LEAF):
-        for left in range(0, len(b), LEAF):
-            i, j = a[lo : lo + LEAF], b[left : left + LEAF]
+    for lo in range(0, len(a), BLOCK):
+        for left in range(0, len(b), BLOCK):
+            i, j = a[lo : lo + BLOCK], b[left : left + BLOCK]
+            joined.compared += len(i) * len(j)
             near = differing(fps, i[:, None], j[None, :]) <= radius
+            if not near.any():
+                continue
             while True:
                 bad = near & (joined.roots(i)[:, None] != joined.roots(j)[None, :])
                 rows = np.flatnonzero(bad.any(axis=1))
@@ -154,20 +163,36 @@ def self_join(fps: np.ndarray, at: np.ndarray, joined: Joined, radius: int) -> N
         todo += [inner, outer]
 
 
-def _segment(k: int, segments: int = SEGMENTS) -> tuple[int, int]:
-    lo, hi = 64 * k // segments, 64 * (k + 1) // segments
-    return lo, (1 << (hi - lo)) - 1
+def trees(n: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the bits of each tree for n fingerprints: all choices of m of radius + m segments, with the m of least cost."""
+
+    def masks(m: int) -> list[int]:
+        k = radius + m
+        segments = [((1 << 64 * (i + 1) // k) - 1) & ~((1 << 64 * i // k) - 1) for i in range(k)]
+        return [sum(c) for c in itertools.combinations(segments, m)]
+
+    def cost(found: list[int]) -> float:
+        return len(found) * (COPY + n / 2.0 ** min(f.bit_count() for f in found))
 
+    return min(map(masks, (1, 2, 3)), key=cost)
 
-def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+
+def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, levels: int = LEVELS) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` that join all fingerprints within the radius of one another."""
-    segments = radius + 1
-    keys = F.array(*[F.struct(F.lit(k).alias("tree"), F.shiftrightunsigned("fp", _segment(k, segments)[0]).bitwiseAND(F.lit(_segment(k, segments)[1]).cast("long")).alias("shard")) for k in range(segments)])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    vantage = [r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(levels).collect()]
+
+    def path(mask: int) -> Column:
+        """Distances to the vantage points over the bits of a tree."""
+        rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v).cast("long")).bitwiseAND(F.lit(signed(mask)).cast("long"))) for v in vantage]
+        return F.xxhash64(*rings) if rings else F.lit(0).cast("long")
+
+    keys = F.array(*[F.struct(F.lit(k).alias("tree"), path(mask).alias("shard")) for k, mask in enumerate(trees(fps.count(), radius))])
     rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.tree", "k.shard")
     sizes = rows.groupBy("tree", "shard").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > shard_rows).select("tree", "shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("blocks"))
     hot = publish(hot, "hot-shards")
-    blocks = F.broadcast(hot) if hot.count() <= 10_000 else hot
+    blocks = F.broadcast(hot) if hot.count() <= NAMED else hot
     rows = rows.join(blocks, ["tree", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine)
@@ -222,18 +247,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS)
     return prints.join(of, prints["fp"] == of["_fp"], "left").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the first of least doc_id. Texts are joined with the numbers of the kept
-    rows; they are not compared themselves, and do not meet by component."""
-    rows = publish(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    prints = publish(with_fingerprint(rows.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), "_row").alias("_at"), "text").select("_at", "text")), "fingerprints")
-    distinct = publish(prints.groupBy("fp").agg(F.min(F.struct(F.col("_at.doc_id").isNull().alias("none"), F.col("_at.doc_id").alias("doc_id"), F.col("_at._row").alias("row"))).alias("least")), "distinct-fingerprints")
-    comps = publish(components(links(distinct.select("fp"), radius)), "components")
-    named = distinct.join(comps, distinct["fp"] == comps["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_kept"))
-    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").select(docs.columns)
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

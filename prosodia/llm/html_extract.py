@@ -1,12 +1,16 @@
 """Main text of web pages as the maximum-scoring run of words and tags.
 
 A page becomes a sequence of units: words score above zero, tags below, and a whole boilerplate element (menu, header,
-footer, sidebar, notice, advert, form, script, style, reader comments) counts as one strongly negative unit whose text
+footer, sidebar, notice, advert, form, script, style, reader comments) counts as one negative unit whose text
 never enters. A linear scan finds the contiguous run of greatest sum; the words of that run are the text.
 
+A unit is told apart by where it stands: within an article or main element, outside of one on a page that has one, or on a page that has none.
 The scores are log-odds of lying in the article, counted on labelled pages. No labelled pages come with the data, so
-they are generated here from a few page layouts with known articles (labelled_pages); scores are clipped so that
-words stay above zero and tags below.
+they are generated here from page layouts with known articles (labelled_pages); scores are clipped so that
+words stay above zero (at most 1 on pages without such an element, where only the run itself tells blocks apart) and tags below. Tags that no labelled page has score next to nothing.
+
+What is boilerplate is told by names before the scan: of elements, roles, and of class or id words (whole ones: every part of the
+word has to be a mark or a filler, so that `side-by-side` or `notice-board` are none).
 
 Text: character references are decoded once, white space in a block becomes one space, block elements and line breaks
 part blocks, and blocks are joined by one space.
@@ -36,7 +40,7 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: An open element of these ends where another of its group begins.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
-#: Elements, roles and words of class or id that mark what is not the article.
+#: Elements, roles and words of class or id that mark what is not the article, and parts that such words may also have.
 BOILER = set("head nav header footer aside form script style title textarea noscript iframe xmp noembed noframes button select option template svg canvas object dialog menu".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = set(
@@ -45,16 +49,29 @@ MARKS = set(
     teaser share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation topbar header masthead footer copyright
     comment comments comentarios commentaires kommentare disqus reply replies respond discussion toolbar search skip paywall""".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[/a-zA-Z][^>]*\Z", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$|")""", re.I)
-_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
+FILLERS = set(
+    """site page main top bottom left right primary secondary global box bar list block container wrapper wrap area section slot unit inner outer
+    panel buttons button links link posts post entry article articles items item content text form group col column row zone rail body
+    mobile desktop sticky fixed js the my b c d""".split()
+)
+#: A tag's attributes may hold any character in quotes after an equals sign; an open quote is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>|<[/a-zA-Z][^>]*\Z", re.S)
+_ATTR = re.compile(r"""(?<![^\s"'/])([^\s"'/=>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_PART = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
+
 
+def _mark(word: str, inside: bool) -> bool:
+    """Whether a class or id word names boilerplate; within an article a header is none."""
+    parts = [p.lower() for p in _PART.findall(word)]
+    marks = [p for p in parts if p in MARKS and not (inside and p in ("header", "masthead"))]
+    return bool(marks) and all(p in MARKS or p in FILLERS for p in parts)
 
-def _marked(name: str, attrs: str) -> bool:
-    """Whether an element is boilerplate by its name or attributes."""
+
+def _marked(name: str, attrs: str, inside: bool = False) -> bool:
+    """Whether an element is boilerplate by its name or attributes; inside: it stands in an article or main element."""
     if name in BOILER:
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "article", "main") and "class" not in attrs.lower():
         return False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
@@ -62,7 +79,7 @@ def _marked(name: str, attrs: str) -> bool:
             if value.lower() in ROLES:
                 return True
         elif key in ("class", "id"):
-            if any(p.lower() in MARKS for p in _PART.findall(value)):
+            if name not in ("html", "body", "main") and any(_mark(w, inside) for w in value.split()):
                 return True
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -95,7 +112,7 @@ def units(page: str) -> list[tuple[str, str]]:
         if not m:
             break
         at = m.end()
-        end, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        end, name, attrs = m[1], m[2], m[3]
         if not name:
             continue
         name = name.lower()
@@ -123,7 +140,7 @@ def units(page: str) -> list[tuple[str, str]]:
             if not hidden:
                 out.append(("boiler", ""))
             continue
-        mark = _marked(name, attrs)
+        mark = _marked(name, attrs, any(x in ("article", "main") for x, _ in stack))
         if not hidden and not mark:
             out.append(("<" + name, ""))
         if name in VOID or attrs.endswith("/") and name not in ("a", "p", "div", "span"):
@@ -138,54 +155,88 @@ def units(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def labelled_pages(n: int = 120, seed: int = 7) -> list[tuple[str, str]]:
-    """(html, article html): pages of a few layouts, with the article's part."""
+def placed(us: list[tuple[str, str]]) -> list[str]:
+    """Kinds of units by where they stand: `in` an article or main element, `out` of one that the page has, or neither."""
+    has = any(kind in ("<article", "<main") for kind, _ in us)
+    depth, out = 0, []
+    for kind, _ in us:
+        depth -= kind in ("</article", "</main")
+        out.append(f"in {kind}" if depth > 0 else f"out {kind}" if has else kind)
+        depth += kind in ("<article", "<main")
+    return out
+
+
+def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, str, str]]:
+    """(html before the article, the article, html after it) of pages of a few layouts."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     link = lambda: f'<a href="/{word()}">{words(1, 2)}</a>'
+    several = lambda a, b, f: "".join(f() for _ in range(r.randint(a, b)))
+    blocks = [
+        lambda: f"<p>{words(8, 60)}</p>",
+        lambda: f"<p>{words(8, 60)} {link()} {words(4, 20)}</p>",
+        lambda: f"<p>{words(8, 40)} <b>{words(1, 3)}</b> {words(2, 9)}",
+        lambda: f"<p>{words(3, 20)}<br>{words(3, 20)}<br/>{words(1, 9)}</p>",
+        lambda: f"<blockquote><p>{words(8, 60)}</p></blockquote>",
+        lambda: f"<ul>{several(2, 9, lambda: f'<li>{words(1, 12)}</li>')}</ul>",
+        lambda: f"<ol>{several(2, 9, lambda: f'<li><p>{words(1, 20)}</p></li>')}</ol>",
+        lambda: f"<table>{several(1, 6, lambda: f'<tr><td>{word()}</td><td>{words(1, 3)}</td></tr>')}</table>",
+        lambda: f"<dl>{several(1, 4, lambda: f'<dt>{word()}</dt><dd>{words(2, 9)}</dd>')}</dl>",
+        lambda: f"<h2>{words(2, 6)}</h2><hr><p>{words(9, 40)}</p>",
+        lambda: f"<div><p>{words(8, 60)}</p></div>",
+        lambda: f'<section><h3>{words(1, 5)}</h3><div><p>{words(5, 40)}</p></div></section>',
+        lambda: f"<figure><figcaption>{words(2, 9)}</figcaption></figure><pre><code>{words(2, 9)}</code></pre>",
+        lambda: f'<div class="ad">{words(3, 12)}</div>',
+    ]
     out = []
     for k in range(n):
-        body = [f"<h1>{words(3, 9)}</h1>"]
-        for _ in range(r.randint(2, 12)):
-            p = words(8, 60)
-            if r.random() < 0.3:
-                p += f" {link()} {words(4, 20)}"
-            if r.random() < 0.2:
-                p += f" <b>{words(1, 3)}</b> {words(2, 9)}"
-            body.append(r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>"]).format(p))
-            if r.random() < 0.1:
-                body.append(f"<h2>{words(2, 6)}</h2>")
-            if r.random() < 0.1:
-                body.append(f'<div class="ad">{words(3, 12)}</div>')
-        article = "".join(body)
-        menu = "".join(f"<li>{link()}</li>" for _ in range(r.randint(3, 9)))
-        before = r.choice([f"<nav><ul>{menu}</ul></nav>", f"<div><ul>{menu}</ul></div>", f"<header>{link()}</header><div>{link()} {link()}</div>"])
-        after = r.choice([f"<footer>{words(3, 15)}</footer>", f"<div>{link()} {link()} {link()}</div><footer>{words(2, 8)}</footer>", f"<section><ul>{menu}</ul></section>"])
-        a, b = [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ("<main><article>", "</article></main>")][k % 4]
-        out.append((f"<html><head><title>{words(2, 8)}</title></head><body>{before}{a}{article}{b}{after}</body></html>", article))
+        article = f"<h1>{words(3, 9)}</h1>" + several(2, 14, lambda: r.choice(blocks)())
+        menu = several(3, 9, lambda: f"<li>{link()}</li>")
+        before = r.choice([f"<nav><ul>{menu}</ul></nav>", f"<div><ul>{menu}</ul></div>", f"<header>{link()}</header><div>{link()} {link()}</div>", f"<div><p>{words(1, 6)}</p></div>"])
+        after = r.choice([f"<footer>{words(3, 15)}</footer>", f"<div>{link()} {link()} {link()}</div><footer>{words(2, 8)}</footer>", f"<section><ul>{menu}</ul></section>", f"<div>{words(1, 4)}</div>"])
+        a, b = [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ("<main><article>", "</article></main>"), ("<div><div>", "</div></div>")][k % 5]
+        out.append((f"<html><head><title>{words(2, 8)}</title></head><body>{before}{a}", article, f"{b}{after}</body></html>"))
     return out
 
 
-def learn_scores(pages: list[tuple[str, str]]) -> dict[str, float]:
+def learn_scores(pages: list[tuple[str, str, str]]) -> dict[str, float]:
     """Log-odds of each kind of unit, words counted one by one; above zero for words, below for the rest."""
+
+    def count(page: str, lo: str, hi: str) -> tuple[Counter, Counter]:
+        """Counts of the kinds of a page's units, all and of those between the marks."""
+        found, whole, part, on = units(page), Counter(), Counter(), False
+        for kind, (_, text) in zip(placed(found), found, strict=True):
+            words = text.split()
+            for w in words if words else [""]:
+                if w in (lo, hi):
+                    on = w == lo
+                    continue
+                if w or not text:
+                    whole[kind] += 1
+                    part[kind] += on
+        return whole, part
+
     inside, outside = Counter(), Counter()
-    count = lambda us: Counter(k for kind, text in us for k in ([kind] * len(text.split()) if kind in ("word", "link") else [kind]))
-    for page, article in pages:
-        there = count(units(article))
-        inside += there
-        outside += count(units(page)) - there
+    for before, article, after in pages:
+        whole, part = count(f"{before} \x01 {article} \x02 {after}", "\x01", "\x02")
+        inside += part
+        outside += whole - part
     base = math.log((sum(outside.values()) + 1) / (sum(inside.values()) + 1))
     scores = {}
-    for k in {*inside, *outside, "word", "link", "boiler"}:
-        odds = math.log((inside[k] + 0.5) / (outside[k] + 0.5)) + base
-        scores[k] = min(3.0, max(0.3 if k == "word" else 0.1, odds)) if k in ("word", "link") else max(-1.0 if k == "boiler" else -6.0, min(-0.02, odds))
+    for where in ("", "in ", "out "):
+        for k in {*(x.removeprefix(where) for x in {*inside, *outside} if where in x[: len(where)] and (where or x[:3] != "in " and x[:4] != "out ")), "word", "link", "boiler"}:
+            odds = math.log((inside[where + k] + 0.5) / (outside[where + k] + 0.5)) + base
+            if k in ("word", "link"):
+                scores[where + k] = min(3.0 if where else 1.0, max(0.3 if k == "word" and where != "out " else 0.1, odds))
+            else:
+                scores[where + k] = max(-1.0 if k == "boiler" else -6.0, min(-0.02, odds))
     return scores
 
 
 _SCORES: dict[str, float] = {}
-#: The score of tags that no labelled page has: for blocks, and for what stands within a line.
-UNKNOWN, UNKNOWN_INLINE = -1.0, -0.1
+#: The score of tags that no labelled page has.
+UNKNOWN = -0.02
 
 
 def scores() -> dict[str, float]:
@@ -211,13 +262,7 @@ def extract(page: str, table: dict[str, float] | None = None) -> str:
     """The main text of a page."""
     table = table or scores()
     us = units(page)
-    values = []
-    for kind, text in us:
-        if kind in ("word", "link"):
-            values.append(table[kind] * len(text.split()))
-        else:
-            known = table.get(kind)
-            values.append(known if known is not None else UNKNOWN_INLINE if kind.lstrip("</") in INLINE else UNKNOWN)
+    values = [table.get(kind, UNKNOWN) * (len(text.split()) if raw in ("word", "link") else 1) for kind, (raw, text) in zip(placed(us), us, strict=True)]
     lo, hi = best_run(values)
     parts = []
     for kind, text in us[lo:hi]:

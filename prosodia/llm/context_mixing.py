@@ -197,7 +197,12 @@ def score_page(book: Book, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndar
     what = m(what + np.uint64(1 << 50))
     key = m(m(m(u(one)) + u(part)) + u(past)) ^ what
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    del key
+    # context by context: what follows one word is learnt together, and its slots stay in a core's cache
+    order = np.argsort(m(m(u(one[first])) + u(part[first])), kind="stable")
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    first, inverse = first[order], back[inverse]
+    del key, order, back
     times = np.bincount(inverse, train, len(first)).astype(np.int64)
     number = np.maximum(word[first], -1)
     once = np.zeros(len(first), bool)

@@ -7,7 +7,7 @@ three words and the two; those of the code by the word before, the kinds of the
 spelled bytes by the word so far, that after the word before, and the last two, three and four bytes with the kind of the word before. A context and the
 place in the code are hashed to a slot that holds how often either answer was seen.
 
-Learning goes once over the page's training items in the order of their hashes, in slices. The tables take a slice in; every
+Learning goes once over the page's training items in the order of the hashes of the word before and of their own, in slices. The tables take a slice in; every
 decision of it is predicted as if its own occurrence had not been counted (so are the guesses); the weights, one set for each gate (how well the
 contexts are known, and the kind of decision), and the table that refines the sum take steps on the errors (online Newton
 steps: the gradient over the curvature summed up so far). A guess that holds ends the path, so the tables below count what longer contexts did not foresee.
@@ -205,7 +205,7 @@ def past(two: np.ndarray, kind_two: np.ndarray, three: np.ndarray) -> np.ndarray
 
 
 class Items:
-    """Distinct items of a page in the order of their hashes.
+    """Distinct items of a page in the order in which they are learnt.
 
     word: number of the word's code, or -1; key: hash of the word; one: the word before (its number, negative for words without
     a code); part: which part of a frequent word before; past: of the two words before that one, by `past`; kind: of the word

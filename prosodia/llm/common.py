@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of its own on a single machine (tests); on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_prosodia_dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='prosodia-')}"
         spark.sparkContext._prosodia_dir = found
     return found.rstrip("/")
@@ -36,7 +40,36 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     identities such as monotonically_increasing_id() are fixed for every later reader."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._published = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete published tables that nothing reads any more. The driver's garbage goes with them, so that Spark's cleaner
+    frees the shuffle files of finished jobs."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        remove(spark, t._published)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name` that names each row: where it stands in its files or, if docs is not read from files as it is, a number
+    that is written down with it."""
+    try:
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias(name))
+    except AnalysisException:
+        return publish(docs.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("place"))), "numbered")
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """name, with underscores added until it is none of the names taken (case aside)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,12 +1,11 @@
 """Repeated passages over a whole corpus, by longest-previous-factor arrays of suffix arrays.
 
-A byte is repeated if a string of `least` bytes that covers it also starts elsewhere, in the same text or another. One suffix array of a
+A byte is repeated if a string of min_len bytes that covers it also starts elsewhere, in the same text or another. One suffix array of a
 corpus fits no machine, so places are first brought together:
 
-1. Every window of `least` bytes has an owner, its GRAM-byte string of least hash (leftmost among equals). Equal windows have equal owners at
-   equal places, so a run of windows with one owner, its piece, has to be compared with pieces of the same owner only. A piece reaches `reach` bytes
-   past its last window's start, so that longer repeats can be told from the same piece. Runs are counted by (owner, piece) hashes, with
-   partial sums before each shuffle.
+1. Every window of min_len bytes has an owner, its GRAM-byte string of least hash (leftmost among equals). Equal windows have equal owners at
+   equal places, so a run of windows with one owner, its piece, has to be compared with pieces of the same owner only. Runs are counted by
+   (owner, piece) hashes, with partial sums before each shuffle.
 2. A piece that occurs twice is repeated as a whole. Distinct pieces with one owner, that is the ends of shared passages, are fetched and
    concatenated in the order of first occurrence. Their suffixes are sorted by prefix doubling; the previous and next smaller
    positions in that order give each place's longest previous factor, and the mirror image its longest next factor: a window is repeated
@@ -17,10 +16,9 @@ corpus fits no machine, so places are first brought together:
 Owners and pieces with a large share of all rows are joined by broadcast: there are 100,000 of them at most, as each has at least that part of
 the rows; no task gets all rows of one.
 
-Kinds of spans: EVERY (all copies of strings of `least` bytes), LATER (all but the first, by (doc_id, text order in the input)), LONG (all
-copies of strings of `reach` bytes).
+Modes: `every` marks all copies; `later` all but the first by (doc_id, text order in the input), which is what a cleaning step wants.
 
-Defined results: a null text has no bytes; texts shorter than `least` are untouched; rows with equal ids or
+Defined results: a null text has no bytes; texts shorter than min_len are untouched; rows with equal ids or
 texts are different places; null ids sort first; an empty table gives an empty result; other
 columns pass through `deduplicate` untouched. Texts of any length are read whole.
 """
@@ -38,14 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import publish, release_memory
+from .common import discard, publish, release_memory
 
 #: Bytes of the contract's strings, and of the shortest passage that a cleaning step cuts: fewer than fifty words take.
 MIN_LEN, PASSAGE = 400, 240
 GROUP = 4096
 #: Rows from which on an owner may be joined by broadcast, and how many such there can be.
 SHARE_ROWS, SHARES = 20_000, 100_000
-EVERY, LATER, LONG = 0, 1, 2
+EVERY, LATER = 0, 1
 #: Bytes of pieces in one suffix array, about.
 BATCH = 1 << 20
 #: Window starts hashed at once; places must fit the low 20 bits.
@@ -62,8 +60,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Owners:
     """Owner of each window of a text."""
 
-    def __init__(self, min_len: int, gram: int, reach: int):
-        self.min_len, self.gram, self.reach, self.width = min_len, gram, reach, min_len - gram + 1
+    def __init__(self, min_len: int, gram: int):
+        self.min_len, self.gram, self.width = min_len, gram, min_len - gram + 1
         n = BLOCK + min_len
         self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
 
@@ -84,27 +82,48 @@ class Owners:
         least = np.minimum(tail[:starts], head[w - 1 : w - 1 + starts])
         return h, (least & np.uint64(0xFFFFF)).astype(np.int64)
 
-    def pieces(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(owner hash, piece hash, first start, last start, piece's end), in order."""
-        n = len(text) - self.min_len + 1
-        out: list[tuple[int, int, int, int, int]] = []
-        x = np.frombuffer(text, np.uint8)
-        runs: list[list[int]] = []  # owner hash, owner place, first start, last start
-        for lo in range(0, max(n, 0), BLOCK):
-            h, own = self._block(x[lo : min(lo + BLOCK, n) + self.min_len - 1])
-            cuts = np.flatnonzero(np.diff(own)) + 1
-            firsts = np.concatenate([[0], cuts])
-            lasts = np.concatenate([cuts - 1, [len(own) - 1]])
-            for a, z, p, v in zip(firsts.tolist(), lasts.tolist(), own[firsts].tolist(), h[own[firsts]].view(np.int64).tolist(), strict=True):
-                if runs and runs[-1][1] == p + lo:
-                    runs[-1][3] = z + lo
-                else:
-                    runs.append([v, p + lo, a + lo, z + lo])
-        for v, p, a, z in runs:
-            end = min(z + self.reach, len(text))
-            g = xxhash.xxh3_64_intdigest(text[a:end], p - a)
-            out.append((v, g - (1 << 64) if g >> 63 else g, a, z, end))
-        return out
+    def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Text, owner hash, owner's place, first start and last start of the runs of windows with one owner, in order; short texts are hashed
+        together, long ones in blocks."""
+        found: list[list[np.ndarray]] = []
+        i = 0
+        while i < len(texts):
+            k, size = i, 0
+            while k < len(texts) and (k == i or size + len(texts[k]) <= BLOCK):
+                size += len(texts[k])
+                k += 1
+            lengths = np.array([len(t) for t in texts[i:k]])
+            whole = np.frombuffer(texts[i] if k == i + 1 else b"".join(texts[i:k]), np.uint8)
+            ends = np.cumsum(lengths)
+            n = len(whole) - self.min_len + 1
+            for lo in range(0, max(n, 0), BLOCK):
+                h, own = self._block(whole[lo : min(lo + BLOCK, n) + self.min_len - 1])
+                start = np.arange(lo, lo + len(own))
+                text = np.searchsorted(ends, start, side="right")
+                inside = np.flatnonzero(start + self.min_len <= ends[text])
+                if not len(inside):
+                    continue
+                own, start, text = own[inside], start[inside], text[inside]
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
+                last = np.append(new[1:], len(own)) - 1
+                base = (ends - lengths)[text[new]]
+                found.append([i + text[new], h[own[new]].view(np.int64), own[new] + lo - base, start[new] - base, start[last] - base])
+            i = k
+        if not found:
+            return (np.empty(0, np.int64),) * 5
+        text, h, own, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+        # a run that goes on over two blocks
+        new = np.concatenate([[True], (text[1:] != text[:-1]) | (own[1:] != own[:-1])]) if len(text) else np.empty(0, bool)
+        at = np.flatnonzero(new)
+        return text[at], h[at], own[at], first[at], last[np.append(at[1:], len(text)) - 1]
+
+    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Text, owner hash, piece hash, first start and last start of each piece, in order."""
+        text, h, own, first, last = self.runs(texts)
+        digest = xxhash.xxh3_64_intdigest
+        rows = zip(text.tolist(), first.tolist(), (last + self.min_len).tolist(), (own - first).tolist(), strict=True)
+        g = np.fromiter((digest(texts[t][a:z], o) for t, a, z, o in rows), np.uint64, len(text)).view(np.int64)
+        return text, h, g, first, last
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -171,9 +190,9 @@ def longest_previous_factors(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def factors(pieces: list[bytes], owned: list[int], least: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each owned start of each piece (its first ones, in order): piece, place in it, and its longest previous and next factor, up to `reach` and
-    within the piece; those shorter than `least` are given as 0."""
+def factors(pieces: list[bytes], owned: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each owned start of each piece (its first ones, in order): piece, place in it, and its longest previous and next factor, up to `least` and
+    within the piece; shorter ones are given as 0."""
     gap = np.zeros(1, np.int16)
     x = np.concatenate([a for p in pieces for a in (np.frombuffer(p, np.uint8).astype(np.int16) + 1, gap)])
     firsts = np.cumsum([0] + [len(p) + 1 for p in pieces[:-1]])
@@ -181,7 +200,7 @@ def factors(pieces: list[bytes], owned: list[int], least: int, reach: int) -> tu
     place = np.arange(len(piece)) - np.repeat(np.cumsum([0, *owned[:-1]]), owned)
     at = firsts[piece] + place
     left = np.array([len(p) for p in pieces])[piece] - place
-    levels = ranks(x, reach)
+    levels = ranks(x, least)
     order = np.argsort(levels[-1][1][at], kind="stable")
     pos = at[order]
     shared = np.zeros(len(order), np.int64)
@@ -206,9 +225,9 @@ def factors(pieces: list[bytes], owned: list[int], least: int, reach: int) -> tu
     return piece, place, *out
 
 
-def matched(pieces: list[bytes], owned: list[int], least: int, reach: int) -> list[list[list[tuple[int, int]]]]:
+def matched(pieces: list[bytes], owned: list[int], least: int) -> list[list[list[tuple[int, int]]]]:
     """For each kind of span and piece the runs of owned starts that are of it."""
-    piece, place, before, after = factors(pieces, owned, least, reach)
+    piece, place, before, after = factors(pieces, owned, least)
 
     def runs(flag: np.ndarray) -> list[list[tuple[int, int]]]:
         out: list[list[tuple[int, int]]] = [[] for _ in pieces]
@@ -219,39 +238,37 @@ def matched(pieces: list[bytes], owned: list[int], least: int, reach: int) -> li
                 out[piece[a]].append((int(place[a]), int(place[z])))
         return out
 
-    either = np.maximum(before, after)
-    return [runs(either > 0), runs(before > 0), runs(either >= reach)]
+    return [runs(np.maximum(before, after) > 0), runs(before > 0)]
 
 
-def _stage(docs: DataFrame, min_len: int, gram: int, reach: int) -> DataFrame:
+def _stage(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
     """docs without text, with row, z, n_bytes, sha and occs: texts compressed, with their pieces."""
     pass_on = [f for f in docs.schema.fields if f.name != "text"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        own, pack = Owners(min_len, gram, reach), zstandard.ZstdCompressor(level=1)
-        occ = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("e", pa.int32())])
+        own, pack = Owners(min_len, gram), zstandard.ZstdCompressor(level=1)
+        occ = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
         for big in batches:
             for lo in range(0, big.num_rows, 500):
                 b = big.slice(lo, 500)
                 texts = [x.as_py() or b"" for x in b.column("_text")]
-                found = [own.pieces(t) for t in texts]
-                ends = np.cumsum([0] + [len(f) for f in found])
-                cols = list(zip(*[p for f in found for p in f], strict=True)) or [[]] * 5
-                flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, occ, strict=True)], fields=list(occ))
+                text, h, g, first, last = own.pieces(texts)
+                ends = np.searchsorted(text, np.arange(len(texts) + 1))
+                flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((h, g, first.astype(np.int32), last.astype(np.int32)), occ, strict=True)], fields=list(occ))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("_row"), *(b.column(f.name) for f in pass_on), pa.array([pack.compress(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
                     names=["row", *(f.name for f in pass_on), "z", "n_bytes", "sha", "occs"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[f.name for f in pass_on], F.col("text").cast("binary").alias("_text"))
-    more = StructType.fromDDL("row bigint, z binary, n_bytes bigint, sha string, occs array<struct<h:bigint,g:bigint,lo:int,hi:int,e:int>>")
+    more = StructType.fromDDL("row bigint, z binary, n_bytes bigint, sha string, occs array<struct<h:bigint,g:bigint,lo:int,hi:int>>")
     return rows.mapInArrow(each, StructType([more["row"], *pass_on, *more.fields[1:]]))
 
 
-def _fetch(staged: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(row, h, g, ord, lo, hi, e) with the pieces' bytes."""
-    names = ("h", "g", "ord", "lo", "hi", "e")
+def _fetch(staged: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
+    """wanted(row, h, g, ord, lo, hi) with the pieces' bytes."""
+    names = ("h", "g", "ord", "lo", "hi")
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("want"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,27 +282,27 @@ def _fetch(staged: DataFrame, wanted: DataFrame) -> DataFrame:
                         for k in names:
                             out[k].append(w[k])
                         out["row"].append(r["row"])
-                        out["piece"].append(text[w["lo"] : w["e"]])
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+                        out["piece"].append(text[w["lo"] : w["hi"] + min_len])
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return staged.select("row", "z").join(lists, "row").mapInArrow(each, "row bigint, h bigint, g bigint, ord bigint, lo int, hi int, e int, piece binary")
+    return staged.select("row", "z").join(lists, "row").mapInArrow(each, "row bigint, h bigint, g bigint, ord bigint, lo int, hi int, piece binary")
 
 
-_RUNS = ", ".join(f"r{k} array<struct<a:int,z:int>>" for k in (EVERY, LATER, LONG))
+_RUNS = ", ".join(f"r{k} array<struct<a:int,z:int>>" for k in (EVERY, LATER))
 
 
-def _resolve(pieces: DataFrame, least: int, reach: int) -> DataFrame:
-    """(h, g, r0, r1, r2): by kind the runs of owned starts, counted from the piece's first."""
+def _resolve(pieces: DataFrame, min_len: int) -> DataFrame:
+    """(h, g, r0, r1): by kind the runs of owned starts, counted from the piece's first."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, int]] = []
         run = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 
         def solve() -> pa.RecordBatch:
-            found = matched([p for _, _, p, _ in held], [n for *_, n in held], least, reach)
+            found = matched([p for _, _, p, _ in held], [n for *_, n in held], min_len)
             named = lambda x: pa.array([[{"a": a, "z": z} for a, z in r] for r in x], run)
-            return pa.RecordBatch.from_arrays([pa.array([h for h, *_ in held], pa.int64()), pa.array([g for _, g, *_ in held], pa.int64()), *map(named, found)], names=["h", "g", "r0", "r1", "r2"])
+            return pa.RecordBatch.from_arrays([pa.array([h for h, *_ in held], pa.int64()), pa.array([g for _, g, *_ in held], pa.int64()), *map(named, found)], names=["h", "g", "r0", "r1"])
 
         size = 0
         for b in batches:
@@ -302,24 +319,21 @@ def _resolve(pieces: DataFrame, least: int, reach: int) -> DataFrame:
     return by_owner.mapInArrow(each, f"h bigint, g bigint, {_RUNS}")
 
 
-def _resolve_large(pieces: DataFrame, least: int, reach: int) -> DataFrame:
+def _resolve_large(pieces: DataFrame, min_len: int) -> DataFrame:
     """As _resolve, by counting the windows' hashes: no owner's pieces meet in one task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, g, ord_, row, lo, hi, p in zip(*(b.column(k).to_pylist() for k in ("h", "g", "ord", "row", "lo", "hi", "piece")), strict=True):
-                for kind, size in ((EVERY, least), (LONG, reach))[: 1 + (reach > least)]:
-                    n = min(hi - lo + 1, len(p) - size + 1)
-                    if n > 0:
-                        same = [pa.array([v] * n, t) for v, t in ((h, pa.int64()), (g, pa.int64()), (ord_, pa.int64()), (row, pa.int64()), (lo, pa.int32()), (kind, pa.int32()))]
-                        yield pa.RecordBatch.from_arrays([*same, pa.array(range(n), pa.int32()), pa.array([xxhash.xxh3_128_digest(p[i : i + size]) for i in range(n)], pa.binary())], names=["h", "g", "ord", "row", "lo", "kind", "i", "w"])
+                n = hi - lo + 1
+                same = [pa.array([v] * n, t) for v, t in ((h, pa.int64()), (g, pa.int64()), (ord_, pa.int64()), (row, pa.int64()), (lo, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(n), pa.int32()), pa.array([xxhash.xxh3_128_digest(p[i : i + min_len]) for i in range(n)], pa.binary())], names=["h", "g", "ord", "row", "lo", "i", "w"])
 
-    windows = pieces.mapInArrow(each, "h bigint, g bigint, ord bigint, row bigint, lo int, kind int, i int, w binary")
+    windows = pieces.mapInArrow(each, "h bigint, g bigint, ord bigint, row bigint, lo int, i int, w binary")
     mine = F.struct("ord", "row", "lo")
-    counts = windows.groupBy("kind", "w").agg(F.count("*").alias("n"), F.min(mine).alias("first")).where("n > 1")
-    hits = _shared_join(windows, counts, ["kind", "w"]).select("h", "g", "kind", F.struct(F.col("i").alias("a"), F.col("i").alias("z")).alias("r"), (mine != F.col("first")).alias("late"))
-    runs = [(F.col("kind") == EVERY), (F.col("kind") == EVERY) & F.col("late"), (F.col("kind") == (LONG if reach > least else EVERY))]
-    return hits.groupBy("h", "g").agg(*[F.collect_list(F.when(c, F.col("r"))).alias(f"r{k}") for k, c in enumerate(runs)])
+    counts = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(mine).alias("first")).where("n > 1")
+    hits = _shared_join(windows, counts, ["w"]).select("h", "g", F.struct(F.col("i").alias("a"), F.col("i").alias("z")).alias("r"), (mine != F.col("first")).alias("late"))
+    return hits.groupBy("h", "g").agg(F.collect_list("r").alias("r0"), F.collect_list(F.when(F.col("late"), F.col("r"))).alias("r1"))
 
 
 def _shared_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -334,45 +348,45 @@ def _shared_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return near.unionByName(left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", least: int = PASSAGE, reach: int | None = None, gram: int | None = None, group: int = GROUP, kinds: tuple[int, ...] = (EVERY, LATER, LONG)) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", mode: str = "every", min_len: int = MIN_LEN, gram: int | None = None, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(staged, spans): staged has row, the columns of docs but text, z (the text, compressed), n_bytes and sha; spans has row and
-    spans, an ascending array of (kind, lo, hi) byte ranges, for rows that have any of `kinds`."""
-    reach = max(reach or least, least)
-    staged = publish(_stage(docs, least, gram or least * 5 // 8, reach), "staged")
+    an array of (lo, hi) byte ranges for rows that have any, of mode every (all copies), later (all but the first) or both: `every`, `later`."""
+    kinds = {"every": [EVERY], "later": [LATER], "both": [EVERY, LATER]}[mode]
+    staged = publish(_stage(docs, min_len, gram or min_len * 5 // 8), "staged")
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
     shared = staged.select(F.explode("occs.h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     occs = staged.select("row", order.alias("ord"), F.explode("occs").alias("x")).select("row", "ord", "x.*")
-    occs = publish(_shared_join(occs, shared, ["h"]).select("row", "ord", "h", "g", "lo", "hi", "e"), "shared-owners")
-    distinct = occs.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("ord", "row", "lo", "hi", "e")).alias("first"))
+    occs = publish(_shared_join(occs, shared, ["h"]).select("row", "ord", "h", "g", "lo", "hi"), "shared-owners")
+    distinct = occs.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("ord", "row", "lo", "hi")).alias("first"))
     distinct = publish(distinct, "pieces")
     groups = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     ends = publish(_shared_join(distinct, groups.withColumn("n_g", F.col("n")), ["h"]).select("h", "g", "first.*", "n_g"), "ends")
     small, large = ends.where(F.col("n_g") <= group).drop("n_g"), ends.where(F.col("n_g") > group).drop("n_g")
-    found = _resolve(_fetch(staged, small), least, reach)
+    found = _resolve(_fetch(staged, small, min_len), min_len)
     if large.limit(1).count():
-        found = found.unionByName(_resolve_large(_fetch(staged, large), least, reach))
+        found = found.unionByName(_resolve_large(_fetch(staged, large, min_len), min_len))
     found = publish(found, "matched")
-    status = distinct.join(found, ["h", "g"], "left").where("c > 1 or r0 is not null").select("h", "g", F.col("c").alias("n"), "c", F.col("first.row").alias("f_row"), F.col("first.lo").alias("f_lo"), "r0", "r1", "r2")
+    discard(ends)
+    status = distinct.join(found, ["h", "g"], "left").where("c > 1 or r0 is not null").select("h", "g", F.col("c").alias("n"), "c", F.col("first.row").alias("f_row"), F.col("first.lo").alias("f_lo"), "r0", "r1")
     hits = _shared_join(occs, status, ["h", "g"])
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("z")))
-    far = F.array(F.struct(F.lit(0).alias("a"), F.least(F.col("hi") - F.col("lo"), F.col("e") - F.col("lo") - reach).alias("z")))
     first = (F.col("row") == F.col("f_row")) & (F.col("lo") == F.col("f_lo"))
-    runs = {EVERY: F.when(F.col("c") > 1, whole).otherwise(F.col("r0")), LATER: F.when(first, F.col("r1")).otherwise(whole), LONG: F.when(F.col("c") > 1, F.filter(far, lambda r: r["z"] >= 0)).otherwise(F.col("r2"))}
-    size = {EVERY: least, LATER: least, LONG: reach}
+    runs = {EVERY: F.when(F.col("c") > 1, whole).otherwise(F.col("r0")), LATER: F.when(first, F.col("r1")).otherwise(whole)}
 
     def placed(k: int) -> Column:
         found = F.coalesce(runs[k], F.array().cast("array<struct<a:int,z:int>>"))
-        return F.transform(found, lambda r: F.struct(F.lit(k).alias("kind"), (F.col("lo") + r["a"]).alias("lo"), (F.col("lo") + r["z"] + size[k]).alias("hi")))
+        return F.transform(found, lambda r: F.struct(F.lit(k).alias("kind"), (F.col("lo") + r["a"]).alias("lo"), (F.col("lo") + r["z"] + min_len).alias("hi")))
 
     ranges = hits.select("row", F.explode(F.concat(*map(placed, kinds))).alias("s"))
-    return staged, ranges.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    spans = publish(ranges.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("spans")), "spans")
+    discard(occs, distinct, found)
+    of = lambda k: F.transform(F.filter("spans", lambda s: s["kind"] == k), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+    return staged, spans.select("row", *[of(k).alias(("every", "later")[k]) for k in kinds])
 
 
-def _united(spans: list[dict], kind: int) -> list[list[int]]:
+def _united(spans: list[dict]) -> list[list[int]]:
     out: list[list[int]] = []
     for s in spans or []:
-        if s["kind"] != kind:
-            continue
         if out and s["lo"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s["hi"])
         else:
@@ -393,25 +407,50 @@ def _without(text: bytes, spans: list[list[int]], whole_chars: bool = False) ->
     return b"".join([*kept, text[at:]])
 
 
+def longer_spans(staged: DataFrame, spans: DataFrame, length: int = MIN_LEN) -> DataFrame:
+    """(row, longer): ranges of all copies of strings of `length` bytes, found among the `every` ranges of a shorter length: a long string that repeats lies
+    within one of these as a whole."""
+    held = staged.select("row", "z").join(spans.select("row", "every"), "row")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for big in batches:
+            for at in range(0, big.num_rows, 200):
+                out: list[list] = [[], [], []]
+                for r in big.slice(at, 200).to_pylist():
+                    long = [s for s in _united(r["every"]) if s[1] - s[0] >= length]
+                    text = unpack.decompress(r["z"]) if long else b""
+                    for lo, hi in long:
+                        for c, v in zip(out, (r["row"], lo, text[lo:hi]), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["of", "from", "text"])
+
+    passages, found = repeated_spans(held.mapInArrow(each, "of bigint, from int, text binary"), "of", "every", length)
+    ranges = passages.select("row", "of", "from").join(found, "row").select(F.col("of").alias("row"), F.explode(F.transform("every", lambda s: F.struct((F.col("from") + s["lo"]).alias("lo"), (F.col("from") + s["hi"]).alias("hi")))).alias("s"))
+    out = publish(ranges.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("longer")), "longer")
+    discard(passages)
+    return out
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, of strings of MIN_LEN bytes; and `text`, what a cleaning step leaves: without passages of PASSAGE bytes that an
     earlier document (or place) has."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    staged, spans = repeated_spans(docs, reach=MIN_LEN, kinds=(LATER, LONG))
-    both = staged.select("row", "doc_id", "z", "n_bytes", "sha").join(spans, "row", "left")
+    staged, spans = repeated_spans(docs, mode="both", min_len=PASSAGE)
+    both = staged.select("row", "doc_id", "z", "n_bytes", "sha").join(spans.select("row", "later"), "row", "left").join(longer_spans(staged, spans), "row", "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for big in batches:
-            for lo in range(0, big.num_rows, 500):
-                b = big.slice(lo, 500)
+            for at in range(0, big.num_rows, 500):
+                b = big.slice(at, 500)
                 removed, n_spans, shas, texts = [], [], [], []
-                for z, sha, s in zip(b.column("z"), b.column("sha").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                    text, cut = unpack.decompress(z.as_py()), _united(s, LONG)
+                for z, sha, later, longer in zip(b.column("z"), *(b.column(c).to_pylist() for c in ("sha", "later", "longer")), strict=True):
+                    text, cut = unpack.decompress(z.as_py()), _united(longer)
                     removed.append(sum(hi - lo for lo, hi in cut))
                     n_spans.append(len(cut))
                     shas.append(hashlib.sha256(_without(text, cut)).hexdigest() if cut else sha)
-                    texts.append(_without(text, _united(s, LATER), whole_chars=True).decode("utf-8", "replace"))
+                    texts.append(_without(text, _united(later), whole_chars=True).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas), pa.array(texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     return both.drop("row").mapInArrow(each, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
@@ -420,19 +459,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicate(docs: DataFrame, mode: str = "later", min_len: int = PASSAGE, key: str = "doc_id") -> DataFrame:
     """docs with repeated passages (mode every: all copies, later: all but the first) cut out of text (whole characters only); every row stays,
     and other columns pass through. n_chars, where docs has it, follows the text."""
-    kind = {"every": EVERY, "later": LATER}[mode]
     names = [c for c in docs.columns if c not in (key, "text")]
     rest = F.struct(*names) if names else F.struct(F.lit(0).alias("_"))
-    staged, spans = repeated_spans(docs.select(key, "text", rest.alias("_rest")), key, min_len, kinds=(kind,))
+    staged, spans = repeated_spans(docs.select(key, "text", rest.alias("_rest")), key, mode, min_len)
     both = staged.select("row", key, "z", "_rest").join(spans, "row", "left").drop("row")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             texts = []
-            for z, s in zip(b.column("z"), b.column("spans").to_pylist(), strict=True):
+            for z, s in zip(b.column("z"), b.column(mode).to_pylist(), strict=True):
                 text = unpack.decompress(z.as_py())
-                texts.append(_without(text, _united(s, kind), whole_chars=True).decode("utf-8", "replace"))
+                texts.append(_without(text, _united(s), whole_chars=True).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("_rest"), pa.array(texts, pa.string())], names=[key, "_rest", "text"])
 
     out = both.mapInArrow(each, StructType([both.schema[key], both.schema["_rest"], docs.schema["text"]]))

@@ -218,22 +218,24 @@ def brute_repeats(ts, min_len, later):
     return out
 
 
-def cut(r, kind):
-    return suffix_dedup._without(zstandard.ZstdDecompressor().decompress(r.z), suffix_dedup._united(r.spans, kind))
+def cut(r, mode):
+    return suffix_dedup._without(zstandard.ZstdDecompressor().decompress(r.z), suffix_dedup._united(r[mode]))
 
 
 @pytest.mark.parametrize("group", [4096, 1])
 @pytest.mark.parametrize("share", [20_000, 2])
 def test_repeats(spark, monkeypatch, group, share):
     monkeypatch.setattr(suffix_dedup, "SHARE_ROWS", share)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 200 if share == 2 else 1 << 17)
     rng = random.Random(8)
     bits = ["".join(rng.choice("ab é") for _ in range(rng.randint(20, 160))) for _ in range(12)]
     ts = ["".join(rng.choice(bits) + rng.choice(["", "x", "yy"]) for _ in range(rng.randint(0, 6))) for _ in range(60)] + ["a" * 300, "ab" * 200, "", "short"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id bigint, text string").coalesce(1)
-    staged, spans = suffix_dedup.repeated_spans(df, least=60, reach=100, gram=38, group=group)
-    rows = {r.doc_id: r for r in staged.join(spans, "row", "left").collect()}
-    for kind, size in ((suffix_dedup.EVERY, 60), (suffix_dedup.LATER, 60), (suffix_dedup.LONG, 100)):
-        assert [cut(rows[i], kind) for i in range(len(ts))] == brute_repeats([t.encode() for t in ts], size, kind == suffix_dedup.LATER)
+    staged, spans = suffix_dedup.repeated_spans(df, mode="both", min_len=60, gram=38, group=group)
+    found = staged.join(spans, "row", "left").join(suffix_dedup.longer_spans(staged, spans, 100), "row", "left")
+    rows = {r.doc_id: r for r in found.collect()}
+    for mode, size in (("every", 60), ("later", 60), ("longer", 100)):
+        assert [cut(rows[i], mode) for i in range(len(ts))] == brute_repeats([t.encode() for t in ts], size, mode == "later")
 
 
 def test_suffix_query(spark, tmp_path):

@@ -6,7 +6,7 @@ for the radius below.
 
 Shards. In the order of the hashes (any order of all shingles does), two sets of similarity >= 4/5 share one of the
 floor(n / 5) + 1 first shingles of each, so a shard for each such shingle holds every pair. Shingles that over COMMON sets
-have among their first come last in the order, and the sets concerned take others instead. Shards of equal members are
+(and a 100,000th of all) have among their first come last in the order, and the sets concerned take others instead. Shards of equal members are
 one.
 
 Within a shard, vantage-point trees over SimHash fingerprints of 256 bits find the pairs of at most
@@ -26,15 +26,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import publish, release_memory
+from .common import discard, numbered, publish, release_memory, unused
 from .simhash import SEED, SHARD_ROWS, Joined, components, self_join
 
 SHINGLE, WORDS = 5, 4
 #: Similarity, as a fraction.
 LEAST, OF = 4, 5
 RADIUS = 84
-COMMON = 1000
+COMMON, COMMONEST = 1000, 100_000
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -92,7 +93,7 @@ def with_sets(rows: DataFrame) -> DataFrame:
                 names=["row", "node", "fp", "first"],
             )
 
-    return rows.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(each, "row bigint, node bigint, fp binary, first array<bigint>")
+    return rows.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(each, StructType([rows.schema["row"], *StructType.fromDDL("node bigint, fp binary, first array<bigint>")]))
 
 
 def _rarer(rows: DataFrame, common: list[int]) -> DataFrame:
@@ -183,33 +184,46 @@ def verified(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the first of least doc_id."""
-    rows = publish(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = publish(with_sets(rows.select(F.col("_row").alias("row"), "text")), "sets")
-    least = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("bigint"), F.col("_row").alias("row"))
-    ids = rows.select("_row", "doc_id").join(found.select("row", "node"), F.col("_row") == F.col("row")).select("node", least.alias("least"))
+    """docs with one row of each component: the first of least doc_id. Texts are joined with the numbers of the kept
+    rows; they are not compared themselves, and do not meet by component."""
+    number = unused("_row", docs.columns)
+    rows = numbered(docs, number)
+    found = publish(with_sets(rows.select(F.col(number).alias("row"), "text")), "sets")
+    least = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("bigint"), F.col("row"))
+    ids = rows.select(F.col(number).alias("row"), "doc_id").join(found.select("row", "node"), "row").select("node", least.alias("least"))
     nodes = publish(ids.groupBy("node").agg(F.min("least").alias("least")), "nodes")
-    one = found.join(nodes.select(F.col("least.row").alias("row")), "row", "left_semi")
-    one = publish(one, "distinct-sets")
+    one = publish(found.join(nodes.select(F.col("least.row").alias("row")), "row", "left_semi").drop("row"), "distinct-sets")
+    discard(found)
     firsts = one.select("node", "first")
-    common = [r.h for r in one.select(F.explode("first").alias("h")).groupBy("h").count().where(F.col("count") > COMMON).select("h").collect()]
+    # at most COMMONEST of them: each has that part of all; any order of the shingles is exact
+    often = max(COMMON, (one.agg(F.sum(F.size("first"))).first()[0] or 0) // COMMONEST)
+    common = [r.h for r in one.select(F.explode("first").alias("h")).groupBy("h").count().where(F.col("count") > often).select("h").collect()]
+    texts = rows.select(F.col(number).alias("row"), "text")
+    spent = [one]
     if common:
         concerned = publish(firsts.where(F.arrays_overlap("first", F.lit(common))) if len(common) <= 100 else _concerned(firsts, common), "concerned").select("node")
-        texts = rows.select("_row", "text").join(nodes.join(concerned, "node", "left_semi").select("node", F.col("least.row").alias("_row")), "_row")
-        firsts = firsts.join(concerned, "node", "left_anti").unionByName(publish(_rarer(texts, common), "rarer"))
-    comps = publish(components(candidates(one.select("node", "fp"), firsts)), "candidates")
-    texts = rows.select("_row", "text").join(nodes.join(comps, "node").select("node", "root", F.col("least.row").alias("_row")), "_row")
+        theirs = texts.join(nodes.join(concerned, "node", "left_semi").select("node", F.col("least.row").alias("row")), "row")
+        rarer = publish(_rarer(theirs, common), "rarer")
+        firsts = firsts.join(concerned, "node", "left_anti").unionByName(rarer)
+        spent.append(rarer)
+    linked = publish(candidates(one.select("node", "fp"), firsts), "links")
+    discard(*spent)
+    comps = publish(components(linked), "candidates")
+    discard(linked)
+    theirs = texts.join(nodes.join(comps, "node").select("node", "root", F.col("least.row").alias("row")), "row")
 
     def exact(key: tuple, table: pa.Table) -> pa.Table:
         at = table.column("node").to_numpy()
         root = verified([shingles(x.as_py() or b"") for x in table.column("text")])
         return pa.table({"node": at, "root": at[root]})
 
-    groups = texts.select("root", "node", F.col("text").cast("binary").alias("text")).groupBy("root")
+    groups = theirs.select("root", "node", F.col("text").cast("binary").alias("text")).groupBy("root")
     joined = publish(groups.applyInArrow(exact, "node bigint, root bigint"), "components")
+    discard(comps)
     named = nodes.join(joined, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_kept"))
-    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").select(docs.columns)
+    kept = publish(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(number)), "kept")
+    discard(nodes, joined)
+    return rows.join(kept, number, "left_semi").select(docs.columns)
 
 
 def _concerned(firsts: DataFrame, common: list[int]) -> DataFrame:

@@ -5,8 +5,9 @@ mean word length). Every measure of every (lang, source) group is summed up in a
 histogram: buckets one wide up to 63, then 32 to each power of two. Such a sketch has a bounded
 number of buckets, a relative error below 1/32, does not depend on the order of rows, and two of
 them merge by adding counts. So one small aggregation gives the sketches of groups, their sums
-those of languages and of the corpus, and the quantiles of all three. A group with too few
-documents takes its language's fences, and a small language the corpus's.
+those of languages and of the corpus, and the quantiles of all three. A group's quantiles are
+drawn towards its language's, and these towards the corpus's, as if PRIOR documents more had those: the fewer
+documents, the more, and no count at which a verdict jumps.
 
 A fence lies `k` half-spreads from the median, and the spread is measured on the side where
 rejects do not lie (median less the 10 % quantile for upper fences), so that up to half of a
@@ -14,8 +15,8 @@ group may be junk before it moves its own fence. No fixed share of documents is
 
 Everything is DataFrame expressions. Defined results: a null text has no words and fails the
 base rules; null lang or source is a group of its own; repeated rows each get their verdict;
-an empty table gives an empty result; columns of the input other than text, lang and source
-are passed on untouched, and clashing measure names are replaced.
+an empty table gives an empty result; columns of the input are passed on untouched, whatever their names, but for those of
+the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ from .common import SPACE_CLASS, SPACES, publish, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MIN_DOCS = 200
+PRIOR = 200
 K = 4
 #: measure: (side of the fence, least spread)
 MEASURES = {"m_symbols": ("upper", 15), "m_capitals": ("upper", 60), "m_dup_lines": ("upper", 75), "m_word_len": ("both", 100)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: A thresholds table of at most this many groups is broadcast; a larger one is joined by shuffle.
 BROADCAST_GROUPS = 20_000
-_INNER = ["_t", "_w", "_l", "_s", "_p", "_o", "_fl", "_fs", "_caps", "_n_lines"]
 
 
 def _removed(text: Column, chars: str) -> Column:
@@ -116,13 +116,13 @@ def _quantiles(sk: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({f"q{p}": bucket_low(f"q{p}").cast("long") for p in (10, 50, 90)})
 
 
-def thresholds(sk: DataFrame, min_docs: int = MIN_DOCS, k: int = K) -> DataFrame:
+def thresholds(sk: DataFrame, prior: int = PRIOR, k: int = K) -> DataFrame:
     """(lang, source, low_<measure>, high_<measure>): one row for each group seen."""
     own, lang, all_ = _quantiles(sk, ["lang", "source"]), _quantiles(sk, ["lang"]), _quantiles(sk, [])
     g, l, a = own.alias("g"), lang.alias("l"), all_.alias("a")
     j = g.join(F.broadcast(a), F.col("g.measure") == F.col("a.measure")).join(l, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.measure") == F.col("l.measure")))
-    pick = lambda p: F.when(F.col("g.total") >= min_docs, F.col(f"g.q{p}")).when(F.col("l.total") >= min_docs, F.col(f"l.q{p}")).otherwise(F.col(f"a.q{p}")).alias(f"q{p}")
-    t = j.select("g.lang", "g.source", "g.measure", pick(10), pick(50), pick(90))
+    drawn = lambda p: F.expr(_drawn(p, prior)).alias(f"q{p}")
+    t = j.select("g.lang", "g.source", "g.measure", drawn(10), drawn(50), drawn(90))
     aggs = []
     for m, (side, slack) in MEASURES.items():
         high = F.col("q50") + k * F.greatest(F.col("q50") - F.col("q10"), F.lit(slack))
@@ -133,15 +133,17 @@ def thresholds(sk: DataFrame, min_docs: int = MIN_DOCS, k: int = K) -> DataFrame
     return t.groupBy("lang", "source").agg(*aggs)
 
 
-def apply_quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, k: int = K) -> DataFrame:
-    """docs with BASE, base_failed and kept. Columns of these names in docs are replaced."""
-    spark = docs.sparkSession
-    docs = docs.drop(*BASE, *MEASURES, "base_failed", "kept", *_INNER)
-    fences = publish(thresholds(sketches(cheap_measures(docs.select("text", "lang", "source"))), min_docs, k), "fences")
+def _drawn(p: int, prior: int, div: str = "div") -> str:
+    """A group's quantile, drawn towards the language's and this towards the corpus's."""
+    parent = f"((l.total * l.q{p} + {prior} * a.q{p}) {div} (l.total + {prior}))"
+    return f"(g.total * g.q{p} + {prior} * {parent}) {div} (g.total + {prior})"
+
+
+def verdict(rows: DataFrame, fences: DataFrame) -> DataFrame:
+    """rows(lang, source, BASE, MEASURES) with base_failed and kept; fences as of thresholds, written down."""
     cut = fences.withColumnsRenamed({"lang": "_fl", "source": "_fs"})
     if fences.count() <= BROADCAST_GROUPS:
         cut = F.broadcast(cut)
-    rows = _once(repeat_words(cheap_measures(docs)), [*BASE, *MEASURES])
     rows = rows.join(cut, F.col("lang").eqNullSafe(F.col("_fl")) & F.col("source").eqNullSafe(F.col("_fs")), "left")
     bad = F.lit(False)
     for m, (side, _) in MEASURES.items():
@@ -149,13 +151,31 @@ def apply_quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, k: int = K) -
         if side == "both":
             bad = bad | (F.col(m) < F.col(f"low_{m}"))
     rows = rows.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False)))
-    return rows.drop("_fl", "_fs", *[c for c in fences.columns if c not in ("lang", "source")])
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False)))
+
+
+def measures(rows: DataFrame) -> DataFrame:
+    """rows(text, lang, source, ...) with BASE and MEASURES."""
+    return _once(repeat_words(cheap_measures(rows)), [*BASE, *MEASURES])
+
+
+def apply_quality_rules(docs: DataFrame, prior: int = PRIOR, k: int = K) -> DataFrame:
+    """docs with BASE, MEASURES, base_failed and kept. Columns of these names in docs are replaced. Texts are read twice: for the sketches only the
+    measures that need no sorting are worked out."""
+    told = [*BASE, *MEASURES, "base_failed", "kept"]
+    names = [c for c in docs.columns if c not in told]
+    fences = publish(thresholds(sketches(cheap_measures(docs.select("text", "lang", "source"))), prior, k), "fences")
+    # a row's own columns stand apart, so that no name of theirs can clash with one of here
+    rows = docs.select(F.struct(*names).alias("_row"), "text", "lang", "source")
+    return verdict(measures(rows), fences).select(*[F.col("_row")[c].alias(c) for c in names], *told)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures are worked out once and written down; the sketches and the verdict are made of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return apply_quality_rules(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *BASE, "base_failed", "kept", *MEASURES)
+    rows = publish(measures(docs.select("doc_id", "text", "lang", "source")).drop("text"), "measures")
+    fences = publish(thresholds(sketches(rows)), "fences")
+    return verdict(rows, fences).select("doc_id", *BASE, "base_failed", "kept", *MEASURES)
 
 
 def _sql_quantiles(name: str, keys: str) -> str:
@@ -174,7 +194,7 @@ def oracle() -> str:
         if side == "both":
             fences.append(f"max(case when measure = '{m}' then q50 - {K} * greatest(q90 - q50, {slack}) end) as low_{m}")
     bad = " or ".join([f"{m} > high_{m}" for m in MEASURES] + [f"{m} < low_{m}" for m, (s, _) in MEASURES.items() if s == "both"])
-    picks = ", ".join(f"case when g.total >= {MIN_DOCS} then g.q{p} when l.total >= {MIN_DOCS} then l.q{p} else a.q{p} end as q{p}" for p in (10, 50, 90))
+    picks = ", ".join(f"{_drawn(p, PRIOR, '//')} as q{p}" for p in (10, 50, 90))
     legs = " union all ".join(f"select lang, source, '{m}' as measure, {m} as v from m" for m in MEASURES)
     return f"""with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws,

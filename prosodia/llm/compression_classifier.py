@@ -5,8 +5,8 @@ A text is compressed in blocks of BLOCK bytes, so that its own history does not
 x = (bad - good) / (bad + good) of the summed sizes. A logistic curve fitted to x on labelled rows that did not go into
 the dictionaries turns x into a probability.
 
-Learning takes a bounded sample of labelled rows: of each class the max_rows with the least hash of their id, and of
-each of these at most row_blocks blocks, evenly spread over the whole text. Scoring reads whole texts.
+Learning takes a bounded sample of labelled rows, whole texts: of each class the max_rows with the least hash of their id. Those that
+build the dictionaries come to the driver; those that the curve is fitted to are compressed where they are. Scoring reads whole texts.
 
 Defined results: null and empty texts have no difference and the curve's value there; with no rows of one class
 the score is the smoothed share of label 1; repeated label rows count once (the largest label); null labels
@@ -21,14 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import held_out, release_memory
 
 BLOCK, LEVEL, DICT_BYTES = 1024, 3, 112_640
-MAX_ROWS, ROW_BLOCKS = 2500, 8
+MAX_ROWS = 2500
 CUT = 0.3
 
 
@@ -90,40 +90,40 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return w.tolist()
 
 
-def train(rows: list[tuple[bytes, int]]) -> Model:
-    """rows: (text, label) in an order that does not depend on the label's; every other row of a class builds its
-    dictionary, the rest fit the curve."""
-
-    def spread(text: bytes) -> list[bytes]:
-        b = blocks(text)
-        return b if len(b) <= ROW_BLOCKS else [b[i * len(b) // ROW_BLOCKS] for i in range(ROW_BLOCKS)]
-
-    ones, zeros = [t for t, y in rows if y], [t for t, y in rows if not y]
-    if len(ones) < 2 or len(zeros) < 2:
-        return Model(b"", b"", [0.0, 0.0, math.log((len(ones) + 1) / (len(zeros) + 1))])
-    model = Model(*(build_dictionary([p for t in c[::2] for p in spread(t)]) for c in (ones, zeros)), [0.0, 0.0, 0.0])
-    rest = [(t, 1) for t in ones[1::2]] + [(t, 0) for t in zeros[1::2]]
-    x = np.array([model.inputs(spread(t)) for t, _ in rest])
-    model.weights = fit_curve(x, np.array([y for _, y in rest], float))
-    return model
+def dictionaries(rows: list[tuple[bytes, int]]) -> Model:
+    """The model without its curve, from (text, label)."""
+    ones, zeros = ([p for t, y in rows if y == q for p in blocks(t)] for q in (1, 0))
+    if not ones or not zeros:
+        return Model(b"", b"", [0.0, 0.0, 0.0])
+    return Model(build_dictionary(ones), build_dictionary(zeros), [0.0, 0.0, 0.0])
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """The model from labelled documents that are not held out. Only the sample comes to the driver."""
-    known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"), 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
+    """The model from labelled documents that are not held out; every other row of a class, by the hash of its id, builds its dictionary, the rest fit the curve."""
+    known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"), 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sample = None
     for q in (0, 1):
-        part = known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(max_rows)
+        part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        part = part.withColumn("fits", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")) % 2 == 0)
         sample = part if sample is None else sample.unionByName(part)
-    each = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    size = F.octet_length(each)
-    n = F.ceil(size / BLOCK).cast("int")
-    # evenly spread blocks, taken on the executors so that a very long text does not come whole
-    picked = F.when(n <= ROW_BLOCKS, F.array(each)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(ROW_BLOCKS - 1)), lambda i: F.substring(each, (F.floor(i * n / ROW_BLOCKS) * BLOCK + 1).cast("int"), F.lit(BLOCK))))
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", picked.alias("parts")).collect()
-    rows = sorted(((b"".join(map(bytes, r["parts"])), int(r["quality"])) for r in rows), key=lambda r: r[0][::-1])
-    return train(rows)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "fits", text)
+    taught = [(bytes(r["text"]), r["quality"]) for r in rows.where("not fits").select("quality", "text").distinct().orderBy(F.xxhash64("text"), "text").collect()]
+    model = dictionaries(taught)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sent.value.inputs(blocks(x.as_py())) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64())], names=["quality", "x", "y"])
+
+    seen = sorted((r["quality"], r["x"], r["y"]) for r in rows.where("fits").mapInArrow(each, "quality int, x double, y double").distinct().collect())
+    ones = sum(y for _, y in taught) + sum(r[0] for r in seen)
+    if not model.good or len({r[0] for r in seen}) < 2:
+        model.weights = [0.0, 0.0, math.log((ones + 1) / (len(taught) + len(seen) - ones + 1))]
+    else:
+        model.weights = fit_curve(np.array([r[1:] for r in seen]), np.array([r[0] for r in seen], float))
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -46,7 +46,7 @@ def none(spark):
 
 
 def test_quality_base(docs, none):
-    got = quality_rules.apply_quality_rules(docs, min_docs=5).collect()
+    got = quality_rules.apply_quality_rules(docs, prior=5).collect()
     assert len(got) == docs.count() and quality_rules.apply_quality_rules(none).count() == 0
     for r in got:
         t = r.text or ""
@@ -59,13 +59,20 @@ def test_quality_base(docs, none):
         assert not (r.base_failed and r.kept is True)
 
 
+def test_quality_names_do_not_clash(spark):
+    names = ["_t", "_w", "_l", "_s", "_p", "_o", "_fl", "_fs", "_caps", "_n_lines", "_row"]
+    docs = spark.createDataFrame([(1, "some words of a text that has more than ten of them here", None, "s", *range(len(names)))], "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = quality_rules.apply_quality_rules(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns and got.select(*names).first() == tuple(range(len(names))) and got.first().n_words == 13
+
+
 def test_quality_buckets(spark):
     got = spark.range(0, 5000).select("id", quality_rules.bucket("id").cast("long").alias("b")).select("id", "b", quality_rules.bucket_low("b").alias("lo")).collect()
     assert all(r.lo <= r.id <= r.lo * 33 / 32 + 1 for r in got) and [r.b for r in got] == sorted(r.b for r in got)
 
 
 def test_quality_filter_is_not_inlined(docs):
-    assert quality_rules.apply_quality_rules(docs, min_docs=5).where("kept").select("doc_id").count() >= 0
+    assert quality_rules.apply_quality_rules(docs, prior=5).where("kept").select("doc_id").count() >= 0
 
 
 def brute_fp(t):
@@ -187,6 +194,44 @@ def test_classifier(spark, docs, none):
     assert compression_classifier.learn(d, labels.limit(0)).score(b"any") == 0.5
 
 
+def test_classifier_is_the_plain_one(spark, tmp_path):
+    """The registered query against the same steps written out: every other labelled row, by hash, builds a dictionary, the rest fit the curve; all of long
+    texts counts, and repeated documents don't count twice."""
+    from prosodia.llm.registry import QUERIES
+
+    rng = random.Random(14)
+    rows = [(i, (prose(60, rng) if i % 3 else " ".join(w + "##" for w in prose(60, rng).split())) + (" " + prose(3000, rng) if i in (6, 7) else "")) for i in range(200)]
+    rows += [rows[7], rows[8], (300, None), (301, "")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(*r, "en", "s", 0) for r in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    by_hash = [r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").collect()]
+    texts, held = dict(rows), lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    packers, fits = [], []
+    for q in (1, 0):
+        mine = [i for i in by_hash if (i % 3 > 0) == q and not held(i)]
+        found = {texts[i].encode() for i in mine[::2]}
+        packers.append(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(compression_classifier.build_dictionary([p for t in by_text(spark, found) for p in compression_classifier.blocks(t)])), write_content_size=False, write_dict_id=False))
+        fits += [(texts[i].encode(), q) for i in mine[1::2]]
+
+    def difference(t):
+        good, bad = (sum(len(p.compress(t[i : i + 1024])) for i in range(0, len(t), 1024)) for p in packers)
+        return [(bad - good) / len(t), np.log((good + 1) / len(t))] if t else [0.0, 0.0]
+
+    seen = sorted({(q, *difference(t)) for t, q in fits})
+    w = compression_classifier.fit_curve(np.array([r[1:] for r in seen]), np.array([r[0] for r in seen], float))
+    got = QUERIES["op6_quality"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        z = float(np.dot(w, [*difference((texts[r.doc_id] or "").encode()), 1]))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and r.predicted == int(r.score >= 0.3) and r.held_out == held(r.doc_id)
+
+
+def by_text(spark, found):
+    return [bytes(r.t) for r in spark.createDataFrame([(bytearray(t),) for t in found], "t binary").selectExpr("t", "xxhash64(t) as h").orderBy("h", "t").collect()]
+
+
 def test_fingerprints(spark, docs, none, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = fingerprints.op7_fingerprints(spark, str(tmp_path)).collect()

@@ -21,7 +21,7 @@ def plain_text() -> Column:
 
 
 def bookref() -> Column:
-    return F.format_string("%2s:%-3d", F.col("book_title"), F.col("line_name").cast("int"))
+    return F.format_string("%2s:%-3d", F.col("book_title"), F.col("line_name").cast("bigint"))
 
 
 def numbered_text(lines: DataFrame, every: int, start_at: int, by: list[str]) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Scanned verse out of plain text, for tables that hold none: each line of at least seven tokens takes its scansion from a
-fixed list of templates, chosen by its document and place, hexameters at even places and pentameters at odd ones. Written once as a
-DataFrame plan and once as SQL."""
+"""Scanned verse out of plain text, for tables that hold none. The tokens of each text line are cut into verses one after another, each as long
+as the next template of a fixed cycle has words, which gives them their scansion; hexameters and pentameters take turns, and where a line starts
+in the cycle depends on its document and place. So every token is a word of one verse. The verse that a line's end cuts short has the pattern
+`corrupt`: it counts for what needs no scansion and is cleaned away elsewhere. Written once as a DataFrame plan and once as SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST = 7
+#: Verses of a text line are numbered from the line's number times this.
+APART = 1_000_000
 
 
 def _codes(metre: str, feet: str) -> list[str]:
@@ -59,7 +61,12 @@ TEMPLATES = [
     _template("P", "DD", [4, 2, 1, 3, 2, 2]),
 ]
 HALF = len(TEMPLATES) // 2
-_ID = "cast(case when i % 2 = 0 then (doc_id * 31 + i) % {h} else {h} + (doc_id * 31 + i) % {h} end as int)".format(h=HALF)
+#: Templates in turn, hexameter and pentameter; where each begins in the cycle, and which one a place of the cycle is of.
+CYCLE = [t for k in range(HALF) for t in (TEMPLATES[k], TEMPLATES[HALF + k])]
+BEGIN = [sum(len(ws) for *_, ws in CYCLE[:k]) for k in range(len(CYCLE) + 1)]
+LENGTH = BEGIN.pop()
+OF = [k for k, (*_, ws) in enumerate(CYCLE) for _ in ws]
+_BASE = f"cast(2 * ((coalesce(doc_id, 0) * 31 + i) % {HALF}) as int)"
 
 
 def _q(x: str | None) -> str:
@@ -69,24 +76,35 @@ def _q(x: str | None) -> str:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """work, author, book_no, book_title, line_idx, line_name, metre, pattern, words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("toks", F.split("line", " ")).where(F.size("toks") >= LEAST)
-    shapes = "array(" + ", ".join(f"named_struct('metre', '{m}', 'pattern', {_q(p)}, 'ws', array({', '.join(f'named_struct({chr(39)}sy{chr(39)}, {_q(s)}, {chr(39)}wb{chr(39)}, {_q(b)}, {chr(39)}mf{chr(39)}, {_q(f)})' for s, b, f in ws)}))" for m, p, ws in TEMPLATES) + ")"
-    rows = rows.withColumn("t", F.expr(f"get({shapes}, {_ID})"))
-    words = "transform(t.ws, (x, k) -> named_struct('idx', k, 'text', get(toks, k), 'sy', x.sy, 'wb', x.wb, 'mf', x.mf))"
-    return rows.selectExpr("lang as work", "source as author", "doc_id as book_no", "cast(doc_id as string) as book_title", "i as line_idx", "cast(i + 1 as string) as line_name", "t.metre as metre", "t.pattern as pattern", f"{words} as words")
+    rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("toks", F.split("line", " "))
+    ints = lambda xs: f"array({', '.join(map(str, xs))})"
+    rows = rows.withColumn("base", F.expr(_BASE)).withColumn("from", F.expr(f"get({ints(BEGIN)}, base)"))
+    rows = rows.withColumn("last", F.expr(f"(`from` + size(toks) - 1) div {LENGTH} * {len(CYCLE)} + get({ints(OF)}, cast((`from` + size(toks) - 1) % {LENGTH} as int)) - base"))
+    # each verse takes its own tokens before the line is spread into verses
+    begin = f"cast((base + j) div {len(CYCLE)} * {LENGTH} + get({ints(BEGIN)}, cast((base + j) % {len(CYCLE)} as int)) - `from` as int)"
+    size = f"get({ints(len(ws) for *_, ws in CYCLE)}, cast((base + j) % {len(CYCLE)} as int))"
+    rows = rows.select("doc_id", "lang", "source", "i", "base", F.explode(F.expr(f"transform(sequence(0, cast(last as int)), j -> named_struct('j', j, 'own', slice(toks, {begin} + 1, {size})))")).alias("v")).select("doc_id", "lang", "source", "i", "base", "v.*")
+    shapes = "array(" + ", ".join(f"named_struct('metre', '{m}', 'pattern', {_q(p)}, 'ws', array({', '.join(f'named_struct({chr(39)}sy{chr(39)}, {_q(s)}, {chr(39)}wb{chr(39)}, {_q(b)}, {chr(39)}mf{chr(39)}, {_q(f)})' for s, b, f in ws)}))" for m, p, ws in CYCLE) + ")"
+    rows = rows.withColumn("t", F.expr(f"get({shapes}, cast((base + j) % {len(CYCLE)} as int))"))
+    words = "transform(own, (x, k) -> named_struct('idx', k, 'text', x, 'sy', t.ws[k].sy, 'wb', t.ws[k].wb, 'mf', t.ws[k].mf))"
+    at = f"cast(i as bigint) * {APART} + j"
+    return rows.selectExpr("lang as work", "source as author", "doc_id as book_no", "cast(doc_id as string) as book_title", f"{at} as line_idx", f"cast({at} + 1 as string) as line_name", "t.metre as metre", "case when size(own) < size(t.ws) then 'corrupt' else t.pattern end as pattern", f"{words} as words")
 
 
 def _values() -> str:
     v = lambda x: "null" if x is None else f"'{x}'"
-    return ", ".join(f"({t}, {k}, {len(ws)}, '{m}', {v(p)}, '{s}', {v(b)}, {v(f)})" for t, (m, p, ws) in enumerate(TEMPLATES) for k, (s, b, f) in enumerate(ws))
+    return ", ".join(f"({BEGIN[t] + k}, {t}, {k}, {len(ws)}, '{m}', {v(p)}, '{s}', {v(b)}, {v(f)})" for t, (m, p, ws) in enumerate(CYCLE) for k, (s, b, f) in enumerate(ws))
 
 
 def prelude(clean: bool = True) -> str:
     """CTEs raw (one row a word) and, if asked, l (cleaned lines, with rn counted from 0 in a book) and w (their words)."""
-    sql = f"""with t(template, word_idx, n_words, metre, pattern, sy, wb, mf) as (values {_values()}),
+    sql = f"""with t(place, turn, word_idx, n_words, metre, pattern, sy, wb, mf) as (values {_values()}),
 v as (select doc_id, lang, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
-g as (select *, string_split(line, ' ') as toks, {_ID} as template from v where len(string_split(line, ' ')) >= {LEAST}),
-raw as (select g.lang as work, g.source as author, g.doc_id as book_no, g.i::int as line_idx, t.metre, t.pattern, t.word_idx, t.n_words, g.toks[t.word_idx + 1] as text, t.sy, t.wb, t.mf from g join t using (template))"""
+g0 as (select doc_id, lang, source, i, {_BASE} as base, string_split(line, ' ') as toks from v),
+g1 as (select g0.*, b.place as start, len(toks) as n from g0 join (select turn, place from t where word_idx = 0) b on b.turn = g0.base),
+g as (select doc_id, lang, source, i, base, start, n, unnest(toks) as text, start + generate_subscripts(toks, 1) - 1 as at from g1),
+raw as (select g.lang as work, g.source as author, g.doc_id as book_no, (g.i * {APART} + g.at // {LENGTH} * {len(CYCLE)} + t.turn - g.base)::bigint as line_idx, t.metre,
+  case when g.at - t.word_idx + t.n_words > g.start + g.n then 'corrupt' else t.pattern end as pattern, t.word_idx, t.n_words, g.text, t.sy, t.wb, t.mf from g join t on t.place = g.at % {LENGTH})"""
     if clean:
         sql += """,
 s0 as (select distinct work, author, book_no, line_idx, metre, pattern from raw where pattern is not null and pattern not in ('corrupt', 'not scanned')),

@@ -118,7 +118,7 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
         return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="right")).astype("int32"))
 
     both = rows.withColumn("refers_to", F.lit(None).cast("bigint")).withColumn("mark", F.lit(1)).unionByName(marks.withColumns({"url": F.lit(None).cast("string"), "html": F.lit(None).cast("binary"), "mark": F.lit(0)}))
-    both = both.withColumn("shard", shard("page_id")).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "mark", "url")
+    both = both.withColumn("shard", F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest", "url"), F.lit(len(bounds) + 1)).cast("int")).otherwise(shard("page_id"))).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "mark", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -130,6 +130,9 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
             nonlocal out
             if out is not None:
                 out.close()
+                # an earlier attempt may have made it; some file systems do not move onto a file
+                if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+                    fs.delete_file(f"{root}/{name}")
                 fs.move(f"{root}/_tmp/{name}.{attempt}", f"{root}/{name}")
                 done.append((name, count, size, digest_of.hexdigest()))
                 out = None

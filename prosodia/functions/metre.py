@@ -159,3 +159,15 @@ def build_pattern() -> str:
 def repaired_metre() -> str:
     sy = "array_join(transform(words, w -> w.sy), '')"
     return f"case when contains({sy}, '6A6X') or contains({sy}, '6A6T7') then 'H' when not contains({sy}, '6A') then 'P' end"
+
+
+def word_syllables(idx: int) -> str:
+    """Syllables of word `idx` (from the end if below 0): an empty prodelided word answers with the one before it, an empty elided one with the next; null
+    where there is none."""
+    at = str(idx) if idx >= 0 else f"size(words) - {-idx}"
+    before = f"filter(slice(words, 1, {at}), x -> x.sy <> '')"
+    after = f"get(filter(slice(words, {at} + 2, size(words)), x -> x.sy <> ''), 0)"
+    own = f"get(words, {at})"
+    left = f"get({before}, size({before}) - 1)"
+    return f"""case when {own}.sy <> '' then length({own}.sy) / 2 when {own}.mf = 'PE' and {at} > 0 then length({left}.sy) / 2
+ when {own}.mf = 'SY' and {at} < size(words) - 1 then length({after}.sy) / 2 end"""

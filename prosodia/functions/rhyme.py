@@ -48,11 +48,17 @@ def plain(nucleus: str) -> str:
     return f"lower(translate({nucleus}, '{TILDE}{MACRON}', ''))"
 
 
-def nucleus_score(a: str, b: str) -> str:
-    cases = " ".join(f"when '{x}{y}' then {d(v)}" for x in VOWELS for y, v in zip(VOWELS, LIKENESS[x], strict=True))
+def _at(values: list[float], place: str, spark: bool) -> str:
+    """A number of a list by its place, from 1; null where there is none."""
+    listed = ", ".join(map(d, values))
+    return f"get(array({listed}), cast({place} - 1 as int))" if spark else f"([{listed}])[({place})::bigint]"
+
+
+def nucleus_score(a: str, b: str, spark: bool = True) -> str:
+    place = f"6 * (nullif(instr('{VOWELS}', {a}.vowel), 0) - 1) + nullif(instr('{VOWELS}', {b}.vowel), 0)"
     p, q = plain(f"{a}.nucleus"), plain(f"{b}.nucleus")
     nasal = f"(contains({a}.nucleus, '{TILDE}') <> contains({b}.nucleus, '{TILDE}'))"
-    return f"""(case when {a}.nucleus = '' or {b}.nucleus = '' then {d(0)} else (case concat({a}.vowel, {b}.vowel) {cases} end) *
+    return f"""(case when {a}.nucleus = '' or {b}.nucleus = '' then {d(0)} else {_at([v for x in VOWELS for v in LIKENESS[x]], place, spark)} *
  case when length({p}) <> length({q}) then {d(0.7)} when {p} <> {q} and {a}.vowel = {b}.vowel then {d(0.7)} when {p} = {q} and {nasal} then {d(0.9)} else {d(1)} end end)"""
 
 
@@ -63,24 +69,25 @@ def _coda(a: str, b: str, empty: float) -> str:
  when {close} then {d(0.95)} else {d(0.8)} end"""
 
 
-def stressed_score(a: str, b: str) -> str:
-    return f"least({nucleus_score(a, b)} * ({_coda(a, b, 1)}), {d(1)})"
+def stressed_score(a: str, b: str, spark: bool = True) -> str:
+    return f"least({nucleus_score(a, b, spark)} * ({_coda(a, b, 1)}), {d(1)})"
 
 
-def final_score(a: str, b: str) -> str:
+def final_score(a: str, b: str, spark: bool = True) -> str:
     close = _close(CLOSE_ONSET, _edge(f"{a}.onset", False), _edge(f"{b}.onset", False))
     onset = f"case when {a}.onset = {b}.onset then {d(1.1)} when length({a}.onset) + length({b}.onset) > 2 then case when {close} then {d(0.95)} else {d(0.85)} end when {close} then {d(1)} else {d(0.85)} end"
-    return f"least({nucleus_score(a, b)} * ({onset}) * ({_coda(a, b, 1.1)}), {d(1)})"
+    return f"least({nucleus_score(a, b, spark)} * ({onset}) * ({_coda(a, b, 1.1)}), {d(1)})"
 
 
-def word_score(a: str, b: str) -> str:
-    """0 to 2.3. Where one word has one syllable after the stress and the other two, the last syllable of the longer tempers the ending."""
+def word_score(a: str, b: str, spark: bool = False, final: str | None = None) -> str:
+    """0 to 2.3. Where one word has one syllable after the stress and the other two, the last syllable of the longer tempers the ending.
+    final: a column that holds the score of the last syllables, so that it is worked out once."""
     fa, fb = f"{a}.f", f"{b}.f"
-    final = final_score(fa, fb)
+    final = final or final_score(fa, fb, spark)
     longer = lambda field: f"(case when {a}.np > {b}.np then {fa}.{field} else {fb}.{field} end)"
     temper = f"case when {a}.np + {b}.np = 3 then case when length({plain(longer('nucleus'))}) > 1 or {longer('vowel')} in ('i', 'u', 'ü') then {d(0.73)} else {d(0.83)} end else {d(1)} end"
     ending = f"(case when {a}.np > 0 and {b}.np > 0 then {final} * case when {final} >= {d(0.75)} then {d(1.3)} else {d(1)} end * {temper} else {d(0)} end)"
-    return f"case when {a} is null or {b} is null or {a}.n = 0 or {b}.n = 0 then {d(0)} when {a}.n = 1 and {b}.n = 1 then {final} * 2 else {stressed_score(f'{a}.s', f'{b}.s')} + {ending} end"
+    return f"case when {a} is null or {b} is null or {a}.n = 0 or {b}.n = 0 then {d(0)} when {a}.n = 1 and {b}.n = 1 then {final} * 2 else {stressed_score(f'{a}.s', f'{b}.s', spark)} + {ending} end"
 
 
 def toy_word(text: str, spark: bool = True) -> str:

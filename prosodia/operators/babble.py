@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,41 +12,54 @@ from prosodia.functions import phonology as P
 from prosodia.functions import statistics as S
 from prosodia.functions.generate import Source
 
-#: Distinct words of a source that go to every worker, at most; the least by hash of a larger source.
-SOURCE_WORDS = 200_000
-GENERATED = "replicate bigint, line_idx int, metre string, words array<struct<idx:int,text:string,sy:string,wb:string,mf:string>>"
-
-
-def source_words(lines: DataFrame, metre: str, most: int = SOURCE_WORDS) -> list[dict]:
-    """Distinct words of a metre's lines, with their sounds by themselves."""
-    ws = lines.where(F.col("metre") == metre).select(F.explode("words").alias("w")).select("w.text", "w.sy", "w.wb", "w.mf").distinct()
-    rows = ws.orderBy(F.xxhash64("text", "sy", "wb", "mf"), "text", "sy").limit(most).collect()
-    out = []
-    for r in rows:
-        sound = P.phonemic(P.line_words([{**r.asDict(), "mf": None if r["mf"] == "SY" else r["mf"]}])[0]) or P.PUNCT.sub("", (r["text"] or "").lower())
-        out.append({**r.asDict(), "sound": sound})
-    return out
+from . import rhyme
 
+GENERATED = "replicate bigint, line_idx int, metre string, words array<struct<idx:int,text:string,sy:string,wb:string,mf:string>>"
 
-def generate(lines: DataFrame, lines_each: int, n: int, seed: int, elegiac: bool = False) -> DataFrame:
-    """n works of random lines (couplets if elegiac); each replicate has its own seed."""
-    spark = lines.sparkSession
-    sent = spark.sparkContext.broadcast({m: source_words(lines, m) for m in ("HP" if elegiac else "H")})
-
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sources = {m: Source(ws, m) for m, ws in sent.value.items()}
-        for part in parts:
-            for rep in part["id"]:
-                rng = random.Random(f"{seed}:{rep}")
-                rows = []
-                for i in range(2 * round(lines_each / 2) if elegiac else lines_each):
-                    m = "HP"[i % 2] if elegiac else "H"
-                    line = sources[m].line(rng)
-                    if line is not None:
-                        rows.append((int(rep), i, m, [{"idx": k, **{x: w[x] for x in ("text", "sy", "wb", "mf")}} for k, w in enumerate(line)]))
-                yield pd.DataFrame(rows, columns=["replicate", "line_idx", "metre", "words"])
 
-    return spark.range(n).repartition(min(n, 64)).mapInPandas(each, GENERATED)
+def source_words(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metre, text, sy, wb, mf, sound): distinct words of a source's lines, with their sounds by themselves, worked out where they are."""
+    ws = lines.select(*by, "metre", F.explode("words").alias("w")).select(*by, "metre", "w.text", "w.sy", "w.wb", "w.mf").distinct()
+
+    @F.pandas_udf("string")
+    def sound(text: pd.Series, sy: pd.Series, wb: pd.Series, mf: pd.Series) -> pd.Series:
+        out = []
+        for t, s, b, m in zip(text, sy, wb, mf, strict=True):
+            w = P.line_words([{"text": t, "sy": s, "wb": b, "mf": None if m == "SY" else m}])[0]
+            out.append(P.phonemic(w) or P.PUNCT.sub("", (t or "").lower()))
+        return pd.Series(out, dtype=object)
+
+    return ws.withColumn("sound", sound("text", "sy", "wb", "mf"))
+
+
+def generate(lines: DataFrame, n: int, seed: int, by: str, elegiac: bool = False, lines_each: int | None = None, parts: int = 4) -> DataFrame:
+    """(by, replicate, line_idx, metre, words): n works of random lines (couplets if elegiac) for each source `by`, as long as the source unless lines_each says
+    otherwise. A line's words come from all distinct words of its source. Replicates have seeds of their own and are dealt in `parts` tasks a source; each
+    reads its source's words, which are kinds of words and not lines."""
+    keep = lines.where("metre = 'H'") if not elegiac else lines
+    sizes = lines.groupBy(by).agg(F.count("*").alias("_size"))
+    words = source_words(keep, [by])
+    kind = lines.schema[by].dataType.simpleString()
+    jobs = sizes.select(by, "_size", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    left = words.join(jobs, by)
+
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        source_name, part = key[0], int(key[1])
+        size = int(pdf["_size"].iloc[0])
+        pdf = pdf.sort_values(["metre", "text", "sy", "wb", "mf"], na_position="first")
+        have = {m: Source([{k: None if pd.isna(v) else v for k, v in r.items()} for r in g[["text", "sy", "wb", "mf", "sound"]].to_dict("records")], m) for m, g in pdf.groupby("metre")}
+        rows = []
+        count = lines_each if lines_each is not None else size
+        for rep in range(part, n, parts):
+            rng = random.Random(f"{seed}:{source_name}:{rep}")
+            for i in range(2 * round(count / 2) if elegiac else count):
+                m = "HP"[i % 2] if elegiac else "H"
+                line = have[m].line(rng) if m in have else None
+                if line is not None:
+                    rows.append((source_name, rep, i, m, [{"idx": k, **{x: w[x] for x in ("text", "sy", "wb", "mf")}} for k, w in enumerate(line)]))
+        return pd.DataFrame(rows, columns=[by, "replicate", "line_idx", "metre", "words"])
+
+    return left.groupBy(by, "_part").applyInPandas(each, f"`{by}` {kind}, {GENERATED}")
 
 
 def bootstrap_ci(hits: DataFrame, by: list[str]) -> DataFrame:
@@ -72,7 +84,50 @@ def examinate(observed: DataFrame, intervals: DataFrame, baselines: DataFrame, b
     def tail(t: pd.Series, n: pd.Series, p: pd.Series, alt: pd.Series) -> pd.Series:
         return pd.Series([S.binomial_tail(int(a), int(b), float(c), d) for a, b, c, d in zip(t, n, p, alt, strict=True)], dtype=float)
 
-    return j.withColumn("binom", tail("t", "sum", "rate", "alternative"))
+    j = j.withColumn("binom", tail("t", "sum", "rate", "alternative"))
+    if "rate_low" not in baselines.columns:
+        return j
+    # against the bound of the baseline that is nearer to what was seen
+    outer = F.when(F.col("alternative") == "greater", F.col("rate_high")).otherwise(F.col("rate_low"))
+    return j.withColumn("conservative", tail("t", "sum", F.coalesce(F.nullif(outer, F.lit(0.0)), F.lit(0.5)), "alternative"))
+
+
+def baselines(ends: DataFrame, position: str, by: list[str], other: str | None = None, within: str | None = None) -> DataFrame:
+    """(by, rate): how often words at `position` rhyme by chance, times how often they are there. within H or P: pairs of lines of one metre (presence
+    squared); None: words of hexameters with those of pentameters (the product); other: the line's own word there (presence once). Zero is null."""
+    word = lambda df, p: df.select(*by, F.col(f"ends.{p}").alias("word"))
+    share = lambda df, name: df.groupBy(*by).agg((F.count(f"ends.{position}") / F.count("*")).alias(name))
+    if other:
+        rate, there = rhyme.rate(word(ends, position), word(ends, other), by), share(ends, "p").withColumn("q", F.lit(1.0))
+    elif within:
+        rows = ends.where(F.col("metre") == within)
+        rate, there = rhyme.rate(word(rows, position), None, by), share(rows, "p").withColumn("q", F.col("p"))
+    else:
+        h, p = ends.where("metre = 'H'"), ends.where("metre = 'P'")
+        rate, there = rhyme.rate(word(h, position), word(p, position), by), share(h, "p").join(share(p, "q"), by)
+    made = F.col("hits") / F.nullif("tries", F.lit(0)) * F.col("p") * F.col("q")
+    return there.join(rate, by, "left").select(*by, F.nullif(made, F.lit(0.0)).alias("rate"))
+
+
+def rate_bounds(one: DataFrame, other: DataFrame, by: list[str], n: int, each: int, seed: int, p: float = 0.95) -> DataFrame:
+    """(by, rate, rate_low, rate_high): order statistics of n sampled rates of `each` pairs."""
+    drawn = rhyme.sampled_rates(one, other, by, n, each, seed)
+    found = drawn.withColumn("r", F.col("hits") / F.col("tries")).groupBy(*by).agg(F.sort_array(F.collect_list("r")).alias("a"))
+    low, mid, high = S.order_interval(F.col("a"), p)
+    return found.select(*by, mid.alias("rate"), low.alias("rate_low"), high.alias("rate_high"))
+
+
+def vectorise(examined: DataFrame, columns: list[str], by: list[str], sizes: DataFrame) -> DataFrame:
+    """One row a work (by): a column a metre and test with the share of the middle, and `size`. A work of hexameters alone has them for its pentameters
+    too."""
+    rows = examined.withColumn("_k", F.concat(F.col("metre"), F.lit("-"), F.col("test")))
+    made = rows.groupBy(*by).pivot("_k", columns).agg(F.first("pi"))
+    twice = {c: F.coalesce(F.col(f"`{c}`"), F.col(f"`H{c[1:]}`")) for c in columns if c[0] == "P" and f"H{c[1:]}" in columns}
+    only_h = rows.groupBy(*by).agg(F.max(F.col("metre") == "P").alias("_p"))
+    out = made.join(only_h, by)
+    for c, v in twice.items():
+        out = out.withColumn(c, F.when(F.col("_p"), F.col(f"`{c}`")).otherwise(v))
+    return out.drop("_p").join(sizes.select(*by, "size"), by)
 
 
 def vector(examined: DataFrame, columns: list[str], by: str = "work") -> DataFrame:

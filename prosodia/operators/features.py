@@ -51,14 +51,14 @@ def couplets(lines: DataFrame) -> DataFrame:
     return out.where("_n = 2").drop("_n", "P3SP", "P4SP")
 
 
-def moments(feats: DataFrame, by: list[str]) -> DataFrame:
-    """(by, a, b, n, mean_a, mean_b, covariance): population covariance of every pair of features. Equal vectors are counted first, and
+def moments(feats: DataFrame, by: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(by, a, b, n, mean_a, mean_b, covariance): population covariance of pairs of features, of every one if none are named. Equal vectors are counted first, and
     only their kinds are spread into pairs, so what is shuffled and multiplied is far less than the lines; the result has a row a
     pair, whatever the data's size."""
     cs = names(feats)
     kinds = feats.groupBy(*by, *cs).agg(F.count("*").alias("_k"))
     pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-    rows = kinds.select(*by, "_k", F.explode(F.array(*[pair(a, b) for i, a in enumerate(cs) for b in cs[i:]])).alias("p")).select(*by, "_k", "p.*")
+    rows = kinds.select(*by, "_k", F.explode(F.array(*[pair(a, b) for a, b in pairs or [(a, b) for i, a in enumerate(cs) for b in cs[i:]]])).alias("p")).select(*by, "_k", "p.*")
     k = F.col("_k")
     sums = rows.groupBy(*by, "a", "b").agg(F.sum("_k").alias("n"), F.sum(k * F.col("x")).alias("sx"), F.sum(k * F.col("y")).alias("sy"), F.sum(k * F.col("x") * F.col("y")).alias("sxy"))
     n = F.col("n")

@@ -3,6 +3,7 @@ one row and nothing is shuffled."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +59,71 @@ def phonetics(lines: DataFrame) -> DataFrame:
     return _mapped(lines, "phonetic string, phonemic string", make)
 
 
+_PART = pa.struct([(n, pa.string()) for n in ("onset", "nucleus", "coda", "vowel")])
+_ENDING = pa.struct([("n", pa.int32()), ("np", pa.int32()), ("s", _PART), ("f", _PART)])
+_PLACES = ("first", "ult", "penult", "antepenult", "mid")
+_PART_DDL = "struct<onset:string,nucleus:string,coda:string,vowel:string>"
+ENDS = "struct<" + ", ".join(f"{p}: struct<n:int,np:int,s:{_PART_DDL},f:{_PART_DDL}>" for p in _PLACES) + ">"
+AT = "struct<" + ", ".join(f"{p}: int" for p in _PLACES) + ">"
+
+
+def ending(w: P.Word) -> dict | None:
+    """What rhyme takes of a word: its syllables, those after the stressed one, the stressed one (the first, if none is) and the last; null for a
+    word without a reading."""
+    if not w.parts:
+        return None
+    part = lambda p: {"onset": p["onset"], "nucleus": p["nucleus"], "coda": p["coda"], "vowel": p["main_vowel"]}
+    at = w.stress or 0
+    return {"n": len(w.parts), "np": len(w.parts) - 1 - at, "s": part(w.parts[at]), "f": part(w.parts[-1])}
+
+
+def word_ends(lines: DataFrame) -> DataFrame:
+    """lines with `ends` and `at` by their real sounds, for operators.rhyme: the words at the line's start, end, last but one, last but two and
+    before the third foot's break (the first whose scansion ends in 3A or 3b), and their places."""
+
+    def make(words: list[dict]) -> tuple:
+        made = [ending(w) for w in P.line_words(words)]
+        n = len(words)
+        mid = next((k for k, w in enumerate(words) if (w["sy"] or "").endswith(("3A", "3b"))), None)
+        at = {"first": 0, "ult": n - 1, "penult": n - 2, "antepenult": n - 3, "mid": mid}
+        at = {k: v if v is not None and 0 <= v < n else None for k, v in at.items()}
+        return {k: None if v is None else made[v] for k, v in at.items()}, at
+
+    return _mapped(lines, f"ends {ENDS}, at {AT}", make)
+
+
+def align(rows: list[str]) -> list[str]:
+    """Rows of words, one below the other: each column as wide as its widest word, combining marks not counted. Rows must have as many words."""
+    split = [r.split(" ") for r in rows]
+    if len({len(r) for r in split}) > 1:
+        raise ValueError("rows differ in their numbers of words")
+    width = lambda w: sum(not unicodedata.combining(c) for c in w)
+    most = [max(map(width, column)) for column in zip(*split, strict=True)]
+    return [" ".join(w + " " * (m - width(w)) for w, m in zip(r, most, strict=True)).rstrip() for r in split]
+
+
+def aligned(lines: DataFrame) -> DataFrame:
+    """lines with `aligned`: the words, their scansion and their sounds as three rows under one another."""
+
+    def make(words: list[dict]) -> tuple:
+        blank = lambda x: x.replace(" ", "") or "-"
+        sounds = [blank(w.pre + ".".join("`" + s if i == w.stress else s for i, s in enumerate(w.syls)) + w.post) for w in P.line_words(words)]
+        return (align([" ".join(blank(w["text"] or "") for w in words), " ".join(blank(w["sy"] or "") for w in words), " ".join(sounds)]) if words else [],)
+
+    return _mapped(lines, "aligned array<string>", make)
+
+
+def phonemic_words(lines: DataFrame) -> DataFrame:
+    """lines whose words carry their phonemic form for text (`_` at the end of a word that is elided into the next), for chunks and proper names by
+    sound."""
+
+    def make(words: list[dict]) -> tuple:
+        out = [{**raw, "text": P.phonemic(w) + ("_" if "_" in w.syls else "")} for raw, w in zip(words, P.line_words(words), strict=True)]
+        return (out,)
+
+    return _mapped(lines, "words_ array<struct<idx:int,text:string,sy:string,wb:string,mf:string>>", make).withColumnRenamed("words_", "words")
+
+
 #: Bits of a syllable's prosody in the compact tensor.
 ACCENT, ICTUS, CF, DI, CM, ELISION, LONG = 1, 2, 4, 8, 16, 32, 64
 LEFT, RIGHT = 2, 18

@@ -13,54 +13,62 @@ from prosodia.functions import statistics as S
 
 from . import features
 
-#: A feature frame of at most this many rows goes to every worker for drawing; a larger one is drawn from by sorting hashes.
-IN_MEMORY = 2_000_000
-
-
 def sampled_distribution(feats: DataFrame, size: int, n: int, seed: int) -> DataFrame:
-    """n means of `size` rows drawn without replacement (anew for each mean). Small frames are broadcast and drawn from in parallel;
-    of larger ones each replicate takes the rows of least seeded hash below a share that leaves enough of them, so nothing
-    but the chosen rows is shuffled."""
+    """n means of `size` rows drawn without replacement (anew for each mean). Rows with equal features are one kind with a count; a draw takes how many
+    come of each kind (multivariate hypergeometric), so only kinds reach the workers: of 20 yes-or-no features and a small number there are bounded many,
+    however many rows. Kinds are in the order of their values, so that draws repeat."""
     cs = features.names(feats)
-    count = feats.count()
+    kinds = feats.groupBy(*cs).agg(F.count("*").alias("_k")).orderBy(*cs).toArrow()
+    count = sum(kinds.column("_k").to_pylist())
     if size > count:
         raise ValueError(f"cannot draw {size} of {count} rows")
     spark = feats.sparkSession
-    if count <= IN_MEMORY:
-        order = [c for c in ("book_no", "line_idx", "rn") if c in feats.columns]
-        rows = feats.orderBy(*order).select(*cs).toPandas().to_numpy(float)
-        sent = spark.sparkContext.broadcast(rows)
+    sent = spark.sparkContext.broadcast((np.column_stack([kinds.column(c).to_numpy() for c in cs]).astype(np.int16), kinds.column("_k").to_numpy()))
 
-        def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x = sent.value
-            for part in parts:
-                means = [x[np.random.default_rng([seed, int(r)]).choice(len(x), size, replace=False)].mean(axis=0) for r in part["id"]]
-                out = pd.DataFrame(means, columns=cs)
-                out.insert(0, "replicate", part["id"].to_numpy())
-                yield out
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, k = sent.value
+        for part in parts:
+            means = [np.random.default_rng([seed, int(r)]).multivariate_hypergeometric(k, size, method="marginals") @ x / size for r in part["id"]]
+            out = pd.DataFrame(means, columns=cs)
+            out.insert(0, "replicate", part["id"].to_numpy())
+            yield out
 
-        return spark.range(n).mapInPandas(draw, "replicate bigint, " + ", ".join(f"`{c}` double" for c in cs))
-    from pyspark.sql import Window
+    return spark.range(n).mapInPandas(draw, "replicate bigint, " + ", ".join(f"`{c}` double" for c in cs))
 
-    share = min(1.0, (size + 10 * size**0.5 + 50) / count)
-    keyed = feats.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "_r", "book_no", "line_idx"))
-    near = keyed.where(F.pmod("_h", F.lit(1 << 40)) < int(share * (1 << 40)))
-    top = near.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h"))).where(F.col("_k") <= size)
-    return top.groupBy(F.col("_r").cast("bigint").alias("replicate")).agg(*[F.avg(c).alias(c) for c in cs])
 
-
-def explain(point: dict[str, float], dist: DataFrame, shrinkage: float = 0.1) -> DataFrame:
-    """(feat, score, samp, dist, m, p): the squared Mahalanobis distance of a point from a distribution, by feature, largest part first. One
-    aggregation gives the moments; a matrix of features by features is all that reaches the driver."""
-    cs = features.names(dist)
-    rows = features.moments(dist.select(*cs, F.lit(1).alias("_all")), ["_all"]).collect()
+def _moments(dist: DataFrame, cs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances: a matrix of features by features is all that reaches the driver."""
     place = {c: i for i, c in enumerate(cs)}
     mean, cov = np.zeros(len(cs)), np.zeros((len(cs), len(cs)))
-    for r in rows:
+    for r in features.moments(dist.select(*cs, F.lit(1).alias("_all")), ["_all"]).collect():
         i, j = place[r["a"]], place[r["b"]]
         cov[i, j] = cov[j, i] = r["covariance"]
         if i == j:
             mean[i] = r["mean_a"]
+    return mean, cov
+
+
+def explain_each(points: DataFrame, dist: DataFrame, by: list[str], shrinkage: float = 0.1) -> DataFrame:
+    """(by, feat, score, samp, dist, m, p): the squared Mahalanobis distance of each point (by, features) from a distribution, by feature."""
+    cs = features.names(dist)
+    mean, cov = _moments(dist, cs)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*by).schema.fields)
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for key, x in zip(part[by].itertuples(index=False, name=None), part[cs].to_numpy(float), strict=True):
+                v, m, p = S.contributions(x, mean, cov, shrinkage)
+                rows += [(*key, c, float(a), float(b), float(d), float(m), float(p)) for c, a, b, d in zip(cs, v, x, mean, strict=True)]
+            yield pd.DataFrame(rows, columns=[*by, "feat", "score", "samp", "dist", "m", "p"])
+
+    return points.select(*by, *cs).mapInPandas(each, f"{kind}, feat string, score double, samp double, dist double, m double, p double")
+
+
+def explain(point: dict[str, float], dist: DataFrame, shrinkage: float = 0.1) -> DataFrame:
+    """(feat, score, samp, dist, m, p): the squared Mahalanobis distance of a point from a distribution, by feature, largest part first."""
+    cs = features.names(dist)
+    mean, cov = _moments(dist, cs)
     x = np.array([point[c] for c in cs], float)
     v, m, p = S.contributions(x, mean, cov, shrinkage)
     out = sorted(zip(cs, v.tolist(), x.tolist(), mean.tolist(), strict=True), key=lambda r: -r[1])

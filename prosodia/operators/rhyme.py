@@ -6,18 +6,20 @@ those that follow by lead() over their group, never by a self-join.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosodia.functions import closeness as C
 from prosodia.functions import rhyme as R
 
 POSITIONS = ("first", "ult", "penult", "mid")
-#: (position, position in a later line, lines ahead at most), in the order that ties go by.
+#: Fixed values: (position, position in a later line, lines ahead at most), in the order that ties go by.
 BASIC_VERTICAL = [("ult", "mid", 0), ("ult", "ult", 3), ("penult", "penult", 3), ("mid", "mid", 2)]
 VERTICAL_PLUS = [("first", "first", 3), *BASIC_VERTICAL]
 VERTICAL_INIT = [("first", "first", 2), ("ult", "mid", 0), ("ult", "ult", 2), ("penult", "penult", 2), ("mid", "mid", 2)]
 LEONINE = [("mid", "ult", 0)]
-#: Patterns over consecutive lines: (line, position, line, position) that must all rhyme.
+#: Patterns over consecutive lines: (line, position, line, position) that must all rhyme.
 TESTS = {
     "leo": [(0, "ult", 0, "mid")],
     "abba": [(0, "ult", 3, "ult"), (1, "ult", 2, "ult")],
@@ -39,6 +41,14 @@ def with_ends(lines: DataFrame, word: str) -> DataFrame:
     return out.withColumn("at", F.struct(F.lit(0).alias("first"), (F.size("words") - 1).alias("ult"), (F.size("words") - 2).alias("penult"), F.expr(f"{mid}.idx").alias("mid")))
 
 
+def scored(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows with the score of two words for each name. The last syllables are scored in a projection of their own, as the word's score names them
+    several times: so they are worked out once, and the generated code stays small."""
+    ends = {f"_f_{n}": F.expr(R.final_score(f"{a}.f", f"{b}.f")) for n, (a, b) in pairs.items()}
+    words = {n: F.expr(R.word_score(a, b, True, f"`_f_{n}`")) for n, (a, b) in pairs.items()}
+    return rows.withColumns(ends).withColumns(words).drop(*ends)
+
+
 def _window(by: list[str], order: str):
     return Window.partitionBy(*by).orderBy(order)
 
@@ -58,7 +68,7 @@ def pair_scores(ends: DataFrame, config: list[tuple[str, str, int]], by: list[st
                 continue
             pairs.append(F.struct(F.col(order).alias("line"), F.col(f"at.{p}").alias("i"), F.col(f"_l{k}").alias("line2"), F.col(f"_a{k}.{q}").alias("j"), F.col(f"ends.{p}").alias("a"), F.col(f"_e{k}.{q}").alias("b"), (F.col("_rn") * 100 + c * 10 + k).alias("encounter")))
     out = rows.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*").where("line2 is not null and a is not null and b is not null")
-    return out.select(*by, "line", "i", "line2", "j", F.expr(R.word_score("a", "b")).alias("score"), "encounter")
+    return scored(out, {"score": ("a", "b")}).select(*by, "line", "i", "line2", "j", "score", "encounter")
 
 
 def link(ends: DataFrame, config: list[tuple[str, str, int]], by: list[str], threshold: float = R.THRESHOLD) -> DataFrame:
@@ -69,6 +79,38 @@ def link(ends: DataFrame, config: list[tuple[str, str, int]], by: list[str], thr
     return best.select(*by, "line", "i", "b.*")
 
 
+def _holds(score: Column, op: str = ">=", threshold: float = R.THRESHOLD) -> Column:
+    return {">=": score >= threshold, ">": score > threshold, "<": score < threshold, "<=": score <= threshold}[op]
+
+
+def build_filter(tests: list[tuple], length: int, name: str, baseline: tuple[str, str] | None = None, cross: bool = False) -> dict:
+    """A pattern over `length` consecutive lines: tuples (line, position, line, position[, operator, threshold]) that must all hold. baseline:
+    positions whose words' rate is what chance would give; cross: that of words of the two metres."""
+    if any(not 0 <= x[k] < length for x in tests for k in (0, 2)):
+        raise ValueError(f"{name}: a line is outside of the window")
+    return {"name": name, "tests": tests, "length": length, "baseline": baseline or (tests[0][1], tests[0][3]), "cross": cross}
+
+
+def gather(ends: DataFrame, made: dict, by: list[str], order: str = "line_idx") -> DataFrame:
+    """(by, start, score): windows that show a pattern of build_filter, with the sum of its scores."""
+    w = _window(by, order)
+    rows = ends.withColumns({f"_e{k}": F.lead("ends", k).over(w) for k in range(1, made["length"])}).withColumns({"_e0": F.col("ends"), "_end": F.lead(order, made["length"] - 1).over(w)})
+    names = {f"_s{k}": (f"_e{x[0]}.{x[1]}", f"_e{x[2]}.{x[3]}") for k, x in enumerate(made["tests"])}
+    rows = scored(rows.where("_end is not null"), names)
+    hit, total = F.lit(True), F.lit(0.0)
+    for n, x in zip(names, made["tests"], strict=True):
+        hit, total = hit & _holds(F.col(n), *x[4:]), total + F.col(n)
+    return rows.where(hit).select(*by, F.col(order).alias("start"), total.alias("score"))
+
+
+def scan_report(ends: DataFrame, made: dict, by: list[str], least: int = 20, share: float = 0.1, order: str = "line_idx") -> DataFrame:
+    """(by, start, score, place): of each group the best windows of a pattern, `least` of them or that share, whichever is more. A top-k report."""
+    found = gather(ends, made, by, order)
+    w = Window.partitionBy(*by)
+    rows = found.withColumns({"place": F.row_number().over(w.orderBy(F.col("score").desc(), "start")), "_n": F.count("*").over(w)})
+    return rows.where(F.col("place") <= F.greatest(F.lit(least), F.ceil(F.col("_n") * share))).drop("_n")
+
+
 def scan(ends: DataFrame, tests: dict, by: list[str], order: str = "line_idx", metre: str | None = None, compat: bool = False) -> DataFrame:
     """(by, test, t, f): windows of consecutive lines that show each pattern, and those that do not. metre: windows that start so; compat
     leaves a group's last window out."""
@@ -78,14 +120,17 @@ def scan(ends: DataFrame, tests: dict, by: list[str], order: str = "line_idx", m
     for k in range(1, reach + 1):
         rows = rows.withColumn(f"_e{k}", F.lead("ends", k).over(w))
     rows = rows.withColumns({"_e0": F.col("ends"), "_left": F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(w)})
+    needed = {(a, p, b, q): f"_s{k}" for k, (a, p, b, q) in enumerate(sorted({x[:4] for t in tests.values() for x in t}))}
+    if metre:
+        rows = rows.where(F.col("metre") == metre)
+    rows = scored(rows, {n: (f"_e{a}.{p}", f"_e{b}.{q}") for (a, p, b, q), n in needed.items()})
     out = []
     for name, pairs in tests.items():
         hit = F.lit(True)
-        for a, p, b, q in pairs:
-            hit = hit & (F.expr(R.word_score(f"_e{a}.{p}", f"_e{b}.{q}")) >= R.THRESHOLD)
+        for pair in pairs:
+            hit = hit & _holds(F.col(needed[tuple(pair[:4])]), *pair[4:])
         there = F.col("_left") >= max(max(x[0], x[2]) for x in pairs) + (1 if compat else 0)
         out.append(F.struct(F.lit(name).alias("test"), there.alias("there"), hit.alias("hit")))
-    rows = rows.where(F.col("metre") == metre) if metre else rows
     seen = rows.select(*by, F.explode(F.array(*out)).alias("x")).where("x.there")
     return seen.groupBy(*by, "x.test").agg(F.sum(F.col("x.hit").cast("long")).alias("t"), F.sum((~F.col("x.hit")).cast("long")).alias("f"))
 
@@ -93,26 +138,92 @@ def scan(ends: DataFrame, tests: dict, by: list[str], order: str = "line_idx", m
 def slant_leonine(mid: str, ult: str, mid_text: str, ult_text: str) -> Column:
     """A rhyme of middle and end that is more than a shared common ending."""
     cheap = " or ".join(f"(lower({mid_text}) like '%{e}' and lower({ult_text}) like '%{e}')" for e in SLANT_OUT)
-    return F.expr(f"({R.word_score(mid, ult)}) >= {R.d(R.THRESHOLD)} and not ({cheap})")
-
-
-def rate(one: DataFrame, other: DataFrame | None, by: list[str], word: str = "word", threshold: float = R.THRESHOLD) -> DataFrame:
-    """(by, hits, tries) over all pairs of one's words with the other's, or of one's with each other. Equal words are counted first
-    and pairs of kinds are weighted by their counts, so no pair of rows is made; the score is taken in the order of the kinds, which matters
-    for z only."""
-    kinds = lambda df: df.where(f"{word} is not null").groupBy(*by, word).agg(F.count("*").alias("c"))
-    a = kinds(one).select(*by, F.col(word).alias("a"), F.col("c").alias("ca"))
-    b = kinds(one if other is None else other).select(*by, F.col(word).alias("b"), F.col("c").alias("cb"))
-    pairs = a.join(b, by)
-    times = F.col("ca") * F.col("cb")
-    if other is None:
-        pairs = pairs.where("a <= b")
-        times = F.when(F.col("a") == F.col("b"), F.col("ca") * (F.col("ca") - 1) / 2).otherwise(times).cast("long")
-    pairs = pairs.withColumns({"m": times, "s": F.expr(R.word_score("a", "b"))})
-    return pairs.groupBy(*by).agg(F.sum(F.when(F.col("s") >= threshold, F.col("m")).otherwise(0)).alias("hits"), F.sum("m").alias("tries"))
-
-
-#: Weights by position (count, score), the share of the score, and the exponent of a match.
+    return F.expr(f"({R.word_score(mid, ult, True)}) >= {R.d(R.THRESHOLD)} and not ({cheap})")
+
+
+def rate(one: DataFrame, other: DataFrame | None, by: list[str], word: str = "word", threshold: float = R.THRESHOLD, parts: int = 8) -> DataFrame:
+    """(by, hits, tries) over all pairs of one's words with the other's, or of one's with each other, in either order. Equal words are counted
+    first. A group's kinds are dealt in `parts` and met by all kinds of the other side, so a task holds kinds of words, never rows; there pairs of endings are
+    scored once, and words are compared only where their endings are near enough (functions.closeness)."""
+    flat = [F.col(f"{word}.n"), F.col(f"{word}.np"), *[F.col(f"{word}.{x}.{k}").alias(f"{x}_{k}") for x in "sf" for k in ("onset", "nucleus", "coda", "vowel")]]
+
+    def kinds(df: DataFrame) -> DataFrame:
+        return df.where(f"{word} is not null").select(*by, *flat).groupBy(*by, "n", "np", *[f"{x}_{k}" for x in "sf" for k in ("onset", "nucleus", "coda", "vowel")]).agg(F.count("*").alias("c"))
+
+    alone = other is None
+    a = kinds(one)
+    b = a if alone else kinds(other)
+    deal = F.pmod(F.xxhash64("f_onset", "f_nucleus", "f_coda", "np"), F.lit(parts)).cast("int")
+    a, b = a.withColumn("_part", deal), b.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*[F.col(c).alias(c) for c in [*b.columns, "_part"]])
+    keys = [*by, "_part"]
+    kind = {f.name: f.dataType.simpleString() for f in one.select(*by).schema.fields}
+
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=[*by, "h", "m"])
+
+        def worded(df: pd.DataFrame) -> C.Parts:
+            cols = [df[c].tolist() for c in ("n", "np", "s_onset", "s_nucleus", "s_coda", "s_vowel", "f_onset", "f_nucleus", "f_coda", "f_vowel")]
+            return C.Parts([(r[0], r[1], r[2:6], r[6:10]) for r in zip(*cols, strict=True)], df["c"].to_numpy())
+
+        x = worded(left)
+        h, m = C.hits(x, worded(right), threshold, alone), int(left["c"].sum()) * int(right["c"].sum())
+        if alone:  # a word with itself, then each pair once
+            cols = [left[c].tolist() for c in ("n", "np", "s_onset", "s_nucleus", "s_coda", "s_vowel", "f_onset", "f_nucleus", "f_coda", "f_vowel", "c")]
+            h -= sum(r[10] for r in zip(*cols, strict=True) if C.word((r[0], r[1], r[2:6], r[6:10]), (r[0], r[1], r[2:6], r[6:10])) >= threshold)
+            m -= int(left["c"].sum())
+        return pd.DataFrame([[*[left[k].iloc[0] for k in by], h, m]], columns=[*by, "h", "m"])
+
+    schema = ", ".join(f"`{k}` {t}" for k, t in kind.items()) + ", h bigint, m bigint"
+    pairs = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(met, schema)
+    half = 2 if alone else 1
+    return pairs.groupBy(*by).agg(F.expr(f"sum(h) div {half}").alias("hits"), F.expr(f"sum(m) div {half}").alias("tries")).where("tries > 0")
+
+
+def sampled_rates(one: DataFrame, other: DataFrame, by: list[str], n: int, each: int, seed: int, word: str = "word", threshold: float = R.THRESHOLD) -> DataFrame:
+    """(by, replicate, hits, tries): n times the rate of `each` pairs drawn with replacement from a word of one and a word of the other. A sampling
+    operator: what is drawn are places among the kinds of words by their running counts, and only kinds are joined."""
+
+    def kinds(df: DataFrame, c: str) -> DataFrame:
+        found = df.where(f"{word} is not null").groupBy(*by, F.col(word).alias(c)).agg(F.count("*").alias("k"))
+        run = Window.partitionBy(*by).orderBy(F.xxhash64(c), F.to_json(c))
+        return found.select(*by, c, (F.sum("k").over(run) - F.col("k")).alias(f"lo_{c}"), F.sum("k").over(run).alias(f"hi_{c}"))
+
+    a, b = kinds(one, "a"), kinds(other, "b")
+    sizes = a.groupBy(*by).agg(F.max("hi_a").alias("na")).join(b.groupBy(*by).agg(F.max("hi_b").alias("nb")), by)
+    drawn = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    drawn = drawn.withColumns({f"p{c}": F.pmod(F.xxhash64(F.lit(seed), F.lit(c), *by, "replicate", "k"), F.col(f"n{c}")) for c in "ab"})
+
+    def found(rows: DataFrame, side: DataFrame, c: str) -> DataFrame:
+        """rows with the kind at place p: places and the kinds' ends in one order, each place taking the next end."""
+        ends = side.select(*by, F.col(f"hi_{c}").alias(f"p{c}"), c, F.lit(0).alias("_o"))
+        both = rows.withColumns({c: F.lit(None).cast(side.schema[c].dataType), "_o": F.lit(1)}).unionByName(ends, allowMissingColumns=True)
+        after = Window.partitionBy(*by).orderBy(F.col(f"p{c}").desc(), "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # an end hi belongs to places below it; going down, the last end met is the least one above a place
+        return both.withColumn(c, F.last(c, ignorenulls=True).over(after)).where("_o = 1").drop("_o")
+
+    rows = found(drawn, a.withColumn("hi_a", F.col("hi_a") - 1), "a")
+    rows = found(rows, b.withColumn("hi_b", F.col("hi_b") - 1), "b")
+    pairs = scored(rows, {"score": ("a", "b")})
+    return pairs.groupBy(*by, "replicate").agg(F.sum((F.col("score") >= threshold).cast("long")).alias("hits"), F.count("*").alias("tries"))
+
+
+def sampled_rate(one: DataFrame, other: DataFrame, by: list[str], n: int, seed: int, word: str = "word", threshold: float = R.THRESHOLD) -> DataFrame:
+    """(by, hits, tries): the rate of n pairs drawn with replacement."""
+    return sampled_rates(one, other, by, 1, n, seed, word, threshold).drop("replicate")
+
+
+def brute_or_sampled(one: DataFrame, other: DataFrame, by: list[str], most: int, seed: int, word: str = "word") -> DataFrame:
+    """(by, hits, tries): the exact rate of groups with fewer than `most` pairs, a sampled one of most / 100 pairs of the others (a reference's
+    option; `rate` itself has no such limit)."""
+    count = lambda df, c: df.where(f"{word} is not null").groupBy(*by).agg(F.count("*").alias(c))
+    large = count(one, "x").join(count(other, "y"), by).where(F.col("x") * F.col("y") >= most).select(*by)
+    few = lambda df: df.join(large, by, "left_anti")
+    many = lambda df: df.join(large, by, "left_semi")
+    return rate(few(one), few(other), by, word).unionByName(sampled_rate(many(one), many(other), by, max(1, most // 100), seed, word))
+
+
+#: Weights by position (count, score), the share of the score, and the exponent of a match.
 NEUTRAL = {"first": (1.0, 1.0), "mid": (1.0, 1.0), "penult": (1.0, 1.0), "ult": (1.0, 1.0), "bias": 0.5, "exponent": 2.4}
 END_BIAS = {"first": (1.0, 0.5), "mid": (1.0, 0.5), "penult": (0.8, 0.8), "ult": (1.2, 1.0), "bias": 0.5, "exponent": 2.4}
 END_RHYMES = {"first": (0.0, 0.0), "mid": (0.0, 0.0), "penult": (0.0, 0.0), "ult": (1.0, 1.0), "bias": 0.5, "exponent": 2.4}
@@ -131,8 +242,8 @@ def score(ends: DataFrame, links: DataFrame, config: dict, by: list[str], order:
         rows = rows.withColumns({f"_f{k}": ahead, f"_p{k}": behind})
         names += [f"_f{k}", f"_p{k}"]
     rows = rows.withColumn("_u", F.col("ends.ult"))
-    best_end = F.greatest(*[F.expr(R.word_score("_u", n)) for n in names])
-    rows = rows.withColumns({"_end": best_end, "_own": F.expr(R.word_score("_u", "ends.mid"))})
+    rows = scored(rows, {**{f"_s{n}": ("_u", n) for n in names}, "_own": ("_u", "ends.mid")})
+    rows = rows.withColumn("_end", F.greatest(*[F.col(f"_s{n}") for n in names]))
     match = links.groupBy(*by, "line").agg(F.map_from_entries(F.collect_list(F.struct("i", "score"))).alias("_m"))
     rows = rows.join(match.withColumnRenamed("line", order), [*by, order], "left")
     count, total = F.lit(0.0), F.lit(0.0)

@@ -92,10 +92,11 @@ def without_propers(lines: DataFrame, least: int = 4) -> DataFrame:
     return marked.groupBy(*at).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", word.alias("t")))), lambda x: x["t"]), " ").alias("text"))
 
 
-def string_chunks(lines: DataFrame, size: int, by: list[str]) -> DataFrame:
-    """(by, chunk, text): lower-cased text of `size` consecutive lines, a line each; a short last chunk is dropped."""
+def string_chunks(lines: DataFrame, size: int, by: list[str], keep: str = "") -> DataFrame:
+    """(by, chunk, text): lower-cased text of `size` consecutive lines, a line each, without punctuation but for `keep`; a short last chunk is
+    dropped."""
     rn = F.row_number().over(Window.partitionBy(*by).orderBy("line_idx")) - 1
-    rows = lines.select(*by, "line_idx", F.floor(rn / size).alias("chunk"), F.lower(F.translate(plain_text(), PUNCT, "")).alias("t"))
+    rows = lines.select(*by, "line_idx", F.floor(rn / size).alias("chunk"), F.lower(F.translate(plain_text(), "".join(c for c in PUNCT if c not in keep), "")).alias("t"))
     out = rows.groupBy(*by, "chunk").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_idx", "t"))), lambda x: x["t"]), "\n").alias("text"))
     return out.where(F.col("n") == size).drop("n")
 

@@ -31,7 +31,7 @@ def syl_parts(spark, d):
 _NEXT = f"{_ENDS}, p as (select a.*, b.ult as other from e a join e b on a.book_no = b.book_no and b.rn = a.rn + 1)"
 
 
-@query("nucleus_scores", f"select book_no, line_idx, {R.nucleus_score('ult.f', 'other.f')} as score from p")
+@query("nucleus_scores", f"select book_no, line_idx, {R.nucleus_score('ult.f', 'other.f', False)} as score from p")
 def nucleus_scores(spark, d):
     w = rhyme._window(["book_no"], "line_idx")
     rows = ends(spark, d).select("book_no", "line_idx", F.col("ends.ult").alias("a"), F.lead("ends.ult").over(w).alias("b")).where("b is not null")
@@ -42,7 +42,7 @@ def nucleus_scores(spark, d):
 def word_rhyme_pairs(spark, d):
     w = rhyme._window(["book_no"], "line_idx")
     rows = ends(spark, d).select("book_no", "line_idx", F.col("ends.ult").alias("a"), F.lead("ends.ult").over(w).alias("b")).where("b is not null")
-    return rows.select("book_no", "line_idx", F.round(F.expr(R.word_score("a", "b")), 9).alias("score"))
+    return rhyme.scored(rows, {"score": ("a", "b")}).select("book_no", "line_idx", F.round("score", 9).alias("score"))
 
 
 for _n in ("nucleus_scores", "word_rhyme_pairs"):
@@ -56,7 +56,7 @@ def _with_ends(name: str) -> None:
 _HIT = R.d(R.THRESHOLD)
 
 
-@query("rhyme_baseline_bruteforce", f"select author, sum(case when {R.word_score('p', 'q')} >= {_HIT} then 1 else 0 end)::bigint as hits, count(*)::bigint as tries from (select author, least(a.ult, b.ult) as p, greatest(a.ult, b.ult) as q from e a join e b using (author) where a.metre = 'P' and b.metre = 'P' and (a.book_no, a.line_idx) < (b.book_no, b.line_idx)) group by author")
+@query("rhyme_baseline_bruteforce", f"select author, sum(case when greatest({R.word_score('p', 'q')}, {R.word_score('q', 'p')}) >= {_HIT} then 1 else 0 end)::bigint as hits, count(*)::bigint as tries from (select author, a.ult as p, b.ult as q from e a join e b using (author) where a.metre = 'P' and b.metre = 'P' and (a.book_no, a.line_idx) < (b.book_no, b.line_idx)) group by author")
 def rhyme_baseline_bruteforce(spark, d):
     return rhyme.rate(ends(spark, d).where("metre = 'P'").select("author", F.col("ends.ult").alias("word")), None, ["author"])
 

@@ -9,7 +9,7 @@ from prosodia.functions import space
 from prosodia.functions import statistics as S
 from prosodia.operators import features, resampling
 
-from .verse_queries import QUERIES, cleaned, query
+from .verse_queries import _FEATS, QUERIES, cleaned, query
 
 _PER_BOOK = "select author, book_no, count(*) as v from l group by author, book_no"
 _AT = lambda s: f"a[least(floor(len(a) * {s} + 1e-9)::bigint, len(a) - 1) + 1]"
@@ -75,8 +75,24 @@ def sampled_distribution(spark, d):
 
 
 def mahalanobis(spark, d):
+    """Each author's centroid against drawn means of fifty hexameters of all."""
     feats = features.distribution(cleaned(spark, d, False).where("metre = 'H'"))
-    return resampling.chunk_explain(feats.where("author = 'src3'"), feats, 50, 400, seed=7)
+    return resampling.explain_each(features.centroid(feats, ["author"]), resampling.sampled_distribution(feats, 50, 400, seed=7), ["author"])
+
+
+_OF = [("1SP", 0), ("2CF", 1), ("4DI", 2), ("ELC", 3)]
+
+
+@query("mahalanobis_books", "select book_no, round(sum(power(v - m, 2) / (0.9 * s + 0.1 * t)), 6) as distance from (select book_no, f.name, f.v, g.m, g.s, avg(g.s) over (partition by book_no) as t from (unpivot (select book_no, {a} from (FEATS) group by book_no) on {n} into name name value v) f join (select name, avg(v) as m, var_pop(v) as s from (unpivot (select {n} from (FEATS)) on {n} into name name value v) group by name) g using (name)) group by book_no".replace("{a}", ", ".join(f'avg("{f}") as "{f}"' for f, _ in _OF)).replace("{n}", ", ".join(f'"{f}"' for f, _ in _OF)).replace("FEATS", _FEATS))
+def mahalanobis_books(spark, d):
+    """Each book's distance from all lines by four features, covariances left out: shrunk variances alone, so that SQL has it."""
+    feats = features.distribution(cleaned(spark, d, False), keys=["book_no"])
+    cs = [f for f, _ in _OF]
+    whole = feats.agg(*[F.avg(c).alias(f"m_{c}") for c in cs], *[F.var_pop(c).alias(f"s_{c}") for c in cs])
+    books = feats.groupBy("book_no").agg(*[F.avg(c).alias(c) for c in cs]).join(F.broadcast(whole), F.lit(True))
+    mean = sum((F.col(f"s_{c}") for c in cs), F.lit(0.0)) / len(cs)
+    parts = [F.pow(F.col(c) - F.col(f"m_{c}"), F.lit(2)) / (0.9 * F.col(f"s_{c}") + 0.1 * mean) for c in cs]
+    return books.select("book_no", F.round(sum(parts, F.lit(0.0)), 6).alias("distance"))
 
 
 QUERIES["sampled_distribution"] = sampled_distribution

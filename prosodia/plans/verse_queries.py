@@ -205,7 +205,7 @@ def pf_sd(spark, d):
 
 @query("feature_moments", f"select work, name, round(avg(v), 9) as mean, round(var_pop(v), 9) as variance from (unpivot (select work, {_LIST} from ({_FEATS})) on {_LIST} into name name value v) group by work, name")
 def feature_moments(spark, d):
-    m = features.moments(features.distribution(cleaned(spark, d, False)), ["work"]).where("a = b")
+    m = features.moments(features.distribution(cleaned(spark, d, False)), ["work"], [(f, f) for f in _NAMES])
     return m.select("work", F.col("a").alias("name"), F.round("mean_a", 9).alias("mean"), F.round("covariance", 9).alias("variance"))
 
 
@@ -214,12 +214,8 @@ _PAIRS = [("1SP", "2SP"), ("1CF", "4SC"), ("4DI", "3SC"), ("2WC", "ELC")]
 
 @query("covariance_long", " union all ".join(f"select work, '{a}' as a, '{b}' as b, round(covar_pop(\"{a}\", \"{b}\"), 9) + 0.0 as covariance from f group by work" for a, b in _PAIRS).join(["with f as (" + _FEATS + ") select * from (", ")"]))
 def covariance_long(spark, d):
-    m = features.moments(features.distribution(cleaned(spark, d, False)), ["work"])
-    pick = None
-    for a, b in _PAIRS:
-        one = (F.col("a") == a) & (F.col("b") == b)
-        pick = one if pick is None else pick | one
-    return m.where(pick).select("work", "a", "b", (F.round("covariance", 9) + F.lit(0.0)).alias("covariance"))
+    m = features.moments(features.distribution(cleaned(spark, d, False)), ["work"], _PAIRS)
+    return m.select("work", "a", "b", (F.round("covariance", 9) + F.lit(0.0)).alias("covariance"))
 
 
 ORACLES["covariance_long"] = ORACLES["covariance_long"].replace("\nwith f as (", ",\nf as (", 1)

@@ -13,6 +13,7 @@ from prosodia.functions import generate, space
 from prosodia.functions import phonology as P
 from prosodia.functions import rhyme as R
 from prosodia.functions import statistics as S
+from prosodia.operators import rhyme
 
 from .test_metre import H, frame, line
 
@@ -45,7 +46,7 @@ def test_elision_and_sounds():
 def _score(spark, a, b):
     kind = "n int, np int, s struct<onset:string,nucleus:string,coda:string,vowel:string>, f struct<onset:string,nucleus:string,coda:string,vowel:string>"
     df = spark.createDataFrame([(a, b)], f"a struct<{kind.replace(' int', ':int').replace(' struct', ':struct')}>, b struct<{kind.replace(' int', ':int').replace(' struct', ':struct')}>")
-    return df.select(F.expr(R.word_score("a", "b"))).first()[0]
+    return rhyme.scored(df, {"s": ("a", "b")}).first().s
 
 
 def test_word_score(spark):

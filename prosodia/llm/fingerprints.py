@@ -20,8 +20,8 @@ from .common import words
 
 SHINGLE = 5
 SCALE_BITS = 2
-#: Rows in an id range, about, and the least and greatest number of ranges (bounds are literals of the plan).
-RANGE_ROWS, RANGES = 20_000, (256, 4096)
+#: Rows in an id range, about, and the least and greatest number of ranges (bounds are literals of the plan, looked up in two steps of STEP).
+RANGE_ROWS, RANGES, STEP = 20_000, (256, 16_384), 128
 
 
 def with_sketch(df: DataFrame, text: str, out: str, size: int = SHINGLE, scale_bits: int = SCALE_BITS) -> DataFrame:
@@ -58,17 +58,26 @@ def as_hex(a: Column) -> Column:
     return F.concat_ws("", F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")))
 
 
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds the key has reached: first among every STEP-th, then among those that follow."""
+    if not bounds:
+        return F.lit(0)
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    blocks = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
+    block = F.greatest(F.size(F.filter(longs([b[0] for b in blocks]), lambda x: x <= key)) - 1, F.lit(0))
+    return block * STEP + F.size(F.filter(F.get(F.array(*map(longs, blocks)), block), lambda x: x <= key))
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, sketch) with the next row by descending id, the first after the last.
+    """(doc_id, text) with the sketch, and next_text and next_sketch of the next row by descending id, the first after the last.
 
     Rows are dealt by id range (bounds from approximate quantiles, so that ranges are even whatever
     the ids); each range also gets a ghost of the row that follows it. So each window sees a range's
-    rows and one more, and no task sees the whole table."""
+    rows and one more, and no task sees the whole table. Ghosts are chosen by text, so that each text is sketched once."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     ranges = min(RANGES[1], max(RANGES[0], docs.count() // RANGE_ROWS))
-    bounds = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= key)) if bounds else F.lit(0)
+    bounds = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], min(100 * ranges, 1_000_000))).first()[0] or []
+    part = _range_of(key, sorted(set(bounds)))
     rows = docs.withColumns({"_k": key, "_part": part, "_h": F.xxhash64("text"), "_ghost": F.lit(False)})
     order = [F.col("_k").desc(), F.col("_h"), F.col("text")]
     # the first row of each range, in the window's order
@@ -76,20 +85,20 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     live = sorted((r["_hp"] for r in heads), reverse=True)
     after = {b: a for a, b in zip(live, live[1:] + live[:1], strict=True)}  # head of b follows the rows of a
     if not live:
-        return rows.withColumns({"next_text": F.col("text"), "next_sketch": F.col("sketch")}).drop("_k", "_part", "_h", "_ghost")
+        return with_sketch(rows, "text", "sketch").withColumns({"next_text": F.col("text"), "next_sketch": F.col("sketch")}).drop("_k", "_part", "_h", "_ghost")
     spark = docs.sparkSession
     table = spark.createDataFrame([(r["_hp"], r["m"]["_k"], ~r["m"]["_nh"], after[r["_hp"]]) for r in heads], "_hp int, _hk bigint, _hh bigint, _to int")
     ghosts = rows.join(F.broadcast(table), (F.col("_part") == F.col("_hp")) & (F.col("_k") == F.col("_hk")) & (F.col("_h") == F.col("_hh")))
-    ghosts = ghosts.groupBy("_to").agg(F.min(F.struct("text", "sketch")).alias("x")).select(F.lit(None).cast("bigint").alias("doc_id"), "x.text", "x.sketch", F.lit(-(2**63)).cast("bigint").alias("_k"), F.col("_to").alias("_part"), F.lit(0).cast("bigint").alias("_h"), F.lit(True).alias("_ghost"))
+    ghosts = ghosts.groupBy("_to").agg(F.min("text").alias("text")).select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(-(2**63)).cast("bigint").alias("_k"), F.col("_to").alias("_part"), F.lit(0).cast("bigint").alias("_h"), F.lit(True).alias("_ghost"))
     w = Window.partitionBy("_part").orderBy(F.col("_ghost"), *order)
-    both = rows.select("doc_id", "text", "sketch", "_k", "_part", "_h", "_ghost").unionByName(ghosts)
+    both = with_sketch(rows.select("doc_id", "text", "_k", "_part", "_h", "_ghost").unionByName(ghosts), "text", "sketch")
     out = both.withColumns({"next_text": F.lead("text").over(w), "next_sketch": F.lead("sketch").over(w)})
     return out.where(~F.col("_ghost")).drop("_k", "_part", "_h", "_ghost")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next_text(with_sketch(docs, "text", "sketch"))
+    rows = with_next_text(docs)
     half = F.col("_half")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
     rows = rows.withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))

@@ -3,6 +3,7 @@
 import hashlib
 import html.parser
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
 from prosodia.llm import bpe, common, compression_classifier, fingerprints, html_extract, packing, quality_rules, simhash, suffix_dedup, warc
 
@@ -245,6 +247,40 @@ def test_fingerprints(spark, docs, none, tmp_path):
     assert seen == Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert len({r.fingerprint for r in got if r.doc_id in (0, 34, 35)}) == 1  # equal texts
+
+    def sketch(t):
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w]
+        shingles = [ws[i : i + 5] for i in range(len(ws) - 4)] or ([ws] if ws else [])
+        hashes = set()
+        for sh in shingles:
+            h = 42
+            for w in sh:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            hashes.add(h)
+        return sorted((h for h in hashes if h >> 62 == 0), key=lambda h: h - (1 << 64) if h >> 63 else h)
+
+    def near(a, b, ta, tb):
+        least = min(len(a), len(b))
+        return len(set(a) & set(b)) / least if least else float(not a and not b and ta == tb)
+
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        n = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + n[:half]
+        mine, its, next_ = sketch(t), sketch(edited), sketch(n)
+        want[i, "".join(f"{h:016x}" for h in mine), "".join(f"{h:016x}" for h in its), round(near(mine, its, t, edited), 9), round(near(mine, next_, t, n), 9)] += 1
+    assert want == Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 300, 700])
+def test_ranges(spark, n):
+    bounds = sorted(random.Random(n).sample(range(10_000), n))
+    got = spark.range(0, 10_050, 7).select("id", fingerprints._range_of(F.col("id"), bounds).alias("r")).collect()
+    assert all(r.r == sum(b <= r.id for b in bounds) for r in got)
+
+
+def test_fingerprints_of_nothing(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "e" / "documents.parquet"))
     assert fingerprints.op7_fingerprints(spark, str(tmp_path / "e")).count() == 0
 

@@ -11,19 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosodia.llm import compression_classifier, packing, quality_rules, similar_sets, suffix_dedup
-from prosodia.llm.common import publish
+from prosodia.llm.common import discard, publish, unused
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learnt fences keep."""
-    return quality_rules.apply_quality_rules(docs).where("kept").select(docs.columns)
+    # a row's own columns stand apart, whatever their names
+    own = "_own"
+    rows = docs.select(F.struct(*docs.columns).alias(own), "text", "lang", "source")
+    return quality_rules.apply_quality_rules(rows).where("kept").select(f"{own}.*")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score is at least the classifier's cut. The model is learnt from the labelled rows of the
     unfiltered table: what the rules have taken away is what bad text looks like."""
     model = compression_classifier.learn(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return compression_classifier.with_score(docs, model, out="_score").where(F.col("_score") >= compression_classifier.CUT).select(docs.columns)
+    score = unused("_score", docs.columns)
+    return compression_classifier.with_score(docs, model, out=score).where(F.col(score) >= compression_classifier.CUT).select(docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = publish(stage(spark, docs, sf_dir), name)
+        if done:
+            discard(done.pop())
+        done.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

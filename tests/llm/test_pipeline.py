@@ -40,3 +40,23 @@ def test_stages(spark, tmp_path):
     assert sum(passage in t for t in left) == 1 and len(left) == len(ids["simhash_near_dedup"])
     assert ids["best_fit_packing"] == ids["suffix_array_dedup"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["best_fit_packing"].count()
+
+
+def test_edge_cases(spark, tmp_path):
+    """An empty table, rows that repeat an id or are equal, null columns, and further columns whose names the stages use."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    labels = "doc_id bigint, quality int, toxic int"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, prose(80), "en", None, 0, 7, 8.0, "r", "s") for i in range(30)]
+    rows += [rows[3], (3, prose(90), None, "s", None, 7, 8.0, "r", "s"), (None, prose(70), None, None, None, 7, 8.0, None, "s"), (40, None, None, None, None, 7, 8.0, "r", "s")]
+    more = f"{schema}, _row int, _score double, row string, kept string"
+    docs = spark.createDataFrame(rows, more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, publish(stage(spark, docs, f"{tmp_path}/none"), name)
+        assert docs.columns == before.columns and docs.select("_row", "_score", "kept").distinct().collect() == [(7, 8.0, "s")]
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.select("doc_id").collect())
+    assert ids == sorted([(False, i) for i in range(30)] + [(False, 3), (True, 0)])

@@ -43,6 +43,16 @@ def clean(lines: DataFrame, by: list[str], order: str = "line_idx", strict: bool
     return rows.where(F.coalesce(kept, F.lit(False))).drop("_n", "_e", "_next", "_prev")
 
 
+def kept(verses: str) -> str:
+    """What clean() keeps of a group that is held as an array of structs with metre and pattern, in order: SQL of the shorter array. Without the legacy
+    repair."""
+    usable_ = f"filter({verses}, v -> v.pattern is not null and v.pattern not in ({', '.join(map(repr, UNUSABLE))}))"
+    whole = "(v.metre = 'H' and coalesce(get(q.u, k + 1).metre <> 'H', true) or v.metre = 'P' and coalesce(get(q.u, k - 1).metre = 'H', false))"
+    elegiac = f"exists(slice(u, 1, {LOOK}), v -> v.metre = 'P')"
+    asked = f"transform(transform(array({usable_}), u -> named_struct('u', u, 'e', {elegiac})), q -> filter(q.u, (v, k) -> not q.e or {whole}))"
+    return f"get({asked}, 0)"
+
+
 def numbered(lines: DataFrame, by: list[str], order: str = "line_idx", out: str = "rn") -> DataFrame:
     """Places in the cleaned group, from 0."""
     return lines.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)

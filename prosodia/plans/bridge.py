@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosodia.operators import cleaning
+
 #: Verses of a text line are numbered from the line's number times this.
 APART = 1_000_000
 
@@ -73,22 +75,41 @@ def _q(x: str | None) -> str:
     return "cast(null as string)" if x is None else f"'{x}'"
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """work, author, book_no, book_title, line_idx, line_name, metre, pattern, words."""
+def _verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, with its verses in order: an array of line, place in it, where the line starts in the cycle, metre, pattern and tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("toks", F.split("line", " "))
     ints = lambda xs: f"array({', '.join(map(str, xs))})"
-    rows = rows.withColumn("base", F.expr(_BASE)).withColumn("from", F.expr(f"get({ints(BEGIN)}, base)"))
-    rows = rows.withColumn("last", F.expr(f"(`from` + size(toks) - 1) div {LENGTH} * {len(CYCLE)} + get({ints(OF)}, cast((`from` + size(toks) - 1) % {LENGTH} as int)) - base"))
-    # each verse takes its own tokens before the line is spread into verses
-    begin = f"cast((base + j) div {len(CYCLE)} * {LENGTH} + get({ints(BEGIN)}, cast((base + j) % {len(CYCLE)} as int)) - `from` as int)"
-    size = f"get({ints(len(ws) for *_, ws in CYCLE)}, cast((base + j) % {len(CYCLE)} as int))"
-    rows = rows.select("doc_id", "lang", "source", "i", "base", F.explode(F.expr(f"transform(sequence(0, cast(last as int)), j -> named_struct('j', j, 'own', slice(toks, {begin} + 1, {size})))")).alias("v")).select("doc_id", "lang", "source", "i", "base", "v.*")
-    shapes = "array(" + ", ".join(f"named_struct('metre', '{m}', 'pattern', {_q(p)}, 'ws', array({', '.join(f'named_struct({chr(39)}sy{chr(39)}, {_q(s)}, {chr(39)}wb{chr(39)}, {_q(b)}, {chr(39)}mf{chr(39)}, {_q(f)})' for s, b, f in ws)}))" for m, p, ws in CYCLE) + ")"
-    rows = rows.withColumn("t", F.expr(f"get({shapes}, cast((base + j) % {len(CYCLE)} as int))"))
-    words = "transform(own, (x, k) -> named_struct('idx', k, 'text', x, 'sy', t.ws[k].sy, 'wb', t.ws[k].wb, 'mf', t.ws[k].mf))"
-    at = f"cast(i as bigint) * {APART} + j"
-    return rows.selectExpr("lang as work", "source as author", "doc_id as book_no", "cast(doc_id as string) as book_title", f"{at} as line_idx", f"cast({at} + 1 as string) as line_name", "t.metre as metre", "case when size(own) < size(t.ws) then 'corrupt' else t.pattern end as pattern", f"{words} as words")
+    texts = lambda xs: f"array({', '.join(map(_q, xs))})"
+    turn = f"cast((q.base + j) % {len(CYCLE)} as int)"
+    start = f"get({ints(BEGIN)}, q.base)"
+    end = f"({start} + size(q.toks) - 1)"
+    last = f"cast({end} div {LENGTH} * {len(CYCLE)} + get({ints(OF)}, cast({end} % {LENGTH} as int)) - q.base as int)"
+    begin = f"cast((q.base + j) div {len(CYCLE)} * {LENGTH} + get({ints(BEGIN)}, {turn}) - {start} as int)"
+    size = f"get({ints(len(ws) for *_, ws in CYCLE)}, {turn})"
+    # each verse takes its own tokens, so that a document's verses are no larger than its text
+    verse = f"named_struct('i', i, 'j', j, 'turn', {turn}, 'own', slice(q.toks, {begin} + 1, {size}), 'metre', get({texts(m for m, *_ in CYCLE)}, {turn}), 'pattern', case when size(q.toks) - {begin} < {size} then 'corrupt' else get({texts(p for _, p, _ in CYCLE)}, {turn}) end)"
+    line = f"get(transform(array(named_struct('toks', split(line, ' '), 'base', {_BASE})), q -> transform(sequence(0, {last}), j -> {verse})), 0)"
+    return docs.withColumn("verses", F.expr(f"flatten(transform(split(text, '\\n'), (line, i) -> {line}))")).drop("text")
+
+
+def _lined(verses: DataFrame, more: list[str]) -> DataFrame:
+    """verses with one verse v a row, as lines."""
+    words = ", ".join(f"array({', '.join(f'named_struct({chr(39)}sy{chr(39)}, {_q(s)}, {chr(39)}wb{chr(39)}, {_q(b)}, {chr(39)}mf{chr(39)}, {_q(f)})' for s, b, f in ws)})" for *_, ws in CYCLE)
+    rows = verses.withColumn("t", F.expr(f"get(array({words}), v.turn)"))
+    at = f"cast(v.i as bigint) * {APART} + v.j"
+    made = "transform(v.own, (x, k) -> named_struct('idx', k, 'text', x, 'sy', t[k].sy, 'wb', t[k].wb, 'mf', t[k].mf))"
+    return rows.selectExpr("lang as work", "source as author", "doc_id as book_no", "cast(doc_id as string) as book_title", f"{at} as line_idx", f"cast({at} + 1 as string) as line_name", "v.metre as metre", "v.pattern as pattern", f"{made} as words", *more)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """work, author, book_no, book_title, line_idx, line_name, metre, pattern, words."""
+    return _lined(_verses(spark, sf_dir).withColumn("v", F.explode("verses")).drop("verses"), [])
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines, cleaned by document, with places rn from 0. A document's verses are in one row, so they are cleaned there, and nothing is shuffled."""
+    rows = _verses(spark, sf_dir).withColumn("verses", F.expr(cleaning.kept("verses")))
+    return _lined(rows.select("doc_id", "lang", "source", F.posexplode("verses").alias("rn", "v")), ["rn"])
 
 
 def _values() -> str:

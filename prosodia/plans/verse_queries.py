@@ -16,8 +16,8 @@ ORACLES: dict[str, str] = {}
 
 
 def cleaned(spark: SparkSession, sf_dir: str, rn: bool = True) -> DataFrame:
-    rows = cleaning.clean(bridge.lines(spark, sf_dir), ["book_no"])
-    return cleaning.numbered(rows, ["book_no"]) if rn else rows
+    rows = bridge.cleaned(spark, sf_dir)
+    return rows if rn else rows.drop("rn")
 
 
 def query(name: str, sql: str | None, clean: bool = True):
@@ -223,12 +223,13 @@ ORACLES["covariance_long"] = ORACLES["covariance_long"].replace("\nwith f as (",
 
 @query("clean_counts", "select work, metre, count(*) as n from l group by work, metre")
 def clean_counts(spark, d):
-    return cleaned(spark, d, False).groupBy("work", "metre").agg(F.count("*").alias("n"))
+    """By the operator for lines in rows, which shuffles by book."""
+    return cleaning.clean(bridge.lines(spark, d), ["book_no"]).groupBy("work", "metre").agg(F.count("*").alias("n"))
 
 
 @query("orphan_filter", "select book_no, line_idx, metre from l")
 def orphan_filter(spark, d):
-    return cleaned(spark, d, False).select("book_no", "line_idx", "metre")
+    return cleaning.numbered(cleaning.clean(bridge.lines(spark, d), ["book_no"]), ["book_no"]).select("book_no", "line_idx", "metre")
 
 
 @query("bookinate_counts", "select work || ' ' || book_no as title, count(*) as n_lines, max(case when metre = 'P' then 1 else 0 end)::int as elegiac from l group by work, book_no")

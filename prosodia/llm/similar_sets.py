@@ -36,6 +36,8 @@ SHINGLE, WORDS = 5, 4
 LEAST, OF = 4, 5
 RADIUS = 84
 COMMON, COMMONEST = 1000, 100_000
+#: Rows that are joined by broadcast at most (some ten bytes each); more go by shuffle, with the same result.
+NAMED = 200_000
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -69,31 +71,53 @@ def fingerprint(sh: np.ndarray) -> bytes:
     return np.packbits(2 * bits > len(sh), axis=1, bitorder="little").tobytes()
 
 
+def needed(n: int) -> int:
+    """How many first shingles of a set of n shard it: one more than may be missing at the least similarity."""
+    return n - -(-LEAST * n // OF) + (n > 0)
+
+
 def first(sh: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order (common, hash): one more than may be missing at the least similarity."""
-    need = len(sh) - -(-LEAST * len(sh) // OF) + 1
-    if not len(sh):
-        return sh
-    if len(common):
+    """The first shingles of a set in the order (common, hash)."""
+    if len(sh) and len(common):
         rare = ~np.isin(sh, common)
         sh = np.concatenate([sh[rare], sh[~rare]])
-    return sh[:need]
+    return sh[: needed(len(sh))]
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
-    """(row, node, fp, first) of rows(row, text): node is the hash of the whole set."""
+    """(row, node, fp, size, first) of rows(row, text): node is the hash of the whole set; first has its least hashes, half as many again as shard it, so that
+    common ones can be left out without the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.uint64)
         for b in batches:
             sets = [shingles(x.as_py() or b"") for x in b.column("text")]
             nodes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
+            stored = [s[: needed(len(s)) * 3 // 2 + 8].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(nodes.view(np.int64)), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([first(s, none).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["row", "node", "fp", "first"],
+                [b.column("row"), pa.array(nodes.view(np.int64)), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(stored, pa.list_(pa.int64()))],
+                names=["row", "node", "fp", "size", "first"],
             )
 
-    return rows.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(each, StructType([rows.schema["row"], *StructType.fromDDL("node bigint, fp binary, first array<bigint>")]))
+    return rows.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(each, StructType([rows.schema["row"], *StructType.fromDDL("node bigint, fp binary, size int, first array<bigint>")]))
+
+
+def chosen(sets: DataFrame, common: list[int]) -> DataFrame:
+    """(node, first) of sets(node, size, first): the shingles that shard each, common ones last; null where those stored don't do."""
+    sent = sets.sparkSession.sparkContext.broadcast(np.sort(np.array(common, np.int64)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for size, stored in zip(b.column("size").to_pylist(), b.column("first"), strict=True):
+                s, need = stored.values.to_numpy(), needed(size)
+                rare = ~np.isin(s, sent.value) if len(sent.value) else np.ones(len(s), bool)
+                found = s[rare][:need]
+                if len(found) < need:
+                    found = np.concatenate([s[rare], s[~rare]])[:need] if len(s) == size else None
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "first"])
+
+    return sets.select("node", "size", "first").mapInArrow(each, "node bigint, first array<bigint>")
 
 
 def _rarer(rows: DataFrame, common: list[int]) -> DataFrame:
@@ -108,6 +132,11 @@ def _rarer(rows: DataFrame, common: list[int]) -> DataFrame:
     return rows.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(each, "node bigint, first array<bigint>")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df (published), for a join by broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= NAMED else df
+
+
 def candidates(sets: DataFrame, firsts: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links that join all nodes of sets(node, fp) that share one of firsts(node, first) and lie within RADIUS."""
     rows = firsts.select("node", F.explode("first").alias("h"))
@@ -116,7 +145,9 @@ def candidates(sets: DataFrame, firsts: DataFrame, shard_rows: int = SHARD_ROWS)
     rows = rows.join(shards, "h").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block m meets block o in the task of the two: (min, max)
     rows = rows.select("node", "h", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    rows = rows.select("node", "h", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y")).join(sets, "node")
+    rows = publish(rows.select("node", "h", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y")), "shard-rows")
+    discard(shards)
+    rows = rows.join(sets, "node")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard; a shard may reach over batches."""
@@ -184,33 +215,37 @@ def verified(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the first of least doc_id. Texts are joined with the numbers of the kept
-    rows; they are not compared themselves, and do not meet by component."""
+    """docs with one row of each component: the first of least doc_id. Texts are joined with the numbers of rows; they are not compared themselves, and
+    do not meet by component but for verification."""
     number = unused("_row", docs.columns)
     rows = numbered(docs, number)
-    found = publish(with_sets(rows.select(F.col(number).alias("row"), "text")), "sets")
+    texts = rows.select(F.col(number).alias("row"), "text")
+    found = publish(with_sets(texts), "sets")
     least = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("bigint"), F.col("row"))
-    ids = rows.select(F.col(number).alias("row"), "doc_id").join(found.select("row", "node"), "row").select("node", least.alias("least"))
+    ids = publish(rows.select(F.col(number).alias("row"), "doc_id").join(found.select("row", "node"), "row").select("row", "node", least.alias("least")), "ids")
     nodes = publish(ids.groupBy("node").agg(F.min("least").alias("least")), "nodes")
     one = publish(found.join(nodes.select(F.col("least.row").alias("row")), "row", "left_semi").drop("row"), "distinct-sets")
     discard(found)
-    firsts = one.select("node", "first")
+    firsts = publish(chosen(one, []), "firsts")
     # at most COMMONEST of them: each has that part of all; any order of the shingles is exact
-    often = max(COMMON, (one.agg(F.sum(F.size("first"))).first()[0] or 0) // COMMONEST)
-    common = [r.h for r in one.select(F.explode("first").alias("h")).groupBy("h").count().where(F.col("count") > often).select("h").collect()]
-    texts = rows.select(F.col(number).alias("row"), "text")
-    spent = [one]
+    often = max(COMMON, (firsts.agg(F.sum(F.size("first"))).first()[0] or 0) // COMMONEST)
+    common = [r.h for r in firsts.select(F.explode("first").alias("h")).groupBy("h").count().where(F.col("count") > often).select("h").collect()]
     if common:
-        concerned = publish(firsts.where(F.arrays_overlap("first", F.lit(common))) if len(common) <= 100 else _concerned(firsts, common), "concerned").select("node")
-        theirs = texts.join(nodes.join(concerned, "node", "left_semi").select("node", F.col("least.row").alias("row")), "row")
-        rarer = publish(_rarer(theirs, common), "rarer")
-        firsts = firsts.join(concerned, "node", "left_anti").unionByName(rarer)
-        spent.append(rarer)
+        discard(firsts)
+        firsts = publish(chosen(one, common), "firsts")
+        short = publish(firsts.where("first is null").select("node").join(nodes, "node").select("node", F.col("least.row").alias("row")), "short")
+        some = firsts.where("first is not null")
+        if short.limit(1).count():
+            some = some.unionByName(_rarer(texts.join(_few(short), "row"), common))
+        whole = publish(some, "rarer-firsts")
+        discard(firsts, short)
+        firsts = whole
     linked = publish(candidates(one.select("node", "fp"), firsts), "links")
-    discard(*spent)
+    discard(one, firsts)
     comps = publish(components(linked), "candidates")
     discard(linked)
-    theirs = texts.join(nodes.join(comps, "node").select("node", "root", F.col("least.row").alias("row")), "row")
+    asked = publish(nodes.join(comps, "node").select("node", "root", F.col("least.row").alias("row")), "asked")
+    theirs = texts.join(_few(asked), "row")
 
     def exact(key: tuple, table: pa.Table) -> pa.Table:
         at = table.column("node").to_numpy()
@@ -219,14 +254,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     groups = theirs.select("root", "node", F.col("text").cast("binary").alias("text")).groupBy("root")
     joined = publish(groups.applyInArrow(exact, "node bigint, root bigint"), "components")
-    discard(comps)
+    discard(comps, asked)
     named = nodes.join(joined, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = publish(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(number)), "kept")
-    discard(nodes, joined)
+    gone = publish(ids.select(F.col("row").alias(number)).join(kept, number, "left_anti"), "gone")
+    discard(nodes, joined, ids)
+    if gone.count() <= NAMED:
+        return rows.join(F.broadcast(gone), number, "left_anti").select(docs.columns)
     return rows.join(kept, number, "left_semi").select(docs.columns)
-
-
-def _concerned(firsts: DataFrame, common: list[int]) -> DataFrame:
-    some = firsts.sparkSession.createDataFrame([(h,) for h in common], "h bigint")
-    hit = firsts.select("node", F.explode("first").alias("h")).join(F.broadcast(some), "h").select("node").distinct()
-    return firsts.join(hit, "node", "left_semi")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from prosodia.functions import phonology as P
 from prosodia.functions import statistics as S
@@ -43,23 +45,36 @@ def generate(lines: DataFrame, n: int, seed: int, by: str, elegiac: bool = False
     jobs = sizes.select(by, "_size", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
     left = words.join(jobs, by)
 
-    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        source_name, part = key[0], int(key[1])
-        size = int(pdf["_size"].iloc[0])
-        pdf = pdf.sort_values(["metre", "text", "sy", "wb", "mf"], na_position="first")
-        have = {m: Source([{k: None if pd.isna(v) else v for k, v in r.items()} for r in g[["text", "sy", "wb", "mf", "sound"]].to_dict("records")], m) for m, g in pdf.groupby("metre")}
-        rows = []
-        count = lines_each if lines_each is not None else size
+    word = pa.struct([("idx", pa.int32()), *((k, pa.string()) for k in ("text", "sy", "wb", "mf"))])
+    own = to_arrow_type(lines.schema[by].dataType)
+
+    def each(key: tuple, table: pa.Table) -> pa.Table:
+        source_name, part = key[0].as_py(), key[1].as_py()
+        count = lines_each if lines_each is not None else table.column("_size")[0].as_py()
+        found: dict[str, list[dict]] = {}
+        for r in sorted(table.select(["metre", "text", "sy", "wb", "mf", "sound"]).to_pylist(), key=lambda r: tuple(x or "" for x in r.values())):
+            found.setdefault(r.pop("metre"), []).append(r)
+        have, batches = {m: Source(ws, m) for m, ws in found.items()}, []
         for rep in range(part, n, parts):
-            rng = random.Random(f"{seed}:{source_name}:{rep}")
+            rng, place, metre, ends, idx = random.Random(f"{seed}:{source_name}:{rep}"), [], [], [0], []
+            cols: dict[str, list] = {k: [] for k in ("text", "sy", "wb", "mf")}
             for i in range(2 * round(count / 2) if elegiac else count):
                 m = "HP"[i % 2] if elegiac else "H"
                 line = have[m].line(rng) if m in have else None
                 if line is not None:
-                    rows.append((source_name, rep, i, m, [{"idx": k, **{x: w[x] for x in ("text", "sy", "wb", "mf")}} for k, w in enumerate(line)]))
-        return pd.DataFrame(rows, columns=[by, "replicate", "line_idx", "metre", "words"])
-
-    return left.groupBy(by, "_part").applyInPandas(each, f"`{by}` {kind}, {GENERATED}")
+                    place.append(i)
+                    metre.append(m)
+                    idx += range(len(line))
+                    ends.append(len(idx))
+                    for w in line:
+                        for k, c in cols.items():
+                            c.append(w[k])
+            words_ = pa.StructArray.from_arrays([pa.array(idx, pa.int32()), *(pa.array(c, pa.string()) for c in cols.values())], fields=list(word))
+            batches.append(pa.RecordBatch.from_arrays([pa.array([source_name] * len(place), own), pa.array([rep] * len(place), pa.int64()), pa.array(place, pa.int32()), pa.array(metre, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words_)], names=[by, "replicate", "line_idx", "metre", "words"]))
+        empty = pa.schema([(by, own), ("replicate", pa.int64()), ("line_idx", pa.int32()), ("metre", pa.string()), ("words", pa.list_(word))])
+        return pa.Table.from_batches(batches, empty if not batches else None)
+
+    return left.groupBy(by, "_part").applyInArrow(each, f"`{by}` {kind}, {GENERATED}")
 
 
 def bootstrap_ci(hits: DataFrame, by: list[str]) -> DataFrame:

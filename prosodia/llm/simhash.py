@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS)
     named = distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = publish(named.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id"), "component-ids")
+    discard(distinct, comps)
     return prints.join(of, prints["fp"] == of["_fp"], "left").select(key, "fp", "component_id")
 
 

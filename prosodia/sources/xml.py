@@ -59,8 +59,18 @@ def hexameter_frame(lines: DataFrame) -> DataFrame:
     return rows.withColumn("Author", F.when(spurious, F.lit("PsSilius")).otherwise(F.col("Author")))
 
 
-def write_text(lines: DataFrame, path: str) -> None:
-    """Lines as text, a blank line after each; overwrites."""
-    from prosodia.operators.search import plain_text
+def books_as_works(lines: DataFrame) -> DataFrame:
+    """Each book as a work of its own, named by its work and number; the books of several works may stand together."""
+    return lines.withColumn("work", F.concat_ws(" ", "work", F.col("book_no").cast("string")))
 
-    lines.orderBy("work", "book_no", "line_idx").select(F.concat(plain_text(), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+def write_text(lines: DataFrame, path: str, aligned: bool = False) -> None:
+    """Lines as text, a blank line after each; overwrites. aligned: with their scansion and sounds below, word under word."""
+    from prosodia.operators import phonology, search
+
+    if aligned:
+        rows = phonology.aligned(lines.select("work", "book_no", "line_idx", "words"))
+        text = F.array_join("aligned", "\n")
+    else:
+        rows, text = lines, search.plain_text()
+    rows.orderBy("work", "book_no", "line_idx").select(F.concat(text, F.lit("\n")).alias("value")).write.mode("overwrite").text(path)

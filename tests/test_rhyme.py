@@ -12,6 +12,7 @@ from prosodia.functions import closeness as C
 from prosodia.functions import generate
 from prosodia.functions import phonology as P
 from prosodia.operators import babble, colours, phonology, resampling, rhyme
+from prosodia.sources import xml
 
 PART = "struct<onset:string,nucleus:string,coda:string,vowel:string>"
 WORD = f"struct<n:int,np:int,s:{PART},f:{PART}>"
@@ -140,6 +141,15 @@ def test_aligned(spark):
     assert [w.text for w in made] == ["arma", "kano", "maris", "toris"]
 
 
+def test_written(spark, tmp_path):
+    lines = xml.books_as_works(poem(spark))
+    assert {r.work for r in lines.select("work").collect()} == {"w 1"}
+    xml.write_text(lines, f"{tmp_path}/plain")
+    xml.write_text(lines, f"{tmp_path}/rows", aligned=True)
+    plain, rows = (spark.read.option("lineSep", "\n\n").text(f"{tmp_path}/{k}").collect() for k in ("plain", "rows"))
+    assert plain[0].value == "arma cano maris toris" and rows[0].value.split("\n")[1].split() == ["1A1T", "2b2c", "3A3T", "6A6X"]
+
+
 def test_joinable():
     w = lambda text, sound, sy="1A", mf=None: {"text": text, "sound": sound, "sy": sy, "mf": mf}
     arma, est = w("arma", "arma", "1A1T"), w("est", "est", "2A", "PE")

@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +55,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a column `name` that names each row: where it stands in its files or, if docs is not read from files as it is, a number
+    """docs with a column `name` that names each row: where it stands in its files or, if docs is more than columns and rows picked from files, a number
     that is written down with it."""
-    try:
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName().startswith("LogicalRelation"):
         return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias(name))
-    except AnalysisException:
-        return publish(docs.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("place"))), "numbered")
+    return publish(docs.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("place"))), "numbered")
 
 
 def unused(name: str, taken: list[str]) -> str:

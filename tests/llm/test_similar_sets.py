@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from prosodia.llm import similar_sets
+from prosodia.llm import common, similar_sets
 
 
 def brute_set(text):
@@ -70,3 +70,13 @@ def test_verified_and_split_shards(spark):
             up[a] = up[b] = min(up[a], up[b])
     want = brute_roots(found)
     assert all(up[i] == up[r] for i, r in enumerate(want))
+
+
+def test_rows_are_numbered(spark, tmp_path):
+    """Rows from files are named by their places there, whatever is picked of them; others are written down. No two share a name."""
+    spark.range(100).selectExpr("id", "array(1, 2) as two").repartition(3).write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    for docs, files in ((read, True), (read.where("id > 9").select("id"), True), (read.selectExpr("id", "explode(two) as x"), False), (read.unionByName(read), False), (read.join(read.select("id"), "id"), False), (spark.range(7), False)):
+        rows = common.numbered(docs, "n")
+        assert rows.select("n").distinct().count() == docs.count() and rows.drop("n").columns == docs.columns
+        assert (rows.agg({"n.file": "max"}).first()[0] != 0) == files

@@ -88,6 +88,13 @@ def _table(xs: list, ys: list, score) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.array([[score(x, y) for y in b] for x in a], float).reshape(len(a), len(b)), i, j
 
 
+def _starts(x: Parts, y: Parts) -> np.ndarray:
+    """Scores of the stressed syllables of x with those of y."""
+    near, i, j = _table([s[:2] for s in x.starts], [s[:2] for s in y.starts], nucleus)
+    close, p, q = _table([s[2] for s in x.starts], [s[2] for s in y.starts], lambda a, b: coda(a, b, 1))
+    return np.minimum(near[i][:, j] * close[p][:, q], 1)
+
+
 def hits(a: Parts, b: Parts, threshold: float = THRESHOLD, both: bool = False) -> int:
     """Pairs of a word of a and one of b, weighted by their counts, that reach the threshold; both: in either order."""
     if not len(a.counts) or not len(b.counts):
@@ -96,7 +103,7 @@ def hits(a: Parts, b: Parts, threshold: float = THRESHOLD, both: bool = False) -
 
     def ending(x: Parts, y: Parts) -> tuple:
         parts = [_table([(e[0][1], e[0][3]) for e in x.ends], [(e[0][1], e[0][3]) for e in y.ends], nucleus), _table(of(x, 0), of(y, 0), onset), _table(of(x, 2), of(y, 2), lambda p, q: coda(p, q, 1.1))]
-        return parts, _table(x.starts, y.starts, lambda p, q: min(nucleus(p[:2], q[:2]) * coda(p[2], q[2], 1), 1.0))
+        return parts, _starts(x, y)
 
     ways = [(*ending(a, b), False)] + ([(*ending(b, a), True)] if both else [])
     after, mono = (np.array([e[k] for e in b.ends]) for k in (1, 2))
@@ -121,8 +128,8 @@ def hits(a: Parts, b: Parts, threshold: float = THRESHOLD, both: bool = False) -
         j = np.repeat(near, b.cuts[near + 1] - b.cuts[near])
         for w in a.order[a.cuts[i] : a.cuts[i + 1]]:
             hit = np.zeros(len(rows), bool)
-            for (_, (score, x, y), turned), (end, alone) in zip(ways, found, strict=True):
-                start = score[x[b.first[rows]], y[a.first[w]]] if turned else score[x[a.first[w]], y[b.first[rows]]]
+            for (_, starts, turned), (end, alone) in zip(ways, found, strict=True):
+                start = starts[b.first[rows], a.first[w]] if turned else starts[a.first[w], b.first[rows]]
                 hit |= np.where(own_mono & mono[j], alone[j], start + end[j]) >= threshold
             total += int(a.counts[w]) * int(b.counts[rows[hit]].sum())
     return total

@@ -74,7 +74,8 @@ def pair_scores(ends: DataFrame, config: list[tuple[str, str, int]], by: list[st
 def link(ends: DataFrame, config: list[tuple[str, str, int]], by: list[str], threshold: float = R.THRESHOLD) -> DataFrame:
     """(by, line, i, line2, j, score): the best partner above the threshold of each word; of equal ones the first met."""
     hit = pair_scores(ends, config, by).where(F.col("score") > threshold)
-    both = hit.unionByName(hit.select(*by, F.col("line2").alias("line"), F.col("j").alias("i"), F.col("line").alias("line2"), F.col("i").alias("j"), "score", "encounter"))
+    turned = F.struct(F.col("line2").alias("line"), F.col("j").alias("i"), F.col("line").alias("line2"), F.col("i").alias("j"))
+    both = hit.select(*by, F.explode(F.array(F.struct("line", "i", "line2", "j"), turned)).alias("p"), "score", "encounter").select(*by, "p.*", "score", "encounter")
     best = both.groupBy(*by, "line", "i").agg(F.max_by(F.struct("line2", "j", "score"), F.struct("score", -F.col("encounter"))).alias("b"))
     return best.select(*by, "line", "i", "b.*")
 

@@ -75,6 +75,16 @@ def _q(x: str | None) -> str:
     return "cast(null as string)" if x is None else f"'{x}'"
 
 
+#: Bytes a core below which a table is dealt anew: small tables come in one or two row groups, which one or two tasks would read.
+SMALL = 16 << 20
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(2 * cores, F.xxhash64("doc_id", "text")) if size < SMALL * cores else docs
+
+
 def _verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document, with its verses in order: an array of line, place in it, where the line starts in the cycle, metre, pattern and tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
@@ -89,7 +99,7 @@ def _verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each verse takes its own tokens, so that a document's verses are no larger than its text
     verse = f"named_struct('i', i, 'j', j, 'turn', {turn}, 'own', slice(q.toks, {begin} + 1, {size}), 'metre', get({texts(m for m, *_ in CYCLE)}, {turn}), 'pattern', case when size(q.toks) - {begin} < {size} then 'corrupt' else get({texts(p for _, p, _ in CYCLE)}, {turn}) end)"
     line = f"get(transform(array(named_struct('toks', split(line, ' '), 'base', {_BASE})), q -> transform(sequence(0, {last}), j -> {verse})), 0)"
-    return docs.withColumn("verses", F.expr(f"flatten(transform(split(text, '\\n'), (line, i) -> {line}))")).drop("text")
+    return _dealt(docs).withColumn("verses", F.expr(f"flatten(transform(split(text, '\\n'), (line, i) -> {line}))")).drop("text")
 
 
 def _lined(verses: DataFrame, more: list[str]) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, numbered, publish, release_memory, unused
+from .common import discard, few_rows, numbered, publish, release_memory, unused
 from .simhash import SEED, SHARD_ROWS, Joined, components, self_join
 
 SHINGLE, WORDS = 5, 4
@@ -217,6 +217,11 @@ def verified(sets: list[np.ndarray]) -> np.ndarray:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the first of least doc_id. Texts are joined with the numbers of rows; they are not compared themselves, and
     do not meet by component but for verification."""
+    with few_rows(docs.sparkSession):
+        return _kept(docs)
+
+
+def _kept(docs: DataFrame) -> DataFrame:
     number = unused("_row", docs.columns)
     rows = numbered(docs, number)
     texts = rows.select(F.col(number).alias("row"), "text")

@@ -80,3 +80,28 @@ def test_rows_are_numbered(spark, tmp_path):
         rows = common.numbered(docs, "n")
         assert rows.select("n").distinct().count() == docs.count() and rows.drop("n").columns == docs.columns
         assert (rows.agg({"n.file": "max"}).first()[0] != 0) == files
+
+
+def test_tasks_hold_few_texts(spark):
+    """A published table has row groups of bounded size, and steps over whole texts see few rows at once; the session's numbers hold again afterwards."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from prosodia.llm import common
+
+    texts = spark.range(0, 6000, 1, 1).select(F.concat_ws(" ", *[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(40)]).alias("text"))
+    made = common.publish(texts, "texts")
+    files = [f.removeprefix("file:") for f in made.inputFiles()]
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) >= 3 and made.count() == 6000
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = lambda batches: (b.select(["n"]) for b in batches_of(batches))
+
+    def batches_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    with common.few_rows(spark):
+        most = made.mapInArrow(seen, "n bigint").agg(F.max("n")).first()[0]
+    assert most <= 1000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

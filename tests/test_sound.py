@@ -122,3 +122,30 @@ def test_strings(spark):
     df = spark.createDataFrame([("ar ma  vi", ["ar", "ma", "vi"], "abcd", "abxd")], "t string, s array<string>, a string, b string")
     r = df.select(T.mark_places(F.col("t")).alias("m"), T.blank_places(F.col("t")).alias("k"), T.with_trailing_blanks(F.col("t"), F.col("s")).alias("w"), T.differences(F.col("a"), F.col("b")).alias("d"), T.unstressed(F.array(F.lit(1)), F.lit(3)).alias("u"), T.punctuation_to_blanks(F.lit("a,b")).alias("p"), T.stress_places(F.lit("- U -"), "-").alias("x")).first()
     assert r.m == [0, 1, 3, 4, 7, 8] and r.k == [2, 5, 6] and r.w == ["ar ", "ma  ", "vi"] and r.d == [2] and r.u == [0, 2] and r.p == "a b" and r.x == [0, 2]
+
+
+def test_words_are_worked_out_once():
+    """A batch's words by kind: each kind of word, and of run of elided words, is asked for once, and gives what its line gives."""
+    import pyarrow as pa
+
+    from prosodia.operators import phonology as O
+
+    w = lambda text, sy, wb=None, mf=None: dict(idx=0, text=text, sy=sy, wb=wb, mf=mf)
+    one = [w("multum", "1A", None, "SY"), w("ille", "1T2A", "CM"), w("et", "2T", "DI")]
+    batch = [one, [], None, [w("et", "2T", "DI"), w("arma", "1A1T"), w("est", "", None, "PE")], one, [w("est", "", None, "PE"), w("multum", "1A", None, "SY")], [w(None, ""), w("xyz,", "1A1T2A")]]
+    asked = []
+
+    def value(run):
+        asked.append(run)
+        return [P.phonetic([x]) for x in P.line_words([dict(zip(O.FIELDS, r, strict=True)) for r in run])]
+
+    v = O.Valued(pa.array(batch, pa.list_(pa.struct([("idx", pa.int32()), *((k, pa.string()) for k in O.FIELDS)]))), value)
+    got = v.lists(v.column(v.values, pa.string())).to_pylist()
+    assert got == [[P.phonetic([x]) for x in P.line_words(ws or [])] for ws in batch]
+    assert len(asked) == len(set(asked)) and max(map(len, asked)) == 2
+
+
+def test_impossible_readings_end_at_once(monkeypatch):
+    """Numbers of syllables that no joining or parting of vowels can give are refused before any reading is tried."""
+    monkeypatch.setattr(P, "syllables", lambda word: pytest.fail("a reading was tried"))
+    assert P._fitted.__wrapped__("castrum", 1) is None and P._fitted.__wrapped__("men", 4) is None

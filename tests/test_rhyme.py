@@ -240,3 +240,11 @@ def test_nearby_is_the_plain_score(spark):
         assert [tuple(r) for r in one.orderBy("book_no").collect()] == [pytest.approx(tuple(r)) for r in two.orderBy("book_no").collect()]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_generated_reads_lines_once(spark):
+    """Works of so many lines need no sizes of their sources: the lines are read once, and sources without a name have no works."""
+    rows = [(k, 0, "H", spoken(("canam", "1A1b1c"))) for k in ("x", None)]
+    lines = spark.createDataFrame(rows, f"work string, line_idx int, metre string, words {WORDS}")
+    made = babble.generate(lines, 2, 1, "work", lines_each=1)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString() and made.where("work is null").count() == 0

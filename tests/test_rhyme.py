@@ -5,12 +5,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from prosodia.functions import closeness as C
-from prosodia.functions import generate
+from prosodia.functions import generate, walk
 from prosodia.functions import phonology as P
+from prosodia.functions import rhyme as R
 from prosodia.operators import babble, colours, phonology, resampling, rhyme
 from prosodia.sources import xml
 
@@ -248,3 +250,66 @@ def test_generated_reads_lines_once(spark):
     lines = spark.createDataFrame(rows, f"work string, line_idx int, metre string, words {WORDS}")
     made = babble.generate(lines, 2, 1, "work", lines_each=1)
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString() and made.where("work is null").count() == 0
+
+
+def test_plain_toy_words(spark):
+    tokens = ["", "--", "Arma,", "strengths", "yes", "queue", "Aeneadum-que", "x1y2z", "Key", "facundissimus", "bcd", "a"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").selectExpr("i", f"{R.toy_word('t')} as w").orderBy("i").collect()
+    assert [r.w.asDict(recursive=True) for r in got] == [R.toy(t) for t in tokens]
+
+
+def _couplets():
+    h = [("1A1T", "2A2T", "3A3T", "4A4T", "5A5b5c", "6A6X"), ("1A1b1c", "2A", "2T3A", "3T4A4T", "5A5b5c6A", "6X")]
+    p = [("1A1b1c", "2A2T", "3A", "4A4b4c", "5A5b5c", "6X")]
+    words = "arma virumque cano Troiae qui primus ab oris Italiam fato profugus Laviniaque venit litora multum ille terris iactatus alto".split()
+    pick = lambda i, ss: spoken(*[(words[(i * 5 + k * (1 + i % 3)) % len(words)], s) for k, s in enumerate(ss)])
+    return [(k, i, "HP"[i % 2], pick(i + 7 * (k == "y"), (h if i % 2 == 0 else p)[(i // 2) % (1 + (i % 2 == 0))])) for k in "xy" for i in range(120)]
+
+
+TRIED = {"leo": rhyme.TESTS["leo"], "aa -1": rhyme.TESTS["aa -1"], "axa -1": rhyme.TESTS["axa -1"], "abab": rhyme.TESTS["abab"], "aa 0": rhyme.TESTS["aa 0"]}
+
+
+def test_hits_of_generated_works(spark, monkeypatch):
+    """Hits that are counted as works are made are those of a scan over the same lines, over blocks and however the source is dealt."""
+    monkeypatch.setattr(walk, "BLOCK", 16)
+    source = {m: sorted({tuple(w) for r in _couplets() if r[0] == "x" and r[2] == m for w in (tuple(x.values())[1:] for x in r[3])}, key=repr) for m in "HP"}
+    table = pa.table({"metre": [m for m in "HP" for _ in source[m]], **{k: pa.array([w[i] for m in "HP" for w in source[m]], pa.string()) for i, k in enumerate(("text", "sy", "wb", "mf"))}})
+    walks, ends = babble._source([babble._digest(table, R.toy, True)])
+    whole = [w for m in "HP" for w in source[m]]
+    by = {m: [whole[i] for i in walks[m].rows] for m in "HP"}
+    seen, lines = {m: walks[m].lines for m in "HP"}, []
+
+    def kept(m):
+        def made(n, rng):
+            found, size = seen[m](n, rng)
+            size[3::11] = 0  # as if no line had been found
+            lines.append((m, found, size))
+            return found, size
+
+        return made
+
+    for m in "HP":
+        walks[m].lines = kept(m)
+    got = walk.work_hits(walks, ends, 100, True, np.random.default_rng(5), TRIED, "H", R.THRESHOLD)
+    rows, at = [], {"H": 0, "P": 1}
+    for m, found, size in lines:
+        for ws, n in zip(found.tolist(), size.tolist(), strict=True):
+            if n:
+                own = [by[m][i] for i in ws[:n]]
+                assert all(generate.joinable(a, b, 1) for a, b in itertools.pairwise([None, *[dict(text=t, sy=s, mf=f, sound=babble.alone(t, len(s) // 2, f)) for t, s, _, f in own]]))
+                rows.append(("x", at[m], m, spoken(*[(t, s) for t, s, _, _ in own])))
+            at[m] += 2
+    scanned = rhyme.scan(rhyme.with_ends(spark.createDataFrame(rows, f"work string, line_idx int, metre string, words {WORDS}"), R.toy_word("x.text")), TRIED, ["work"], metre="H").collect()
+    assert {k: v for k, v in got.items() if sum(v)} == {r.test: (r.t, r.f) for r in scanned} and len(scanned) == 5
+
+
+def test_hits_do_not_depend_on_partitions(spark):
+    lines = spark.createDataFrame(_couplets(), f"work string, line_idx int, metre string, words {WORDS}")
+    one = babble.generated_hits(lines, 5, 3, "work", TRIED, elegiac=True, parts=2).collect()
+    two = babble.generated_hits(lines.repartition(7), 5, 3, "work", TRIED, elegiac=True, parts=5).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and {(r.work, r.replicate) for r in one} == set(itertools.product("xy", range(5)))
+    # as often as in works of the plain walk: the means of forty works each
+    mean = lambda df: {(r.work, r.test): r.m for r in df.groupBy("work", "test").agg(F.avg(F.col("t") / (F.col("t") + F.col("f"))).alias("m")).collect()}
+    plain = mean(rhyme.scan(rhyme.with_ends(babble.generate(lines, 40, 3, "work", elegiac=True), R.toy_word("x.text")), TRIED, ["work", "replicate"], metre="H"))
+    new = mean(babble.generated_hits(lines, 40, 4, "work", TRIED, elegiac=True))
+    assert plain.keys() == new.keys() and all(abs(plain[k] - new[k]) < 0.06 for k in plain)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +268,24 @@ def test_sums_by_gate_are_plain_sums():
         at = slice(cuts[g], cuts[g + 1])
         assert np.allclose(z[at], np.clip(np.einsum("ij,i->j", x[:, at], m.weights[:, g]), -14, 14), atol=1e-3)
     assert sorted(order) == list(range(300)) and ((sign > 0) == one[order]).all()
+
+
+def test_words_are_found_by_hash(spark):
+    """Words of many texts at once are those of plain splitting, with their numbers; counts are of the words themselves."""
+    draw = random.Random(6)
+    texts = [None, b"", b" ", b"\n\r", b"A", b" \x0b\x0cAz[@`{ \xc3\x89\xff\x00 q\r\n", b"x" * 3000 + b" " + b"X" * 3001] + [bytes(draw.choice(b"aBZ \n\t\xc2\xa0\x1c\x85") for _ in range(draw.randint(0, 30))) for _ in range(600)]
+    want = [(t or b"").lower().split() for t in texts]
+    counts = Counter(w for ws in want for w in ws)
+    common = context_mixing.Book(counts.most_common(100), counts.total())
+    for off in (0, 3):
+        column, got = pa.array(texts, pa.binary()).slice(off), []
+        for lo, k in context_mixing.slices(column, 300):
+            raw, begins, ends, h, lengths, size = context_mixing.words_of(column.slice(lo, k))
+            ws = [raw[a:z] for a, z in zip(begins, ends, strict=True)]
+            assert common.numbers(h).tolist() == [common.words.get(w, -1) for w in ws]
+            assert size.tolist() == [len(t or b"") for t in texts[off + lo : off + lo + k]]
+            stops = np.cumsum(lengths)
+            got += [ws[z - n : z] for n, z in zip(lengths.tolist(), stops.tolist(), strict=True)]
+        assert got == want[off:]
+    docs = spark.createDataFrame([(t if t is None else bytearray(t),) for t in texts], "text binary").repartition(3)
+    assert {bytes(r.word): r.n for r in context_mixing.count_words(docs).collect()} == counts | {b"\n": len(texts)}

@@ -333,3 +333,15 @@ def test_kinds_leave_out_what_no_score_reads(spark):
     other = ends.withColumn("word", F.expr("named_struct('n', case when word.n > 1 then word.n + 3 else word.n end, 'np', word.np, 's', named_struct('onset', 'zz', 'nucleus', word.s.nucleus, 'coda', word.s.coda, 'vowel', word.s.vowel), 'f', word.f)"))
     assert rhyme.rate(ends, other, ["work"]).collect() == rhyme.rate(ends, ends, ["work"]).collect()
     assert [c for c in ends.select(*rhyme._flat("word")).distinct().exceptAll(other.select(*rhyme._flat("word")).distinct()).collect()] == []
+
+
+def test_vectorise_reads_once(spark):
+    """Intervals of generated works are costly: they are worked out once."""
+    from prosodia.operators import babble
+
+    rows = spark.createDataFrame([("a", "H", "leo", 2.0), ("a", "H", "aa -1", None), ("a", "P", "leo", 3.0), ("b", "H", "leo", 4.0), ("b", "H", "axa", 9.0)], "work string, metre string, test string, pi double")
+    costly = rows.mapInArrow(lambda batches: batches, rows.schema)
+    got = babble.vectorise(costly, ["H-leo", "H-aa -1", "P-leo", "P-aa -1"], ["work"], spark.createDataFrame([("a", 5), ("b", 6)], "work string, size bigint"))
+    assert got.columns == ["work", "H-leo", "H-aa -1", "P-leo", "P-aa -1", "size"]
+    assert sorted(map(tuple, got.collect())) == [("a", 2.0, None, 3.0, None, 5), ("b", 4.0, None, 4.0, None, 6)]
+    assert got._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1

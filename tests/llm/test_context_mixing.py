@@ -1,7 +1,9 @@
 """The language model against a plain model of dictionaries, its sums, layouts and edge cases."""
 
+import gc
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -289,3 +291,22 @@ def test_words_are_found_by_hash(spark):
         assert got == want[off:]
     docs = spark.createDataFrame([(t if t is None else bytearray(t),) for t in texts], "text binary").repartition(3)
     assert {bytes(r.word): r.n for r in context_mixing.count_words(docs).collect()} == counts | {b"\n": len(texts)}
+
+
+def test_page_and_book_take_little_memory():
+    """An executor scores two pages at once beside its JVM: a page takes some 234 bytes a token at its peak, the book no object a word."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}".encode() for i in range(30_000)]
+    tokens = np.minimum(rng.zipf(1.3, 300_000) - 1, 29_999)
+    book = context_mixing.Book([(w, 30_002 - i) for i, w in enumerate(words)], 600_000_000)
+    gc.collect()
+    assert sum(len(gc.get_referents(x)) for x in vars(book).values() if isinstance(x, dict | list)) == 0
+    batch = context_mixing.Batch(book, 1, 1 << 17)
+    batch.add(list(range(300)), [i % 5 > 0 for i in range(300)], list(range(300)), tokens.astype(np.int64), [], np.full(300, 1000))
+    parts = [x for _, x in batch.packed()]
+    tracemalloc.start()
+    got = context_mixing.score_page(book, parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(rows) for rows, _ in got) == 300 and all((s < 0).all() for _, s in got)
+    assert peak < 260 * 300_000

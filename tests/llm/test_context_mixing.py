@@ -310,3 +310,38 @@ def test_page_and_book_take_little_memory():
     tracemalloc.stop()
     assert sum(len(rows) for rows, _ in got) == 300 and all((s < 0).all() for _, s in got)
     assert peak < 260 * 300_000
+
+
+def test_near_nodes_lie_together_and_items_alike_are_met_once(monkeypatch):
+    """The slots of a node and of the six below it are in one line; items that only guesses tell apart take one path."""
+    book, number, one, part, past, kinds, times, text, once = page(5)
+    for code, base in ((book.code, mixing.FIRST_WORD), (mixing._BYTES, 0)):
+        first, length, nodes, bits = (x.tolist() for x in code[:4])
+        paths = [list(zip(nodes[a : a + n], bits[a : a + n], strict=True)) for a, n in zip(first, length, strict=True)]
+        # each node after the same answers, and three in a row in one group
+        at = {}
+        assert all(at.setdefault(tuple(b for _, b in p[:k]), p[k][0]) == p[k][0] for p in paths for k in range(len(p))) and len(set(at.values())) == len(at)
+        assert all(len({(node - base) >> 3 for node, _ in p[k : k + 3]}) == 1 for p in paths for k in range(0, len(p), 3))
+    m = mixing.Mixer([12], [1.0])
+    slots = m.slots([np.full(8, 12345, np.uint64)], np.arange(256, 264, dtype=np.uint32))[0]
+    assert len(set((slots >> 3).tolist())) == 1 and sorted((slots & 7).tolist()) == list(range(8))
+    # each item again with another past, which only the guesses see
+    twice = lambda x, other=None: np.stack([x, x if other is None else other], axis=1).reshape(-1)
+    text = [w for w in text for _ in range(2)]
+    got, _ = model((book, twice(number), twice(one), twice(part), twice(past, past ^ 1), twice(kinds), twice(np.maximum(times, 1)), text, twice(once)), 1 << 14)
+    met, path = [], mixing.Page._path
+    monkeypatch.setattr(mixing.Page, "_path", lambda self, at, word: met.append(at) or path(self, at, word))
+    got.learn()
+    got.log10(np.arange(len(text)))
+    assert all(len(set((at // 2).tolist())) == len(at) for at in met) and len(met) >= 2
+
+
+def test_sums_of_a_batch():
+    rng = np.random.default_rng(0)
+    for low, high, n in ((1 << 40, (1 << 40) + 300, 5000), (0, 1 << 50, 2000)):
+        rows, scores = rng.integers(low, high, n), rng.integers(-(10**9), 1, n)
+        want = defaultdict(int)
+        for r, s in zip(rows.tolist(), scores.tolist(), strict=True):
+            want[r] += s
+        got = context_mixing.summed(rows, scores)
+        assert dict(zip(*(x.tolist() for x in got), strict=True)) == want

@@ -345,3 +345,18 @@ def test_sums_of_a_batch():
             want[r] += s
         got = context_mixing.summed(rows, scores)
         assert dict(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+def test_pairs_are_found_among_neighbours():
+    """Where equal pairs of context and word come one after the other, what follows a context is found without a sort of the pairs; it is the same."""
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 40, (500, 2)), axis=0)
+    context, word = (mixing.mixed(pairs[:, i].astype(np.uint64) + np.uint64(77 + i)).repeat(3) for i in range(2))
+    times = rng.integers(0, 5, len(word)).astype(np.int32)
+    told = []
+    for together in (False, True):
+        at, n, rows = mixing.followers(context, word, times, False, together)
+        told.append([(int(n[i]), *rows[at[i]].tolist()) for i in range(len(word))])
+        assert all(k == times[(context == context[i]) & (word == word[i])].sum() for i, (k, *_) in enumerate(told[-1]))
+        assert all(int(total) == times[context == context[i]].sum() for i, (*_, total) in enumerate(told[-1]))
+    assert told[0] == told[1]

@@ -175,6 +175,21 @@ def test_generated(spark):
     assert babble.generate(lines.limit(0), 5, 1, "work").count() == 0
 
 
+def test_generated_sounds_what_it_draws(spark, monkeypatch):
+    """Of a source's words only those that are drawn are made and sounded; the works are those of a walk over all words, however they are packed."""
+    rng, seen = random.Random(2), []
+    words = sorted({("H", "".join(rng.choice("aeiourst") for _ in range(5)), s, None, f) for s in ("1A1T", "2A2b2c", "3A3T", "4A4T", "5A5b5c", "6A6X") for f in (None, "SY") for _ in range(200)}, key=lambda w: (w[0], w[1], w[2], w[4] or ""))
+    table = pa.table({k: pa.array([w[i] for w in words], pa.string()) for i, k in enumerate(babble.FIELDS)})
+    coded = lambda t: pa.table({k: t.column(k) if k == "text" else t.column(k).dictionary_encode() for k in babble.FIELDS})
+    blobs = [babble._written(coded(table.take(list(range(k, len(words), 3))))) for k in range(3)]
+    plain = generate.Source([{"text": t, "sy": s, "wb": b, "mf": f, "sound": babble.sounded(t, s, b, f)} for _, t, s, b, f in words], "H")
+    sounded = babble.sounded
+    monkeypatch.setattr(babble, "sounded", lambda *w: seen.append(w) or sounded(*w))
+    have, one, two = babble._listed(blobs)["H"], random.Random(1), random.Random(1)
+    assert [have.line(one) for _ in range(20)] == [plain.line(two) for _ in range(20)]
+    assert 0 < len(seen) < 600 < len(words) and len(seen) == len(set(seen))
+
+
 def test_baselines_and_bounds(spark):
     ends = phonology.word_ends(poem(spark).select("work", "line_idx", "metre", "words"))
     within = babble.baselines(ends, "ult", ["work"], within="P").first().rate

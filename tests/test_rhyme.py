@@ -190,6 +190,14 @@ def test_generated_sounds_what_it_draws(spark, monkeypatch):
     assert 0 < len(seen) < 600 < len(words) and len(seen) == len(set(seen))
 
 
+def test_parts_of_works_have_tasks_of_their_own(spark):
+    """Parts are small in bytes and long in work, so Spark is not left to put them together."""
+    lines = spark.createDataFrame(_couplets(), f"work string, line_idx int, metre string, words {WORDS}")
+    plan = babble.generated_hits(lines, 5, 3, "work", TRIED, elegiac=True, parts=5)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange" in x and "_part" in x]
+    assert len(dealt) == 1 and f"{babble.ROOM * 5}), REPARTITION_BY_NUM" in dealt[0]
+
+
 def test_baselines_and_bounds(spark):
     ends = phonology.word_ends(poem(spark).select("work", "line_idx", "metre", "words"))
     within = babble.baselines(ends, "ult", ["work"], within="P").first().rate
